@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Character sets that Python's str.splitlines and str.strip use, the
 # truncation marker, and the words that make a response a finding.
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+RARE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 SPACE = "\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACES = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 TRUNCATION_MARKER = "\n... [truncated - large file] ..."
 FINDING_WORDS = ("issue", "missing", "suggest")
 
@@ -16,32 +22,38 @@ _CASED = "\\p{IsUppercase}\\p{IsLowercase}\\p{Lt}"
 
 
 def strip(text: Column) -> Column:
-    """Trim Unicode whitespace. The lookbehind keeps long inner runs linear."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|(?<![{SPACE}])[{SPACE}]++\\z", "")
+    """Trim Unicode whitespace: one pass over bytes, where a regex would try every position."""
+    return F.btrim(text, F.lit(SPACES))
+
+
+def _newlines(text: Column) -> Column:
+    """Every line break as ``\\n``. Byte searches decide whether a text needs the regex."""
+    rare = reduce(lambda a, b: a | b, [F.contains(text, F.lit(ch)) for ch in RARE_BREAKS])
+    return F.when(rare, F.regexp_replace(text, LINE_BREAK, "\n")).otherwise(text)
 
 
 def compact_lines(text: Column) -> Column:
     """Drop blank lines and ``#`` lines, keep indentation, join with newlines.
 
-    Two regex passes instead of split/filter/join: no per-line objects, and the
-    expression stays inside generated code.
+    A removed line goes together with the newline before it, so the text gets one in front;
+    a pattern that begins with a plain character is also the fast one.
     """
-    lines = F.regexp_replace(text, LINE_BREAK, "\n")
+    lines = F.concat(F.lit("\n"), _newlines(text))
     kept = F.regexp_replace(
-        lines, f"(?:^|\\n)[{SPACE}&&[^\\n]]*+(?:#[^\\n]*+)?(?=\\n|\\z)", "")
-    return F.regexp_replace(kept, "^\\n+", "")
+        lines, f"\\n[{SPACE}&&[^\\n]]*+(?:#[^\\n]*+)?(?=\\n|\\z)", "")
+    return F.substring(kept, F.lit(2), F.length(kept))
 
 
 def squeeze_lines(text: Column) -> Column:
     """``compact_lines`` with each line stripped and no separator between lines."""
-    return strip(F.regexp_replace(
-        compact_lines(text), f"(?<![{SPACE}])[{SPACE}&&[^\\n]]*+\\n[{SPACE}]*+", ""))
+    return F.array_join(F.transform(F.split(compact_lines(text), "\n", -1), strip), "")
 
 
 def decode_text(content: Column) -> Column:
     """UTF-8 text with ``\\n`` newlines; null when the bytes are not UTF-8."""
-    return F.regexp_replace(
-        F.try_validate_utf8(content.cast("string")), "\\r\\n?", "\n")
+    text = F.try_validate_utf8(content.cast("string"))
+    return F.when(F.contains(text, F.lit("\r")),
+                  F.regexp_replace(text, "\\r\\n?", "\n")).otherwise(text)
 
 
 def truncate_text(text: Column, max_chars: int) -> Column:

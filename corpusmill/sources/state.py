@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
+
+from corpusmill.storage import exists
 
 STATE_SCHEMA = "stage string, file_id string, hash string"
 
@@ -18,9 +19,6 @@ def parse_state(documents: DataFrame, json_column: str) -> DataFrame:
 
 def load_state(spark: SparkSession, path: str) -> DataFrame:
     """A legacy state file. Absent or malformed means nothing has been processed."""
-    try:
-        return parse_state(spark.read.text(path, wholetext=True), "value")
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not exists(spark, path):
         return spark.createDataFrame([], STATE_SCHEMA)
+    return parse_state(spark.read.text(path, wholetext=True), "value")

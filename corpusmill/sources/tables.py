@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from corpusmill.storage import broadcast_if_small
+from corpusmill.storage import broadcast_if_small, exists
 
 _COMMITS = "seq long, part string, base boolean, n long, tag string"
 
@@ -25,11 +26,13 @@ class KeyedTable:
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str], schema: str):
         self.spark, self.root, self.keys, self.schema = spark, root.rstrip("/"), keys, schema
-        spark.createDataFrame([], "value string").write.mode("ignore").text(f"{self.root}/log")
 
     def _log(self) -> list:
-        log = self.spark.read.schema(_COMMITS).json(f"{self.root}/log")
-        commits = log.orderBy("seq").collect()  # one row per run
+        log = f"{self.root}/log"
+        if not exists(self.spark, log):
+            return []
+        commits = sorted(self.spark.read.schema(_COMMITS).json(log).collect(),  # a row per run
+                         key=lambda c: c["seq"])
         bases = [i for i, c in enumerate(commits) if c["base"]]
         return commits[bases[-1]:] if bases else commits
 
@@ -39,8 +42,10 @@ class KeyedTable:
 
     def _write(self, rows: DataFrame, seq: int, base: bool, tag: str | None) -> dict:
         part = f"{seq:08d}-{uuid.uuid4().hex}"
-        rows.withColumn("_seq", F.lit(seq).cast("long")).write.parquet(f"{self.root}/parts/{part}")
-        n = self.spark.read.parquet(f"{self.root}/parts/{part}").count()
+        written = Observation()
+        rows.withColumn("_seq", F.lit(seq).cast("long")).observe(
+            written, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.root}/parts/{part}")
+        n = written.get["n"]
         entry = {"seq": seq, "part": part, "base": base, "n": n, "tag": tag}
         if n or base:  # an empty part says nothing
             self.spark.createDataFrame([(json.dumps(entry),)], "value string").coalesce(1) \
@@ -77,7 +82,7 @@ class KeyedTable:
         commits = self._log()
         if tag and tag in {c["tag"] for c in commits}:
             return None
-        names = self.spark.createDataFrame([], self.schema).schema
+        names = StructType.fromDDL(self.schema)
         parts = []
         if upserts is not None:
             parts.append(upserts.select(*names.fieldNames(), F.lit(False).alias("_deleted")))

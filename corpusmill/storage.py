@@ -32,6 +32,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write once, read back: cuts lineage, survives executor loss, and keeps later
     passes from re-running paid model calls. Parquet, so a pass over keys reads only keys."""
