@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 # Character sets that Python's str.splitlines and str.strip use, the
 # truncation marker, and the words that make a response a finding.
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
-RARE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 SPACE = "\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPACES = "".join(map(chr, [
     *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -18,6 +17,8 @@ SPACES = "".join(map(chr, [
 TRUNCATION_MARKER = "\n... [truncated - large file] ..."
 FINDING_WORDS = ("issue", "missing", "suggest")
 
+# Expressions mention their argument as few times as they can: a Column has no variables, so
+# every mention is another copy of the argument's expression in the plan.
 _CASED = "\\p{IsUppercase}\\p{IsLowercase}\\p{Lt}"
 
 
@@ -26,34 +27,26 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
-def _newlines(text: Column) -> Column:
-    """Every line break as ``\\n``. Byte searches decide whether a text needs the regex."""
-    rare = reduce(lambda a, b: a | b, [F.contains(text, F.lit(ch)) for ch in RARE_BREAKS])
-    return F.when(rare, F.regexp_replace(text, LINE_BREAK, "\n")).otherwise(text)
+def _kept_lines(text: Column) -> Column:
+    return F.filter(F.split(text, LINE_BREAK, -1),
+                    lambda line: ~line.rlike(f"^[{SPACE}]*+(?:#|\\z)"))
 
 
 def compact_lines(text: Column) -> Column:
-    """Drop blank lines and ``#`` lines, keep indentation, join with newlines.
-
-    A removed line goes together with the newline before it, so the text gets one in front;
-    a pattern that begins with a plain character is also the fast one.
-    """
-    lines = F.concat(F.lit("\n"), _newlines(text))
-    kept = F.regexp_replace(
-        lines, f"\\n[{SPACE}&&[^\\n]]*+(?:#[^\\n]*+)?(?=\\n|\\z)", "")
-    return F.substring(kept, F.lit(2), F.length(kept))
+    """Drop blank lines and ``#`` lines, keep indentation, join with newlines."""
+    return F.array_join(_kept_lines(text), "\n")
 
 
 def squeeze_lines(text: Column) -> Column:
     """``compact_lines`` with each line stripped and no separator between lines."""
-    return F.array_join(F.transform(F.split(compact_lines(text), "\n", -1), strip), "")
+    return F.array_join(F.transform(_kept_lines(text), strip), "")
 
 
 def decode_text(content: Column) -> Column:
     """UTF-8 text with ``\\n`` newlines; null when the bytes are not UTF-8."""
     text = F.try_validate_utf8(content.cast("string"))
-    return F.when(F.contains(text, F.lit("\r")),
-                  F.regexp_replace(text, "\\r\\n?", "\n")).otherwise(text)
+    newline = F.lit("\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), newline), F.lit("\r"), newline)
 
 
 def truncate_text(text: Column, max_chars: int) -> Column:
@@ -74,11 +67,7 @@ def title_case(name: Column) -> Column:
 
 
 def is_finding(response: Column, words: tuple[str, ...] = FINDING_WORDS) -> Column:
-    lowered = F.lower(response)
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | F.contains(lowered, F.lit(word))
-    return hit
+    return F.lower(response).rlike("|".join(map(re.escape, words)))
 
 
 def yaml_string(value: Column) -> Column:

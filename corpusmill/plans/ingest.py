@@ -53,9 +53,10 @@ def role_hashes(roles: DataFrame, ignore: list[str], mode: str = "compat",
 
 def member_texts(members: DataFrame) -> DataFrame:
     """Compacted, bounded member texts; members that are not UTF-8 are left out."""
+    readable = F.try_validate_utf8(F.col("content").cast("string")).isNotNull()
     text = compact_lines(decode_text(F.col("content")))
-    return (members.withColumn("content", truncate_text(text, MAX_MEMBER_CHARS))
-            .where(F.col("content").isNotNull()).select("role", "key", "ord", "content"))
+    return members.where(readable).select(
+        "role", "key", "ord", truncate_text(text, MAX_MEMBER_CHARS).alias("content"))
 
 
 def role_prompts(roles: DataFrame, members: DataFrame, prompt: dict | None) -> DataFrame:
