@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.paths import components
 from corpusmill.functions.text import decode_text, squeeze_lines
+from corpusmill.storage import broadcast_if_small, materialise
 
 # The members, in order, that make up a role's compact fingerprint.
 COMPACT_MEMBERS = ("tasks/main.yml", "defaults/main.yml", "meta/main.yml")
@@ -52,7 +53,8 @@ def group_fingerprint(files: DataFrame, group: str, rel: str, content: str,
     """
     sizes = files.groupBy(group).agg(
         F.sum(F.octet_length(content) + F.octet_length(rel)).alias("_bytes"))
-    large = sizes.where(F.col("_bytes") > max_exact_bytes).select(group)
+    large = broadcast_if_small(materialise(
+        sizes.where(F.col("_bytes") > max_exact_bytes).select(group), "large-groups"))
     # bytes ride in a string: array_join copies them unchanged and in one pass
     piece = F.concat(F.col(rel), F.col(content).cast("string"))
     exact = (

@@ -14,13 +14,18 @@ def append_section(docs: DataFrame, section: DataFrame, path: str = "index.md")
     An earlier section is replaced, so a second run changes nothing. Without that document
     there are no rows. Pages after the first become documents next to it.
     """
-    target = docs.where(F.col("path") == path).select(
-        "path", F.substring_index("text", MEDIA_HEADING, 1).alias("_body"))
-    pages = section.select(F.lit(path).alias("path"), "page", F.col("text").alias("_section"))
-    stem = path.removesuffix(".md")
-    return target.join(pages, "path").select(
-        F.when(F.col("page") == 0, F.col("path")).otherwise(F.concat(
-            F.lit(stem + ".media-"), (F.col("page") + 1).cast("string"), F.lit(".md")))
-        .alias("path"),
-        F.when(F.col("page") == 0, F.concat("_body", "_section"))
-        .otherwise(F.col("_section")).alias("text"))
+    target = docs.where(F.col("path") == path)
+    if target.isEmpty():
+        return target.select("path", "text")
+    body = target.select(
+        F.lit(0).cast("long").alias("page"),
+        F.substring_index("text", MEDIA_HEADING, 1).alias("body"),
+        F.lit(None).cast("string").alias("section"))
+    pages = section.select("page", F.lit(None).cast("string").alias("body"),
+                           F.col("text").alias("section"))
+    name = F.when(F.col("page") == 0, path).otherwise(F.concat(
+        F.lit(path.removesuffix(".md") + ".media-"), (F.col("page") + 1).cast("string"),
+        F.lit(".md")))
+    return (body.unionByName(pages).groupBy("page")
+            .agg(F.max("body").alias("body"), F.max("section").alias("section"))
+            .select(name.alias("path"), F.concat_ws("", "body", "section").alias("text")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.paths import components
+from corpusmill.operators.ordering import TOP_ROWS, with_start
 from corpusmill.storage import materialise
 
 # Generation parameters and retry policy when the caller gives none.
@@ -77,21 +78,31 @@ def until_successes(candidates: DataFrame, limit: int | None,
     ``run`` turns a batch into rows with ``file_id`` and ``error``. Each round takes the
     next rows after the last id tried, as many as successes are missing; so no row is tried
     that the one-by-one order would not have tried. Without a limit there is one round over
-    everything. Rounds read a written candidate table and write their result.
+    everything. Rounds read a written candidate table and write their result; a large limit
+    has the candidates numbered once, so that no round passes through one task.
     """
     if not limit:
         return materialise(run(candidates), "outcomes")
-    key = components(F.col("file_id"))
-    candidates = materialise(candidates, "candidates")
-    rounds, missing, last = [], limit, None
+    numbered = limit > TOP_ROWS
+    candidates = candidates.withColumn("_key", components(F.col("file_id")))
+    candidates = materialise(
+        with_start(candidates, [], "_key", F.lit(1), limit // TOP_ROWS + 1)
+        if numbered else candidates, "candidates")
+    rounds, missing, tried, last = [], limit, 0, None
     while missing > 0:
-        ahead = candidates if last is None else candidates.where(
-            key > F.array(*[F.lit(part) for part in last]))
-        batch = materialise(ahead.orderBy(key).limit(missing), "batch")
-        done = materialise(run(batch), "outcomes")
+        if numbered:
+            batch = candidates.where(F.col("start").between(tried, tried + missing - 1)) \
+                .drop("start")
+        else:
+            ahead = candidates if last is None else candidates.where(
+                F.col("_key") > F.array(*[F.lit(part) for part in last]))
+            batch = ahead.orderBy("_key").limit(missing)
+        batch = materialise(batch, "batch")
+        n, last = batch.agg(F.count(F.lit(1)), F.max("_key")).first()
+        done = materialise(run(batch.drop("_key")), "outcomes")
         rounds.append(done)
-        last = batch.agg(F.max(key)).first()[0]
-        if last is None:
+        if n < missing:  # that was the last batch
             break
+        tried += n
         missing -= done.where(F.col("error").isNull()).count()
     return reduce(DataFrame.unionByName, rounds)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.ordering import with_start
 from corpusmill.storage import broadcast_if_small, materialise
 
 PAGE_CHARS = 1_000_000
@@ -26,9 +27,8 @@ def ordered_pages(rows: DataFrame, group: list[str], order: str, text: str, sep:
     larger one, joined by ``sep`` in page order, are the whole string. ``order`` must be
     unique within a group, as page borders are otherwise a matter of luck.
 
-    Groups that fit are joined in one shuffle. The others are range-partitioned over the
-    cluster by (group, order), so the running count is a small window inside each range
-    plus the totals of the ranges before it; no task sees more than a range or a page.
+    Groups that fit are joined in one shuffle. The rows of the others are counted range by
+    range (``with_start``) and then grouped by page; no task sees more than a range or a page.
     """
     rows = materialise(
         rows.select(*group, order, text,
@@ -43,24 +43,10 @@ def ordered_pages(rows: DataFrame, group: list[str], order: str, text: str, sep:
     if total is None:
         return whole.select(*group, "page", text)
 
-    # Range bounds come from a sample, so the ranges are fixed by writing them down.
-    ranges = max(1, min(20_000, total // (32 * page_chars) + 1))
     spread = rows.join(broadcast_if_small(large.select(*group)), group, "left_semi")
-    ranged = materialise(
-        spread.repartitionByRange(ranges, *group, order)
-        .withColumn("_range", F.spark_partition_id()), "ranges")
-    before = (
-        ranged.groupBy(*group, "_range").agg(F.sum("_len").alias("_chars"))
-        .withColumn("_before", F.coalesce(F.sum("_chars").over(
-            Window.partitionBy(*group).orderBy("_range")
-            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_chars"))
-    inside = F.coalesce(F.sum("_len").over(
-        Window.partitionBy(*group, "_range").orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = (
-        ranged.withColumn("_inside", inside).join(before, [*group, "_range"])
-        .withColumn("page", F.floor((F.col("_before") + F.col("_inside")) / page_chars)))
-    paged = _join_page(numbered, [*group, "page"], order, text, sep)
+    numbered = with_start(spread, group, order, F.col("_len"), total // (32 * page_chars) + 1)
+    paged = _join_page(
+        numbered.withColumn("page", F.floor(F.col("start") / page_chars)),
+        [*group, "page"], order, text, sep)
     columns = [*group, "page", text]
     return whole.select(columns).unionByName(paged.select(columns))

@@ -48,7 +48,8 @@ def category_assign(listed: DataFrame, active: DataFrame) -> DataFrame:
 def category_default(active: DataFrame, assigned: DataFrame,
                      default_category: str = DEFAULT_CATEGORY) -> DataFrame:
     """Active roles in no category, put into the default one."""
-    return active.select("role").join(assigned.select("role"), "role", "left_anti").select(
+    listed = assigned.select("role").distinct()  # a role may be assigned any number of times
+    return active.select("role").join(listed, "role", "left_anti").select(
         F.lit(default_category).alias("cat"), "role")
 
 

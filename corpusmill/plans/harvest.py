@@ -10,6 +10,7 @@ from corpusmill.functions.rules import in_output_trees, is_ignored
 from corpusmill.functions.text import add_frontmatter, decode_text
 from corpusmill.operators.changes import fetch, state_of
 from corpusmill.operators.fingerprints import file_fingerprint
+from corpusmill.operators.ordering import first_rows
 from corpusmill.operators.rules_join import ignored_by_gitrules
 from corpusmill.plans.config import SOURCE_TYPE
 from corpusmill.plans.workspace import Workspace, select_work
@@ -38,14 +39,19 @@ def _git_ignored(paths: DataFrame, rules: DataFrame | None, tracked: DataFrame |
     return ignored_by_gitrules(flagged, rules).where("ignored").select("path")
 
 
-def selected_files(files: DataFrame, config: dict, git_rules: DataFrame | None = None,
-                   tracked: DataFrame | None = None, mode: str = "compat") -> DataFrame:
-    """Files that discovery finds and no rule drops. Path predicates only, so the scan
-    reads no content for the rows they drop."""
+def eligible_files(files: DataFrame, config: dict, mode: str = "compat") -> DataFrame:
+    """Files that discovery finds and the configured rules keep. Path predicates only, so a
+    scan applies them before it reads content."""
     path = F.col("path")
     outputs = [config["wiki_state_dir"], config["wiki_dir"]]
-    found = scan_patterns(files, config["harvest_rglob_patterns"]).where(
+    return scan_patterns(files, config["harvest_rglob_patterns"]).where(
         ~in_output_trees(path, outputs) & ~is_ignored(path, config["harvest_ignore"], mode))
+
+
+def selected_files(files: DataFrame, config: dict, git_rules: DataFrame | None = None,
+                   tracked: DataFrame | None = None, mode: str = "compat") -> DataFrame:
+    """Eligible files without those that per-directory rules drop."""
+    found = eligible_files(files, config, mode)
     dropped = _git_ignored(found, git_rules, tracked)
     return found if dropped is None else found.join(dropped, "path", "left_anti")
 
@@ -96,9 +102,10 @@ def harvest(ws: Workspace, files: DataFrame, config: dict, harvested_date: str,
         work = select_work(hashed.select(F.col("path").alias("file_id"), "hash"), ws, STAGE,
                            changed_only)
         if limit:
-            work = materialise(
-                work.orderBy(components(F.col("file_id"))).limit(limit), "limited")
-        bodies = fetch(files, work.select(F.col("file_id").alias("path"), "hash"), "path")
+            key = components(F.col("file_id"))
+            work = materialise(first_rows(work.withColumn("_key", key), "_key", limit)
+                               .drop("_key"), "limited")
+        bodies = fetch(eligible_files(files, config, mode), work.select(F.col("file_id").alias("path"), "hash"), "path")
         ws.raw.apply(bodies.select("path", text, F.col("hash").alias("source_hash")))
     else:  # one pass: the saved hashes are read off the staged rows
         staged = ws.raw.apply(hashed.select("path", text, F.col("hash").alias("source_hash")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.storage import broadcast_if_small, exists
+from corpusmill.storage import broadcast_if_small, exists, put_text
 
 _COMMITS = "seq long, part string, base boolean, n long, tag string"
 
@@ -20,7 +20,7 @@ class KeyedTable:
     ``apply`` writes the changed and removed keys of a run as a new part and then logs it,
     so a run that dies leaves the table as it was. ``read`` overlays the newer parts on the
     base: without newer parts it is a plain scan, and a few changed keys are broadcast, so
-    the base is not shuffled. Once the newer parts reach a quarter of the base, ``apply``
+    the base is not shuffled. Once the newer parts reach half of the base, ``apply``
     folds everything into a new base.
     """
 
@@ -48,8 +48,7 @@ class KeyedTable:
         n = written.get["n"]
         entry = {"seq": seq, "part": part, "base": base, "n": n, "tag": tag}
         if n or base:  # an empty part says nothing
-            self.spark.createDataFrame([(json.dumps(entry),)], "value string").coalesce(1) \
-                .write.mode("append").text(f"{self.root}/log")
+            put_text(self.spark, f"{self.root}/log", f"{part}.json", json.dumps(entry))
         return entry
 
     def tags(self) -> set[str]:
@@ -94,7 +93,7 @@ class KeyedTable:
         seq = commits[-1]["seq"] + 1 if commits else 0
         entry = self._write(rows, seq, base=not commits, tag=tag)
         newer = sum(c["n"] for c in commits[1:]) + entry["n"]
-        if commits and newer * 4 > commits[0]["n"]:
+        if commits and newer * 2 > commits[0]["n"]:
             self.compact(tag)
         return self._load([entry]).where(~F.col("_deleted")).drop("_deleted", "_seq")
 

@@ -32,9 +32,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
+    fs, jvm_path = _hadoop(spark, path)
+    return fs.exists(jvm_path)
+
+
+def put_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """Write a small file so that readers see all of it or none."""
+    fs, final = _hadoop(spark, f"{folder}/{name}")
+    _, draft = _hadoop(spark, f"{folder}/_{name}")
+    out = fs.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, final):
+        raise OSError(f"could not write {folder}/{name}")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

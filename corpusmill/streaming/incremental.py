@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusmill.functions.rules import in_output_trees, is_ignored
 from corpusmill.operators.changes import changed_only, fetch, state_of
 from corpusmill.operators.fingerprints import file_fingerprint
-from corpusmill.plans.harvest import STAGE, staged_text
+from corpusmill.plans.harvest import STAGE, eligible_files, staged_text
 from corpusmill.plans.workspace import Workspace
-from corpusmill.sources.files import scan_patterns
 from corpusmill.storage import materialise
 
 VERSIONS_SCHEMA = "path string, version long, content binary"
@@ -36,11 +34,8 @@ def harvest_versions(versions: DataFrame, ws: Workspace, config: dict, harvested
 
     def stage(batch: DataFrame, batch_id: int) -> None:
         path = F.col("path")
-        outputs = [config["wiki_state_dir"], config["wiki_dir"]]
-        found = scan_patterns(batch, config["harvest_rglob_patterns"]).where(
-            ~in_output_trees(path, outputs)
-            & ~is_ignored(path, config["harvest_ignore"], mode)
-            & F.try_validate_utf8(F.col("content").cast("string")).isNotNull())
+        found = eligible_files(batch, config, mode).where(
+            F.try_validate_utf8(F.col("content").cast("string")).isNotNull())
         # only hashes go through the aggregation, bodies are fetched for what is left
         last = found.groupBy("path").agg(
             F.max_by(F.struct("version", file_fingerprint(F.col("content")).alias("hash")),
@@ -49,8 +44,9 @@ def harvest_versions(versions: DataFrame, ws: Workspace, config: dict, harvested
         work = materialise(changed_only(current, ws.state.read(), STAGE), "stream-work")
         wanted = work.select(F.col("file_id").alias("path"), "version",
                              F.col("hash").alias("source_hash"))
+        # a version may have been delivered twice
         bodies = fetch(found, wanted, ["path", "version"])
-        ws.raw.apply(bodies.select(
+        ws.raw.apply(bodies.dropDuplicates(["path"]).select(
             "path", staged_text(path, F.col("content"), harvested_date).alias("text"),
             "source_hash"), tag=f"{checkpoint}#{batch_id}")
         ws.state.apply(state_of(work, STAGE), tag=f"{checkpoint}#{batch_id}")

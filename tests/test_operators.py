@@ -10,6 +10,7 @@ from corpusmill.operators import fingerprints as fp
 from corpusmill.operators import media, rollup
 from corpusmill.operators.changes import changed_only, split_outcomes, state_of, upsert_rows
 from corpusmill.operators.model import as_messages, call_model, until_successes
+from corpusmill.operators.ordering import first_rows
 from corpusmill.operators.pages import ordered_pages
 from corpusmill.plans.ingest import member_texts
 from corpusmill.sources.state import load_state
@@ -218,9 +219,12 @@ def test_model_rows_fail_alone(spark):
     assert [tuple(m) for m in message] == [("user", "ok")]
 
 
-@pytest.mark.parametrize("limit", [None, 0, 1, 5, 17, 100])
-@pytest.mark.parametrize("failing", ["none", "some", "all"])
-def test_limit_counts_successes_in_path_order(spark, limit, failing):
+@pytest.mark.parametrize("limit,failing,top", [
+    (None, "some", 100), (0, "all", 100), (1, "some", 100), (5, "none", 100), (5, "some", 100),
+    (17, "some", 100), (5, "all", 100), (100, "some", 100), (5, "some", 2), (17, "none", 2),
+    (40, "all", 2), (17, "some", 2)])
+def test_limit_counts_successes_in_path_order(spark, monkeypatch, limit, failing, top):
+    monkeypatch.setattr("corpusmill.operators.model.TOP_ROWS", top)
     ids = ["a/b.md", "a-b.md", "a.md"] + [f"d{i % 3}/f{i:02d}.md" for i in range(30)]
     fails = {"none": set(), "some": set(ids[::2]), "all": set(ids)}[failing]
     want, successes = [], 0
@@ -238,6 +242,13 @@ def test_limit_counts_successes_in_path_order(spark, limit, failing):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("top", [3, 100])
+def test_first_rows(spark, monkeypatch, top):
+    monkeypatch.setattr("corpusmill.operators.ordering.TOP_ROWS", top)
+    df = spark.range(50).selectExpr("(id * 7) % 50 as k").repartition(4)
+    assert sorted(r["k"] for r in first_rows(df, "k", 20).collect()) == list(range(20))
+
+
 def test_limit_over_nothing(spark):
     df = spark.createDataFrame([], "file_id string")
     assert until_successes(df, 3, lambda b: b.withColumn("error", F.lit("x"))).count() == 0
