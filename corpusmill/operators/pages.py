@@ -34,19 +34,19 @@ def ordered_pages(rows: DataFrame, group: list[str], order: str, text: str, sep:
         rows.select(*group, order, text,
                     (F.length(text) + F.lit(len(sep))).cast("long").alias("_len")), "pages")
     totals = rows.groupBy(*group).agg(F.sum("_len").alias("_total"))
-    large = materialise(totals.where(F.col("_total") > page_chars), "large-groups")
-    total = large.agg(F.sum("_total")).first()[0]
-
-    fits = rows if total is None else rows.join(
-        broadcast_if_small(large.select(*group)), group, "left_anti")
-    whole = _join_page(fits, group, order, text, sep).withColumn("page", F.lit(0).cast("long"))
+    total = totals.agg(F.sum(F.when(F.col("_total") > page_chars, F.col("_total")))).first()[0]
+    columns = [*group, "page", text]
     if total is None:
-        return whole.select(*group, "page", text)
+        return _join_page(rows, group, order, text, sep).withColumn(
+            "page", F.lit(0).cast("long")).select(columns)
 
-    spread = rows.join(broadcast_if_small(large.select(*group)), group, "left_semi")
-    numbered = with_start(spread, group, order, F.col("_len"), total // (32 * page_chars) + 1)
+    large = broadcast_if_small(materialise(
+        totals.where(F.col("_total") > page_chars).select(*group), "large-groups"))
+    fits = rows.join(large, group, "left_anti")
+    whole = _join_page(fits, group, order, text, sep).withColumn("page", F.lit(0).cast("long"))
+    spread = rows.join(large, group, "left_semi")
+    numbered = with_start(spread, group, order, F.col("_len"), total // (4 * page_chars) + 1)
     paged = _join_page(
         numbered.withColumn("page", F.floor(F.col("start") / page_chars)),
         [*group, "page"], order, text, sep)
-    columns = [*group, "page", text]
     return whole.select(columns).unionByName(paged.select(columns))

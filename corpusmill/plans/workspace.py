@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.changes import changed_only as diff
 from corpusmill.operators.changes import fetch
-from corpusmill.operators.model import ModelFactory, call_model, until_successes
+from corpusmill.operators.model import (
+    MODEL_PARAMS, ModelFactory, call_model, until_successes)
 from corpusmill.sources.state import STATE_SCHEMA
 from corpusmill.sources.tables import KeyedTable
 from corpusmill.storage import materialise
@@ -58,7 +59,9 @@ class Model:
     parallelism: int | None = None
 
     def answer(self, prompts: DataFrame, defaults: dict) -> DataFrame:
-        return call_model(prompts, self.make, {**defaults, **(self.params or {})},
+        """``defaults`` is the configured part; only generation parameters are taken from it."""
+        known = {k: v for k, v in defaults.items() if k in MODEL_PARAMS}
+        return call_model(prompts, self.make, {**known, **(self.params or {})},
                           self.attempts, self.delay, self.parallelism)
 
 
