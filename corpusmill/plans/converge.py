@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from corpusmill.operators.changes import stage_counts
 from corpusmill.plans.compile import compile_docs
 from corpusmill.plans.harvest import harvest
 from corpusmill.plans.index import write_index
@@ -21,3 +25,14 @@ def converge(ws: Workspace, files: DataFrame, model: Model, config: dict, harves
         "lint": lint_docs(ws, model, config, changed_only, limit),
         "index": write_index(ws, config),
     }
+
+
+def summary(outcomes: dict[str, DataFrame]) -> DataFrame:
+    """(stage, outcome, n) of the records a run processed and of those that failed."""
+    def marked(stage: str, rows: DataFrame) -> DataFrame:
+        failed = F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)
+        return rows.select(F.lit(stage).alias("stage"), F.when(failed, "failed").otherwise(
+            "processed").alias("outcome"))
+
+    return stage_counts(reduce(DataFrame.unionByName, [
+        marked(stage, rows) for stage, rows in outcomes.items() if "file_id" in rows.columns]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.paths import components
@@ -61,6 +61,8 @@ def clean_up(ws: Workspace, files: DataFrame, config: dict, git_rules: DataFrame
              keep_deleted: bool = False) -> None:
     """Drop staged documents that are now ignored, and, unless ``keep_deleted``, those whose
     source is gone together with their saved hashes."""
+    if ws.raw.is_new():
+        return
     staged = ws.raw.read().select("path")
     path = F.col("path")
     gone = staged.where(is_ignored(path, config["harvest_ignore"], mode))
@@ -90,27 +92,31 @@ def harvest(ws: Workspace, files: DataFrame, config: dict, harvested_date: str,
     clean_up(ws, files, config, git_rules, tracked, mode, keep_deleted)
     found = selected_files(files, config, git_rules, tracked, mode)
     readable = F.try_validate_utf8(F.col("content").cast("string")).isNotNull()
-    unreadable = found.where(~readable).select(
-        F.col("path").alias("file_id"), F.lit("not UTF-8").alias("error"),
-        F.lit(0).cast("long").alias("attempts"))
-    seen = Observation()
-    hashed = found.withColumn("hash", file_fingerprint(F.col("content"))).observe(
-        seen, F.count(F.when(~readable, 1)).alias("unreadable")).where(readable)
+    hashed = found.withColumn("hash", file_fingerprint(F.col("content")))
     text = staged_text(F.col("path"), F.col("content"), harvested_date).alias("text")
 
     if changed_only or limit:
-        work = select_work(hashed.select(F.col("path").alias("file_id"), "hash"), ws, STAGE,
+        checked = materialise(hashed.select(
+            F.col("path").alias("file_id"), "hash", readable.alias("readable")), "checked")
+        bad = checked.where(~F.col("readable")).select("file_id")
+        work = select_work(checked.where("readable").select("file_id", "hash"), ws, STAGE,
                            changed_only)
         if limit:
             key = components(F.col("file_id"))
             work = materialise(first_rows(work.withColumn("_key", key), "_key", limit)
                                .drop("_key"), "limited")
-        bodies = fetch(eligible_files(files, config, mode), work.select(F.col("file_id").alias("path"), "hash"), "path")
+        bodies = fetch(eligible_files(files, config, mode), work.select(
+            F.col("file_id").alias("path"), "hash"), "path")
         ws.raw.apply(bodies.select("path", text, F.col("hash").alias("source_hash")))
     else:  # one pass: the saved hashes are read off the staged rows
-        staged = ws.raw.apply(hashed.select("path", text, F.col("hash").alias("source_hash")))
+        staged = ws.raw.apply(hashed.where(readable).select(
+            "path", text, F.col("hash").alias("source_hash")))
         work = staged.select(F.col("path").alias("file_id"), F.col("source_hash").alias("hash"))
-    if seen.get["unreadable"]:
-        ws.quarantine(unreadable, STAGE)
+        # counting paths reads no content; only a difference is worth a second pass
+        bad = found.where(~readable).select(F.col("path").alias("file_id")) \
+            if found.count() != staged.count() else None
+    if bad is not None:
+        ws.quarantine(bad.select("file_id", F.lit("not UTF-8").alias("error"),
+                                 F.lit(0).cast("long").alias("attempts")), STAGE)
     ws.state.apply(state_of(work, STAGE))
     return work

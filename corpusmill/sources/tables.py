@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -42,17 +42,16 @@ class KeyedTable:
 
     def _write(self, rows: DataFrame, seq: int, base: bool, tag: str | None) -> dict:
         part = f"{seq:08d}-{uuid.uuid4().hex}"
-        written = Observation()
-        rows.withColumn("_seq", F.lit(seq).cast("long")).observe(
-            written, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.root}/parts/{part}")
-        n = written.get["n"]
+        path = f"{self.root}/parts/{part}"
+        rows.withColumn("_seq", F.lit(seq).cast("long")).write.parquet(path)
+        n = self.spark.read.parquet(path).count()  # from file footers
         entry = {"seq": seq, "part": part, "base": base, "n": n, "tag": tag}
         if n or base:  # an empty part says nothing
             put_text(self.spark, f"{self.root}/log", f"{part}.json", json.dumps(entry))
         return entry
 
-    def tags(self) -> set[str]:
-        return {c["tag"] for c in self._log() if c["tag"]}
+    def is_new(self) -> bool:
+        return not self._log()
 
     def read(self) -> DataFrame:
         commits = self._log()

@@ -10,7 +10,7 @@ from corpusmill.operators.changes import changed_only, fetch, state_of
 from corpusmill.operators.fingerprints import file_fingerprint
 from corpusmill.plans.harvest import STAGE, eligible_files, staged_text
 from corpusmill.plans.workspace import Workspace
-from corpusmill.storage import materialise
+from corpusmill.storage import broadcast_if_small, materialise
 
 VERSIONS_SCHEMA = "path string, version long, content binary"
 
@@ -40,8 +40,12 @@ def harvest_versions(versions: DataFrame, ws: Workspace, config: dict, harvested
         last = found.groupBy("path").agg(
             F.max_by(F.struct("version", file_fingerprint(F.col("content")).alias("hash")),
                      "version").alias("_last"))
-        current = last.select(path.alias("file_id"), "_last.version", "_last.hash")
-        work = materialise(changed_only(current, ws.state.read(), STAGE), "stream-work")
+        current = materialise(
+            last.select(path.alias("file_id"), "_last.version", "_last.hash"), "stream-batch")
+        # a batch is small and the state is not: look its ids up without moving the state
+        known = ws.state.read().join(
+            broadcast_if_small(current.select("file_id")), "file_id", "left_semi")
+        work = materialise(changed_only(current, known, STAGE), "stream-work")
         wanted = work.select(F.col("file_id").alias("path"), "version",
                              F.col("hash").alias("source_hash"))
         # a version may have been delivered twice

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     session = local_session(4)
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
 
 

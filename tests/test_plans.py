@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.plans.compile import compile_docs
 from corpusmill.plans.config import load_config
-from corpusmill.plans.converge import converge
+from corpusmill.plans.converge import converge, summary
 from corpusmill.plans.harvest import harvest
 from corpusmill.plans.index import write_index
 from corpusmill.plans.ingest import ingest
@@ -107,6 +107,17 @@ def test_harvest_limit_and_bad_bytes(spark, ws):
     assert ids(full) == FOUND - {"README.md"}
 
 
+def test_harvest_of_nothing_and_of_bad_bytes_only(spark, ws):
+    config = load_config()
+    none = tree(spark).where("false")
+    assert ids(harvest(ws, none, config, DATE, changed_only=True)) == set()
+    assert ids(harvest(ws, none, config, DATE)) == set() and texts(ws.raw) == {}
+    bad = tree(spark, **{"docs/a.md": b"\xff"}).where("path = 'docs/a.md'")
+    assert ids(harvest(ws, bad, config, DATE, changed_only=True)) == set()
+    assert [r["file_id"] for r in spark.read.parquet(f"{ws.root}/quarantine").collect()] == [
+        "docs/a.md"]
+
+
 def test_harvest_respects_git_rules(spark, ws):
     rules = spark.createDataFrame([("", 0, "*.md"), ("docs", 0, "!a.md")],
                                   "base_dir string, seq int, pattern string")
@@ -215,6 +226,9 @@ def test_converge_twice_does_nothing_new(spark, ws):
     # compiled documents, role documents and the index are all linted
     assert ids(first["lint"]) == {"README.md", "docs/a.md", "roles/web/README.md", "index.md",
                                   "roles/web.md", "roles/db.md", "roles/my_app.md"}
+    assert {tuple(r) for r in summary(first).collect()} == {
+        ("harvest", "processed", 4), ("ingest", "processed", 3), ("compile", "processed", 3),
+        ("lint", "processed", 7)}
     second = converge(ws, tree(spark), echo(), config, LATER)
     assert ids(second["harvest"]) == ids(second["ingest"]) == ids(second["compile"]) == set()
     # the index was written after the first lint, over a compiled README.md

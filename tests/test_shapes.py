@@ -2,7 +2,6 @@
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
@@ -12,21 +11,10 @@ from corpusmill.operators import fingerprints as fp
 from corpusmill.operators.changes import changed_only
 from corpusmill.operators.rollup import category_assign
 
-LAZY = [n for n in QUERIES if not n.endswith("_run") and n not in (
-    "incremental_stream", "upsert_docs", "write_report", "limit_success")]
-
-
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", LAZY)
-def test_no_cross_joins_and_no_single_task_windows(spark, name):
-    text = plan(QUERIES[name](spark, SF))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert not re.search(r"Window.*\n.*Sort.*\n.*SinglePartition", text)
-
-
 def test_only_needed_columns_are_read(spark):
     documents = t.table(spark, SF, "documents")
     narrow = plan(documents.select("doc_id", fp.file_fingerprint(F.col("text").cast("binary"))))
