@@ -12,7 +12,7 @@ from corpusmill.storage import broadcast_if_small, materialise
 # The members, in order, that make up a role's compact fingerprint.
 COMPACT_MEMBERS = ("tasks/main.yml", "defaults/main.yml", "meta/main.yml")
 
-MAX_EXACT_BYTES = 64 * 1024 * 1024
+MAX_EXACT_BYTES = 16 * 1024 * 1024
 
 
 def file_fingerprint(content: Column) -> Column:

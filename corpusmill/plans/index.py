@@ -34,7 +34,8 @@ def build_index(active: DataFrame, listed: DataFrame, config: dict,
     """Index pages from active roles (role), listed categories and priority (pos, role)."""
     default = config["default_category"]
     assigned = category_assign(listed, active)
-    everything = assignment_union(assigned, category_default(active, assigned, default))
+    everything = materialise(  # the index reads it several times
+        assignment_union(assigned, category_default(active, assigned, default)), "assignments")
     titles = category_titles(everything, listed, default, config["default_category_title"])
     first = None if priority is None else priority_roles(priority, active)
     return index_document(active.sparkSession, everything, titles, first, config["title"],

@@ -42,10 +42,10 @@ class KeyedTable:
 
     def _write(self, rows: DataFrame, seq: int, base: bool, tag: str | None) -> dict:
         part = f"{seq:08d}-{uuid.uuid4().hex}"
-        path = f"{self.root}/parts/{part}"
-        rows.withColumn("_seq", F.lit(seq).cast("long")).write.parquet(path)
-        n = self.spark.read.parquet(path).count()  # from file footers
-        entry = {"seq": seq, "part": part, "base": base, "n": n, "tag": tag}
+        entry = {"seq": seq, "part": part, "base": base, "tag": tag}
+        rows.withColumn("_seq", F.lit(seq).cast("long")).write.parquet(
+            f"{self.root}/parts/{part}")
+        n = entry["n"] = self._load([entry]).count()  # from file footers
         if n or base:  # an empty part says nothing
             put_text(self.spark, f"{self.root}/log", f"{part}.json", json.dumps(entry))
         return entry
