@@ -9,7 +9,8 @@ from corpusmill.checks import tables as t
 from corpusmill.functions import paths as p
 from corpusmill.functions import rules as r
 from corpusmill.functions import text as x
-from corpusmill.operators import changes, fingerprints, media, model, pages, rollup, rules_join
+from corpusmill.operators import (
+    changes, fingerprints, lookup, media, model, pages, rollup, rules_join)
 from corpusmill.plans import compile as compiling
 from corpusmill.plans import index as indexing
 from corpusmill.plans import ingest as ingesting
@@ -405,7 +406,7 @@ def limit_success(spark, sf):
     prompts = _lint_prompts(spark, sf)
     tried = model.until_successes(
         prompts.select("file_id"), 50,
-        lambda batch: model.call_model(changes.fetch(prompts, batch, "file_id"), t.stub_model()))
+        lambda batch: model.call_model(lookup.fetch(prompts, batch, "file_id"), t.stub_model()))
     return tried.select("file_id", "response", "error")
 
 

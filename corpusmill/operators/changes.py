@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.storage import broadcast_if_small
-
 
 def changed_only(current: DataFrame, state: DataFrame, stage: str) -> DataFrame:
     """Rows of (file_id, hash) whose recorded hash is missing or different.
@@ -19,12 +17,6 @@ def changed_only(current: DataFrame, state: DataFrame, stage: str) -> DataFrame:
             .where(~F.col("hash").eqNullSafe(F.col("old_hash"))))
 
 
-def fetch(bodies: DataFrame, wanted: DataFrame, key: str | list[str]) -> DataFrame:
-    """Bodies of the wanted keys with the wanted columns. ``wanted`` is a written table;
-    an incremental run's few keys are broadcast and bodies do not move."""
-    return bodies.join(broadcast_if_small(wanted), key)
-
-
 def upsert_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``new`` replaces equal keys of ``old``; everything else stays."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))

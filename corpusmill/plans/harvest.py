@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions.paths import components
 from corpusmill.functions.rules import in_output_trees, is_ignored
 from corpusmill.functions.text import add_frontmatter, decode_text
-from corpusmill.operators.changes import fetch, state_of
+from corpusmill.operators.changes import state_of
+from corpusmill.operators.lookup import fetch
 from corpusmill.operators.fingerprints import file_fingerprint
 from corpusmill.operators.ordering import first_rows
 from corpusmill.operators.rules_join import ignored_by_gitrules

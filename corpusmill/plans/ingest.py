@@ -9,7 +9,8 @@ from corpusmill.functions.paths import rel_path
 from corpusmill.functions.rules import is_ignored
 from corpusmill.functions.text import (
     compact_lines, decode_text, ensure_frontmatter, role_prompt, truncate_text)
-from corpusmill.operators.changes import fetch, split_outcomes, state_of
+from corpusmill.operators.changes import split_outcomes, state_of
+from corpusmill.operators.lookup import fetch
 from corpusmill.operators.fingerprints import (
     file_fingerprint, group_fingerprint, merkle_fingerprint)
 from corpusmill.operators.model import until_successes
@@ -17,7 +18,7 @@ from corpusmill.operators.rollup import ROLES_DIR, role_members, role_sections
 from corpusmill.plans.config import MAX_MEMBER_CHARS
 from corpusmill.plans.index import write_index
 from corpusmill.plans.workspace import Model, Workspace, select_work
-from corpusmill.storage import broadcast_if_small, materialise
+from corpusmill.storage import materialise
 
 STAGE = "ingest"
 
@@ -108,7 +109,7 @@ def ingest(ws: Workspace, files: DataFrame, model: Model, config: dict,
         names = batch.select(F.col("file_id").alias("role"))
         members = role_members(roles)
         if changed_only or limit:
-            members = members.join(broadcast_if_small(names), "role")
+            members = fetch(members, names, "role")
         prompts = materialise(
             role_prompts(names, member_texts(members), config["role_prompt"]), "role-prompts")
         replies = materialise(model.answer(prompts, config["llm"]), "role-replies")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.changes import changed_only as diff
-from corpusmill.operators.changes import fetch
+from corpusmill.operators.lookup import fetch
 from corpusmill.operators.model import (
     MODEL_PARAMS, ModelFactory, call_model, until_successes)
 from corpusmill.sources.state import STATE_SCHEMA

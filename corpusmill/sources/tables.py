@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.storage import broadcast_if_small, exists, put_text
+from corpusmill.operators.lookup import without
+from corpusmill.storage import exists, put_text
 
 _COMMITS = "seq long, part string, base boolean, n long, tag string"
 
@@ -68,8 +69,8 @@ class KeyedTable:
         if len(commits) > 2:
             newer = newer.groupBy(*self.keys).agg(
                 F.max_by(F.struct(*newer.columns), "_seq").alias("_row")).select("_row.*")
-        touched = broadcast_if_small(self._load(commits[1:]).select(*self.keys).distinct())
-        return base.join(touched, self.keys, "left_anti").select(columns).unionByName(
+        touched = self._load(commits[1:]).select(*self.keys).distinct()
+        return without(base.select(columns), touched, self.keys).unionByName(
             newer.where(~F.col("_deleted")).select(columns))
 
     def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None,

@@ -62,16 +62,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast only when its measured size is under ``max_bytes``.
-
-    Beyond the bound the join is left to Spark (shuffle join, AQE skew splitting). ``df``
-    should be a written table: measuring it runs one narrow aggregation.
-    """
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the rows, by one narrow aggregation; ``df`` should be a written table."""
     width = sum(
         (F.coalesce(F.octet_length(F.col(f"`{n}`").cast("string")), F.lit(0)) + F.lit(16)
          for n in df.columns),
         F.lit(0),
     )
-    size = df.agg(F.sum(width.cast("long")).alias("b")).first()["b"] or 0
-    return F.broadcast(df) if size <= max_bytes else df
+    return df.agg(F.sum(width.cast("long")).alias("b")).first()["b"] or 0
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast only when its measured size is under ``max_bytes``;
+    beyond the bound the join is left to Spark (shuffle join, AQE skew splitting)."""
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusmill.operators.changes import changed_only, fetch, state_of
+from corpusmill.operators.changes import changed_only, state_of
+from corpusmill.operators.lookup import fetch
 from corpusmill.operators.fingerprints import file_fingerprint
 from corpusmill.plans.harvest import STAGE, eligible_files, staged_text
 from corpusmill.plans.workspace import Workspace
-from corpusmill.storage import broadcast_if_small, materialise
+from corpusmill.storage import materialise
 
 VERSIONS_SCHEMA = "path string, version long, content binary"
 
@@ -43,8 +44,7 @@ def harvest_versions(versions: DataFrame, ws: Workspace, config: dict, harvested
         current = materialise(
             last.select(path.alias("file_id"), "_last.version", "_last.hash"), "stream-batch")
         # a batch is small and the state is not: look its ids up without moving the state
-        known = ws.state.read().join(
-            broadcast_if_small(current.select("file_id")), "file_id", "left_semi")
+        known = fetch(ws.state.read(), current.select("file_id"), "file_id")
         work = materialise(changed_only(current, known, STAGE), "stream-work")
         wanted = work.select(F.col("file_id").alias("path"), "version",
                              F.col("hash").alias("source_hash"))

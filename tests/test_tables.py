@@ -1,6 +1,7 @@
 import pytest
 
 from corpusmill import storage
+from corpusmill.operators import lookup
 from corpusmill.sources.tables import KeyedTable
 
 
@@ -62,6 +63,20 @@ def test_broadcast_needs_a_small_side(spark, monkeypatch):
     assert hinted(small, 1000) and not hinted(big, 1000) and hinted(big, 10_000_000)
 
 
+@pytest.mark.parametrize("few,some", [(10**9, 0), (0, 10**9), (0, 0)])
+def test_lookups_agree_whatever_the_size(spark, monkeypatch, few, some):
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", few)
+    monkeypatch.setattr(lookup, "HASHED_KEYS", some)
+    table = spark.range(1000).selectExpr("cast(id as string) k", "id % 3 j", "id v").repartition(3)
+    keys = spark.range(0, 2000, 7).selectExpr("cast(id as string) k", "id % 3 j", "-id w")
+    got = lookup.fetch(table, keys, ["k", "j"]).collect()
+    assert sorted((r["v"], r["w"]) for r in got) == [(i, -i) for i in range(0, 1000, 7)]
+    rest = lookup.without(table, keys.select("k", "j"), ["k", "j"]).collect()
+    assert sorted(r["v"] for r in rest) == [i for i in range(1000) if i % 7]
+    one = lookup.fetch(table, keys.select("k", "w"), "k")
+    assert one.columns == ["k", "j", "v", "w"] and one.count() == len(got)
+
+
 def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
     class Conf:
         def __init__(self, **settings):
