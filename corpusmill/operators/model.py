@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -34,9 +35,11 @@ def call_model(prompts: DataFrame, make_model: ModelFactory, params: dict | None
                parallelism: int | None = None) -> DataFrame:
     """Each row's ``prompt`` gives way to a response or an error, and the attempts it took.
 
-    Other columns are carried along, so nothing has to be joined back. ``attempts`` above one retries a failed call after ``delay`` seconds. ``parallelism``
-    fixes the number of concurrent callers. Write the result before branching on it
-    (``materialise``): evaluating it twice would call the model twice.
+    Other columns are carried along, so nothing has to be joined back. ``attempts`` above
+    one retries a failed call after ``delay`` seconds. ``parallelism`` is the number of tasks
+    that call; a lost task repeats its own calls, so many small tasks are better than few.
+    Write the result before branching on it (``materialise``): evaluating it twice would
+    call the model twice.
     """
     settings = {**MODEL_PARAMS, **(params or {})}
     kept = [f for f in prompts.schema if f.name != "prompt"]
@@ -45,8 +48,6 @@ def call_model(prompts: DataFrame, make_model: ModelFactory, params: dict | None
                        + [RESPONSE_SCHEMA])
 
     def respond(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
-
         model = make_model()
 
         def one(prompt):

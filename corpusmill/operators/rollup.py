@@ -92,8 +92,11 @@ def category_rollup(assigned: DataFrame, titles: DataFrame,
     return links.join(titles, "cat")
 
 
-def _line(section: int, cat, rank, name: str | Column, text: Column) -> list[Column]:
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+def _line(section: int, cat, rank, name, text: Column) -> list[Column]:
+    """A line of the index with the key that orders it; values may be plain or columns."""
+    def as_col(value):
+        return value if isinstance(value, Column) else F.lit(value)
+
     return [F.struct(F.lit(section).alias("section"), as_col(cat).alias("cat"),
                      as_col(rank).cast("long").alias("rank"),
                      as_col(name).alias("name")).alias("k"), text.alias("text")]
@@ -160,7 +163,10 @@ def role_sections(members: DataFrame, page_chars: int = PAGE_CHARS) -> DataFrame
 def lint_report(findings: DataFrame, page_chars: int = PAGE_CHARS) -> DataFrame:
     """The report over (file_id, finding) in path order, as pages (page, text)."""
     spark = findings.sparkSession
-    key = lambda rank, parts: F.struct(F.lit(rank).alias("rank"), parts.alias("parts")).alias("k")
+
+    def key(rank: int, parts: Column) -> Column:
+        return F.struct(F.lit(rank).alias("rank"), parts.alias("parts")).alias("k")
+
     nowhere = F.array().cast("array<string>")
     rows = findings.select(key(1, components(F.col("file_id"))), F.col("finding").alias("text"))
     head = spark.range(1).select(key(0, nowhere), F.lit(REPORT_HEADING).alias("text"))

@@ -183,7 +183,8 @@ def test_state_files(spark, tmp_path):
 
 def test_changed_only_and_upsert(spark):
     state = spark.createDataFrame(
-        [("s", "same", "1"), ("s", "old", "1"), ("t", "new", "2")], "stage string, file_id string, hash string")
+        [("s", "same", "1"), ("s", "old", "1"), ("t", "new", "2")],
+        "stage string, file_id string, hash string")
     current = spark.createDataFrame([("same", "1"), ("old", "2"), ("new", "2")],
                                     "file_id string, hash string")
     changed = changed_only(current, state, "s")
