@@ -50,9 +50,9 @@ def find_exponent(totals: DataFrame, entropy_share: float, max_repeats: float) -
     used = totals.filter("tokens > 0")
     for _ in range(ROUNDS):
         step = (high - low) / PROBES
-        probes = used.crossJoin(F.broadcast(used.sparkSession.range(1, PROBES))).select(
-            F.col("id").alias("k"), F.ln("tokens").alias("l"),
-            (F.lit(low) + F.col("id") * F.lit(step)).alias("a"))
+        probes = used.select(
+            F.explode(F.sequence(F.lit(1), F.lit(PROBES - 1))).alias("k"),
+            F.ln("tokens").alias("l")).withColumn("a", F.lit(low) + F.col("k") * F.lit(step))
         z = F.sum(F.exp(F.col("a") * F.col("l")))
         stats = probes.groupBy("k", "a").agg(
             z.alias("z"),

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import huffman, langid, mixing, packing, toxicity
+from corpusmill.llm import (ann, covertree, huffman, importance, langid, mixing, neardup, packing,
+                            toxicity, urls)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def importance_query(spark, folder):
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def toxicity_query(spark, folder):
     return toxicity.score_toxicity(table(spark, folder, "documents"),
                                    table(spark, folder, "labels"))
@@ -21,6 +26,18 @@ def packing_query(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def jaccard_query(spark, folder):
+    return neardup.jaccard_join(table(spark, folder, "documents"))
+
+
+def urls_query(spark, folder):
+    return urls.judge_urls(table(spark, folder, "pages"))
+
+
+def cover_tree_query(spark, folder):
+    return covertree.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def language_query(spark, folder):
     return langid.identify_languages(table(spark, folder, "documents"))
 
@@ -30,6 +47,10 @@ def huffman_query(spark, folder):
     return huffman.decode_corpus(blocks, lengths)
 
 
+def neighbours_query(spark, folder):
+    return ann.nearest_neighbours(table(spark, folder, "embeddings"))
+
+
 def mixing_query(spark, folder):
     out = mixing.mix_sources(table(spark, folder, "documents"))
     return out.select("doc_id", "source", "epoch", "block",
@@ -37,10 +58,15 @@ def mixing_query(spark, folder):
 
 
 QUERIES = {
+    "op1_importance_resampling": importance_query,
     "op2_toxicity": toxicity_query,
     "op3_best_fit_packing": packing_query,
+    "op4_jaccard_join": jaccard_query,
+    "op5_url_filter": urls_query,
+    "op6_cover_tree_neardup": cover_tree_query,
     "op7_language_id": language_query,
     "op8_huffman_ids": huffman_query,
+    "op9_nearest_neighbours": neighbours_query,
     "op10_mix_sources": mixing_query,
 }
 
