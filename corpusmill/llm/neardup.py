@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from corpusmill.llm.components import components
 from corpusmill.llm.words import mixed, slices, strings, word_codes, word_hashes
 from corpusmill.operators.lookup import fetch, without
-from corpusmill.storage import broadcast_if_small, materialise
+from corpusmill.storage import materialise
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 16
-MAX_DEPTH = 7
+MAX_DEPTH = 6
 RECALL = 0.999
 RUN_ROWS = 1024
 J_BINS = 200
@@ -213,15 +213,15 @@ def _search(spark, reps: DataFrame, texts: DataFrame, depth: int, before: int |
             threshold: float) -> DataFrame:
     """Links first met at this depth, as rows (kind, a, b, n): ``count`` n links of class a,
     ``edge`` between classes a and b, ``bin`` n links of similarity a/J_BINS."""
-    trees = reps.select("c", "n", "labels", F.explode(
-        F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).withColumn(
+    # Prefixes that more than one representative shares, with the number of their blocks; only
+    # numbers are moved to find them, labels follow for the documents that are left.
+    trees = reps.select("c", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"),
+                        "labels").withColumn(
         "prefix", F.xxhash64("tree", F.substring(
-            F.col("labels"), F.col("tree") * (2 * MAX_DEPTH) + 1, F.lit(2 * depth))))
-    # Prefixes that more than one representative shares, with the number of their blocks.
-    shared = materialise(
-        trees.groupBy("prefix").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(
-            "prefix", F.ceil(F.col("m") / RUN_ROWS).cast("int").alias("blocks")), "prefixes")
-    members = trees.join(shared, "prefix").withColumn(
+            F.col("labels"), F.col("tree") * (2 * MAX_DEPTH) + 1, F.lit(2 * depth)))).drop("labels")
+    shared = trees.groupBy("prefix").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(
+        "prefix", F.ceil(F.col("m") / RUN_ROWS).cast("int").alias("blocks"))
+    members = trees.join(shared, "prefix").join(reps.select("c", "n", "labels"), "c").withColumn(
         "own", F.pmod(F.xxhash64("c", "tree"), F.col("blocks")).cast("int"))
     members = members.withColumn("against", F.explode(
         F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -372,7 +372,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         "classes")
     compared = F.col("i").isNotNull() & (F.col("n") > 0)
     return marked.select("i", "k1", "k2", "n").join(
-        broadcast_if_small(named), ["k1", "k2"], "left").select(
+        named, ["k1", "k2"], "left").select(
         F.col("i").alias(doc_id),
         F.when(compared, F.col("class_id").cast(kind)).otherwise(F.col("i")).alias("class_id"),
         F.when(compared, F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
