@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.tokens import default_path, encoder
+from corpusmill.llm.tokens import SLICE_BYTES, default_path, encoder
 from corpusmill.llm.words import slices, strings
 from corpusmill.storage import broadcast_if_small, materialise
 
@@ -134,7 +134,7 @@ def tokenize(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int) ->
         encode = encoder(path, end_id, False).encode
         for batch in batches:
             texts = strings(batch.column(1))
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_BYTES):
                 ids = encode(texts.slice(a, b - a))
                 at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset:ids.offset + b - a + 1]
                 flat = np.frombuffer(ids.buffers()[2], "<u4")[at[0] // 4:at[-1] // 4]

@@ -14,14 +14,20 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
+SLICE_BYTES = 8 << 20
 
 # How the public word-level tokenizer splits lower-cased text.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-# How the public byte-level tokenizer splits text.
-BYTE_PATTERN = (r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+WORD_PATTERN = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+# How the public byte-level tokenizer splits text whose white space is single.
+BYTE_PATTERN = r"('(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s)"
+# Chunks of other characters, or with longer white space, are encoded whole.
+SEEN = r"[\x21-\x7e\x{a1}-\x{ac}\x{ae}-\x{ff}]+"
+PLAIN = rf"^{SEEN}(\n{SEEN})*$"
+BLANK_END = r"(^|[\s\x0b\x1c-\x1f\x{85}\p{Z}])$"
+
+NOTHING = pa.scalar(b"", pa.large_binary())
 
 _encoders: dict[tuple, "Encoder"] = {}
 
@@ -42,68 +48,97 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = pa.scalar(int(end_id).to_bytes(4, "little"), pa.large_binary())
         self.spaced = spaced  # chunks keep the space before them, and case counts
-        self.split = regex.compile(BYTE_PATTERN if spaced else WORD_PATTERN).findall
-        self.simple = regex.compile(r"[\x20-\x7e\xa1-\xac\xae-\xff\n]*").fullmatch
-        self.chunks: dict[str, bytes] = {}
+        self.pattern = BYTE_PATTERN if spaced else WORD_PATTERN
         self.pieces: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("I", x.ids).tobytes() for x in found]
 
-    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        known = self.chunks
-        missing = [c for c in chunks if c not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE_ENTRIES:
-                known = self.chunks = {c: known[c] for c in chunks if c in known}
-            plain, odd = [], []
-            for c in missing:
-                (plain if self.simple(c) and "<|" not in c else odd).append(c)
-            known.update(zip(odd, self._direct(odd)))
-            split = [self.split(c if self.spaced else c.lower()) for c in plain]
-            pieces = self.pieces
-            new = list({p for parts in split for p in parts if p not in pieces})
-            if len(pieces) + len(new) > CACHE_ENTRIES:
-                needed = {p for parts in split for p in parts}
-                pieces = self.pieces = {p: pieces[p] for p in needed if p in pieces}
-            pieces.update(zip(new, self._direct(new)))
-            get = pieces.__getitem__
-            known.update((c, b"".join(map(get, parts))) for c, parts in zip(plain, split))
-        return list(map(known.__getitem__, chunks))
+    def _cached(self, pieces: list[str]) -> list[bytes]:
+        known = self.pieces
+        new = [p for p in pieces if p not in known]
+        if len(known) + len(new) > CACHE_ENTRIES:
+            known = self.pieces = {p: known[p] for p in pieces if p in known}
+        known.update(zip(new, self._direct(new)))
+        return list(map(known.__getitem__, pieces))
+
+    def _chunk_ids(self, chunks: pa.Array, plain: np.ndarray) -> pa.Array:
+        """Ids of distinct chunks, for plain ones from those of the pieces they split into."""
+        out = np.empty(len(chunks), np.int64)  # places in ``parts``, which hold one chunk each
+        word = plain & pc.utf8_is_alpha(chunks).to_numpy(zero_copy_only=False)
+        groups, found = [], 0
+        for chosen, way in ((word, self._words), (plain & ~word, self._split), (~plain, self._whole)):
+            at = np.flatnonzero(chosen)
+            if len(at):
+                groups.append(way(chunks.take(pa.array(at))))
+                out[at] = np.arange(len(at)) + found
+                found += len(at)
+        return pa.concat_arrays(groups).take(pa.array(out))
+
+    def _words(self, chunks: pa.Array) -> pa.Array:
+        lowered = chunks if self.spaced else pc.utf8_lower(chunks)
+        return pa.array(self._cached(self._ahead(lowered).to_pylist()), pa.large_binary())
+
+    def _whole(self, chunks: pa.Array) -> pa.Array:
+        return pa.array(self._direct(self._ahead(chunks).to_pylist()), pa.large_binary())
+
+    def _split(self, chunks: pa.Array) -> pa.Array:
+        text = self._ahead(chunks if self.spaced else pc.utf8_lower(chunks))
+        marked = pc.replace_substring_regex(text, pattern=self.pattern, replacement="\\1\0")
+        if not self.spaced:
+            marked = pc.replace_substring(marked, pattern="\n", replacement="")
+        parts = pc.split_pattern(marked, "\0")
+        coded = parts.flatten().dictionary_encode()
+        ids = pa.array(self._cached(coded.dictionary.to_pylist()), pa.large_binary())
+        return pc.binary_join(pa.LargeListArray.from_arrays(
+            parts.offsets.cast(pa.int64()), ids.take(coded.indices)), NOTHING)
+
+    def _ahead(self, chunks: pa.Array) -> pa.Array:
+        """Chunks with the space before them; a text's first one is looked up without."""
+        return pc.binary_join_element_wise(" ", chunks, "") if self.spaced else chunks
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """A binary array; null must have been filled."""
         if not len(texts):
             return pa.array([], pa.large_binary())
-        whole = None
-        if self.spaced:  # a space after white space belongs to a longer run
-            runs = pc.match_substring_regex(texts, r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] ")
-            if pc.any(runs).as_py():
-                whole = np.flatnonzero(runs.to_numpy(zero_copy_only=False))
-                filled = texts.to_pylist()
-                direct = dict(zip(whole.tolist(), self._direct([filled[i] for i in whole])))
-                texts = pc.if_else(runs, pa.scalar("", pa.string()), texts)
         parts = pc.split_pattern(texts, " ")
         coded = parts.flatten().dictionary_encode()
+        vocab = coded.dictionary
         offsets = parts.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        vocab = coded.dictionary.to_pylist()
-        if self.spaced:  # a text's first chunk has no space before it
-            first = [vocab[c] for c in codes[offsets[:-1]]]
-            codes[offsets[:-1]] = np.arange(len(first)) + len(vocab)
-            vocab = [" " + v for v in vocab] + first
-        ids = pa.array(self._chunk_ids(vocab), pa.large_binary())
-        flat = ids.take(pa.array(codes))
-        joined = pc.binary_join(
-            pa.LargeListArray.from_arrays(pa.array(offsets), flat), pa.scalar(b"", pa.large_binary()))
-        if whole is not None:
-            out = joined.to_pylist()
-            for i, b in direct.items():
-                out[i] = b
-            joined = pa.array(out, pa.large_binary())
-        return pc.binary_join_element_wise(joined, self.end, pa.scalar(b"", pa.large_binary()))
+        plain = pc.and_not(pc.match_substring_regex(vocab, PLAIN),
+                           pc.match_substring(vocab, "<|")).to_numpy(zero_copy_only=False)
+        direct = {}
+        if self.spaced:
+            # A first chunk, and a space after white space, are not cut off as other chunks are.
+            odd = np.flatnonzero(~plain)
+            blank = np.zeros(len(vocab), bool)
+            blank[odd] = pc.match_substring_regex(
+                vocab.take(pa.array(odd)), BLANK_END).to_numpy(zero_copy_only=False)
+            first = codes[offsets[:-1]]
+            heads = pc.unique(vocab.take(pa.array(first)))
+            place = dict(zip(heads.to_pylist(), range(len(heads))))
+            head_ids = self._direct(heads.to_pylist())
+            at = [place[v] for v in vocab.take(pa.array(first)).to_pylist()]
+            codes[offsets[:-1]] = np.array(at, np.int64) + len(vocab)
+            whole = np.flatnonzero(np.logical_or.reduceat(
+                np.concatenate((blank, np.zeros(len(heads), bool)))[codes],
+                offsets[:-1]) | blank[first])
+            direct = dict(zip(whole.tolist(), self._direct(
+                texts.take(pa.array(whole)).to_pylist())))
+        ids = self._chunk_ids(vocab, plain)
+        if self.spaced:
+            ids = pa.concat_arrays([ids, pa.array(head_ids, pa.large_binary())])
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(
+            pa.array(offsets), ids.take(pa.array(codes))), NOTHING)
+        if direct:
+            mask = np.zeros(len(texts), bool)
+            mask[list(direct)] = True
+            joined = pc.replace_with_mask(joined, pa.array(mask), pa.array(
+                [direct[i] for i in sorted(direct)], pa.large_binary()))
+        return pc.binary_join_element_wise(joined, self.end, NOTHING)
 
 
 def encoder(path: str, end_id: int, spaced: bool) -> Encoder:
