@@ -27,7 +27,8 @@ THRESHOLD = 0.9
 BLOCK_ROWS = 8192
 MAX_PIVOTS = 512
 LEAF = 24
-SLACK = 1e-9
+SLACK = 1e-6  # on distances: more than rounding can add up to
+NARROW = 1e-5  # on cosines in single precision, which only screen
 
 
 # ---- trees, inside a task -------------------------------------------------------------
@@ -47,27 +48,27 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _cover(x: np.ndarray, points: np.ndarray, radius: float) -> list[np.ndarray]:
-    """Greedy nested cover: groups of points within ``radius`` of their first one."""
-    groups, left = [], points
+    """Greedy nested cover: groups of points within about ``radius`` of their first one."""
+    groups, left, least = [], points, 1 - radius * radius / 2
+    narrow = x[points].astype(np.float32)
     while len(left):
         batch, rest = left[:256], left[256:]
-        near = _distances(x[batch], x[batch]) <= radius
+        near = narrow[:256] @ narrow[:256].T >= least
         owner = np.full(len(batch), -1)
         for i in range(len(batch)):
             if owner[i] < 0:
                 owner[near[i] & (owner < 0)] = i
+                owner[i] = i
         centres = np.flatnonzero(owner == np.arange(len(batch)))
         taken = np.full(len(rest), -1)
-        if len(rest):
-            within = _distances(x[rest], x[batch[centres]]) <= radius
-            hit = within.any(1)
-            taken[hit] = within[hit].argmax(1)
+        row, column = np.nonzero(narrow[256:] @ narrow[centres].T >= least)
+        taken[row[::-1]] = column[::-1]  # the first centre that covers it
         by = np.argsort(taken, kind="stable")
         ends = np.searchsorted(taken[by], np.arange(len(centres) + 1))
         for k, c in enumerate(centres):
             own = batch[owner == c]
             groups.append(np.concatenate((own, rest[by[ends[k]:ends[k + 1]]])))
-        left = rest[taken < 0]
+        left, narrow = rest[taken < 0], narrow[256:][taken < 0]
     return groups
 
 
@@ -93,6 +94,8 @@ class Links:
         self.count_x = np.zeros(len(x), np.int64)
         self.count_y = self.count_x if same else np.zeros(len(y), np.int64)
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self.narrow_x = x.astype(np.float32)
+        self.narrow_y = self.narrow_x if same else y.astype(np.float32)
 
     def _all(self, p, q):
         """Every point of p links with every point of q."""
@@ -105,57 +108,95 @@ class Links:
         self.count_x[p] += self.wx[p].sum() - self.wx[p]
         self.edges.append((np.repeat(p[:1], len(p)), p))
 
-    def _some(self, p, q, within):
-        """Compare point by point; ``within``: p and q are the same points."""
-        for a in range(0, len(p), 1024):
-            rows = p[a:a + 1024]
-            cosine = self.x[rows] @ self.y[q].T
-            hit = cosine >= self.threshold
-            for i, j in zip(*np.nonzero(np.abs(cosine - self.threshold) < SLACK)):
-                hit[i, j] = exact_cosine(self.x[rows[i]], self.y[q[j]]) >= self.threshold
-            if within:
-                hit[np.arange(len(rows)), np.arange(a, a + len(rows))] = False
-            if not hit.any():
-                continue
-            self.count_x[rows] += hit @ self.wy[q]
-            if not within:
-                self.count_y[q] += self.wx[rows] @ hit
-            first = hit.argmax(1)
-            own = hit.any(1)
-            self._span(rows, q, hit, own, first)
-
-    def _span(self, rows, q, hit, own, first):
-        """Edges with the same components as all hits: each row to its first partner, and of
-        the other pairs one for each partner and set of rows already joined."""
-        self.edges.append((rows[own], q[first[own]]))
-        rest = hit.copy()
-        rest[np.flatnonzero(own), first[own]] = False
-        i, j = np.nonzero(rest)
+    def _masked(self, ps, qs, mask):
+        """Compare the points of leaves p and q wherever ``mask`` has the pair."""
+        i, j = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+        rows = np.concatenate([ps[k].points for k in i])
+        columns = np.concatenate([qs[k].points for k in j])
+        node_p = np.repeat(i, [len(ps[k].points) for k in i])
+        node_q = np.repeat(j, [len(qs[k].points) for k in j])
+        for a in range(0, len(rows), 512):
+            own = rows[a:a + 512]
+            cosine = self.x[own] @ self.y[columns].T
+            cosine[~mask[node_p[a:a + 512]][:, node_q]] = -2
+            self._hits(own, columns, cosine)
+
+    def _hits(self, rows, columns, cosine, within=False):
+        hit = cosine >= self.threshold
+        for i, j in zip(*np.nonzero(np.abs(cosine - self.threshold) < 1e-9)):
+            hit[i, j] = exact_cosine(self.x[rows[i]], self.y[columns[j]]) >= self.threshold
+        own = hit.any(1)
+        if not own.any():
+            return
+        rows, hit = rows[own], hit[own]
+        self.count_x[rows] += hit @ self.wy[columns]
+        if not within:
+            self.count_y[columns] += self.wx[rows] @ hit
+        # Edges with the same components as all hits: each row to its first partner; of the
+        # other pairs one for each partner and set of rows joined by their first.
+        first = hit.argmax(1)
+        self.edges.append((rows, columns[first]))
+        hit[np.arange(len(rows)), first] = False
+        i, j = np.nonzero(hit)
         if len(i):
-            pair = np.unique(first[i] * np.int64(len(q)) + j, return_index=True)[1]
-            self.edges.append((rows[i[pair]], q[j[pair]]))
+            pair = np.unique(first[i] * np.int64(len(columns)) + j, return_index=True)[1]
+            self.edges.append((rows[i[pair]], columns[j[pair]]))
 
     def walk(self, p: Node, q: Node):
-        stack = [(p, q)]
-        while stack:
-            p, q = stack.pop()
-            if self.same and p is q:
-                if 2 * p.radius <= self.reach - SLACK:
-                    self._all_within(p.points)
-                elif not p.children:
-                    self._some(p.points, p.points, True)
-                else:
-                    stack += [(c, c) for c in p.children]
-                    self._between(p.children, p.children, True, stack)
-            elif p.children or q.children:
-                self._between(p.children or [p], q.children or [q], False, stack)
-            else:
-                self._some(p.points, q.points, False)
-
-    def _between(self, ps, qs, ordered, stack):
-        """Meet two lists of nodes: prune, count whole, or keep for later."""
+        if self.same:
+            self._within(p)
+        else:
+            self._between([p], [q], False)
+
+    def _within(self, p: Node):
+        if 2 * p.radius <= self.reach - SLACK:
+            self._all_within(p.points)
+        elif p.children:
+            for c in p.children:
+                if len(c.points) > 1:
+                    self._within(c)
+            self._between(p.children, p.children, True)
+        else:
+            for a in range(0, len(p.points), 512):
+                own = p.points[a:a + 512]
+                cosine = self.x[own] @ self.x[p.points].T
+                cosine[np.arange(len(own)), np.arange(a, a + len(own))] = -2
+                self._hits(own, p.points, cosine, within=True)
+
+    def _single(self, rows, columns, ordered):
+        """Points against points: distances to centres are all there is to prune by."""
+        for a in range(0, len(rows), 512):
+            near = self.narrow_x[rows[a:a + 512]] @ self.narrow_y[columns].T
+            i, j = np.nonzero(near >= self.threshold - NARROW)
+            i += a
+            if ordered:
+                i, j = i[j > i], j[j > i]
+            if len(i):
+                own, at = np.unique(i, return_inverse=True)
+                other, to = np.unique(j, return_inverse=True)
+                cosine = np.full((len(own), len(other)), -2.0)
+                cosine[at, to] = (self.x[rows[i]] * self.y[columns[j]]).sum(1)
+                self._hits(rows[own], columns[other], cosine)
+
+    def _between(self, ps, qs, ordered):
+        """Meet two lists of nodes; those of one point apart from the others."""
+        one_p, many_p = _by_size(ps)
+        one_q, many_q = (one_p, many_p) if ordered else _by_size(qs)
+        if one_p and one_q:
+            self._single(np.array([p.points[0] for p in one_p]),
+                         np.array([q.points[0] for q in one_q]), ordered)
+        if many_p and many_q:
+            self._nodes(many_p, many_q, ordered)
+        if many_p and one_q:
+            self._nodes(many_p, one_q, False)
+        if one_p and many_q and not ordered:
+            self._nodes(one_p, many_q, False)
+
+    def _nodes(self, ps, qs, ordered):
+        """Prune, count whole, compare leaves, go down elsewhere."""
         centre_q = np.array([q.points[0] for q in qs])
         radius_q = np.array([q.radius for q in qs])
+        leaf_q = np.array([not q.children for q in qs])
         for a in range(0, len(ps), 512):
             own = ps[a:a + 512]
             gap = _distances(self.x[[p.points[0] for p in own]], self.y[centre_q])
@@ -163,17 +204,23 @@ class Links:
             open_ = gap - room <= self.reach + SLACK
             if ordered:
                 open_ &= np.arange(len(qs)) > np.arange(a, a + len(own))[:, None]
-            i, j = np.nonzero(open_)
-            whole = gap[i, j] + room[i, j] <= self.reach - SLACK
-            for k, l in zip(i[whole], j[whole]):
+            whole = open_ & (gap + room <= self.reach - SLACK)
+            for k, l in zip(*np.nonzero(whole)):
                 self._all(own[k].points, qs[l].points)
-            i, j = i[~whole], j[~whole]
-            for k, l in zip(i, j):
-                p, q = own[k], qs[l]
-                if not p.children and not q.children:
-                    self._some(p.points, q.points, False)
-                else:
-                    stack.append((p, q))
+            open_ &= ~whole
+            leaf_p = np.array([not p.children for p in own])
+            for k in np.flatnonzero(~leaf_p & open_.any(1)):
+                self._between(own[k].children, [qs[l] for l in np.flatnonzero(open_[k])], False)
+            open_ &= leaf_p[:, None]
+            for l in np.flatnonzero(~leaf_q & open_.any(0)):
+                self._between([own[k] for k in np.flatnonzero(open_[:, l])], qs[l].children, False)
+            open_ &= leaf_q
+            if open_.any():
+                self._masked(own, qs, open_)
+
+
+def _by_size(nodes):
+    return [n for n in nodes if len(n.points) == 1], [n for n in nodes if len(n.points) > 1]
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
