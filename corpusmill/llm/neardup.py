@@ -29,9 +29,9 @@ from corpusmill.storage import materialise
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES = 16
+TREES = 32
 MAX_DEPTH = 6
-RECALL = 0.999
+RECALL = 0.9999
 RUN_ROWS = 1024
 J_BINS = 200
 
