@@ -273,15 +273,15 @@ on_corpus("strip_response", f"SELECT path, {strip('text')} AS stripped FROM docs
 
 on_corpus("file_fingerprint", """SELECT path, sha256(text) AS hash FROM docs
     UNION ALL SELECT 'gone/'||page_id, '' FROM pages""")
-on_corpus("group_fingerprint", """SELECT source, sha256(string_agg(path||text, '' ORDER BY k))
-    AS fingerprint FROM docs GROUP BY source""")
-on_corpus("group_fingerprint_merkle", """SELECT source, sha256(string_agg(node||':'||h, chr(10)
+GROUP_TREE = """SELECT source, sha256(string_agg(node||':'||h, chr(10)
         ORDER BY node||':'||h)) AS fingerprint FROM (
     SELECT source, node[:2] AS node, sha256(string_agg(node||':'||h, chr(10)
         ORDER BY node||':'||h)) AS h FROM (
     SELECT source, sha256(path)[:4] AS node, sha256(string_agg(path||':'||sha256(text), chr(10)
         ORDER BY path||':'||sha256(text))) AS h FROM docs GROUP BY 1, 2) GROUP BY 1, 2)
-    GROUP BY 1""")
+    GROUP BY 1"""
+on_corpus("group_fingerprint", GROUP_TREE)
+on_corpus("group_fingerprint_merkle", GROUP_TREE)
 SQUEEZED = (f"array_to_string(list_transform({lines('text')}, lambda l: {strip('l')}), '')")
 on_corpus("compact_fingerprint", f"""SELECT 'r'||(doc_id // 4) AS rol, md5(
     coalesce(max(s) FILTER (doc_id % 4 = 0), '')||coalesce(max(s) FILTER (doc_id % 4 = 1), '')

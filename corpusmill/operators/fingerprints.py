@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.paths import components
 from corpusmill.functions.text import decode_text, squeeze_lines
-from corpusmill.storage import broadcast_if_small, materialise
 
 # The members, in order, that make up a role's compact fingerprint.
 COMPACT_MEMBERS = ("tasks/main.yml", "defaults/main.yml", "meta/main.yml")
 
-MAX_EXACT_BYTES = 16 * 1024 * 1024
-
 
 def file_fingerprint(content: Column) -> Column:
     """SHA-256 of the raw bytes; an absent file has the empty fingerprint."""
@@ -42,35 +38,10 @@ def merkle_fingerprint(files: DataFrame, group: str, rel: str, file_hash: str) -
     return level.select(group, F.col("_hash").alias("fingerprint"))
 
 
-def group_fingerprint(files: DataFrame, group: str, rel: str, content: str,
-                      max_exact_bytes: int = MAX_EXACT_BYTES) -> DataFrame:
-    """SHA-256 over ``path ‖ bytes`` of a group's files in component order.
-
-    That hash is one sequential pass, so it is computed only for groups whose measured size
-    is at most ``max_exact_bytes``. Larger groups get the Merkle fingerprint, marked with
-    ``merkle:``; a group crossing the bound counts as changed once. ``content`` of large
-    groups is never grouped.
-    """
-    sizes = files.groupBy(group).agg(
-        F.sum(F.octet_length(content) + F.octet_length(rel)).alias("_bytes"))
-    large = broadcast_if_small(materialise(
-        sizes.where(F.col("_bytes") > max_exact_bytes).select(group), "large-groups"))
-    # bytes ride in a string: array_join copies them unchanged and in one pass
-    piece = F.concat(F.col(rel), F.col(content).cast("string"))
-    exact = (
-        files.join(large, group, "left_anti")
-        .groupBy(group)
-        .agg(F.sort_array(F.collect_list(
-            F.struct(components(F.col(rel)).alias("k"), piece.alias("piece")))).alias("_files"))
-        .select(group, F.sha2(F.array_join(
-            F.transform("_files", lambda f: f["piece"]), "").cast("binary"), 256)
-            .alias("fingerprint")))
-    spread = merkle_fingerprint(
-        files.join(large, group, "left_semi")
-        .select(group, rel, file_fingerprint(F.col(content)).alias("_file_hash")),
-        group, rel, "_file_hash",
-    ).withColumn("fingerprint", F.concat(F.lit("merkle:"), "fingerprint"))
-    return exact.unionByName(spread)
+def group_fingerprint(files: DataFrame, group: str, rel: str, content: str) -> DataFrame:
+    """The tree fingerprint of each group's files, from their bytes; alike at every size."""
+    hashed = files.select(group, rel, file_fingerprint(F.col(content)).alias("_file_hash"))
+    return merkle_fingerprint(hashed, group, rel, "_file_hash")
 
 
 def compact_fingerprint(files: DataFrame, group: str, rel: str, content: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from corpusmill.storage import materialise
 
 TOP_ROWS = 100_000
-MAX_RANGES = 20_000
 
 
 def with_start(rows: DataFrame, group: list[str], order: str, weight: Column,
@@ -22,7 +21,7 @@ def with_start(rows: DataFrame, group: list[str], order: str, weight: Column,
     """
     ranged = materialise(
         rows.withColumn("_weight", weight.cast("long"))
-        .repartitionByRange(max(1, min(ranges, MAX_RANGES)), *group, order)
+        .repartitionByRange(max(1, ranges), *group, order)
         .withColumn("_range", F.spark_partition_id()), "ranges")
     keys = [*group, "_range"]
     totals = ranged.groupBy(*keys).agg(F.sum("_weight").alias("_total"))

@@ -10,6 +10,7 @@ from corpusmill.functions.text import compile_prompt, truncate_text
 from corpusmill.operators.changes import split_outcomes, state_of
 from corpusmill.plans.config import MAX_DOCUMENT_CHARS
 from corpusmill.plans.workspace import Model, Workspace, ask_documents
+from corpusmill.sources.files import scan_docs
 
 STAGE = "compile"
 
@@ -21,7 +22,7 @@ def compile_docs(ws: Workspace, model: Model, config: dict, changed_only: bool =
     The compared hash is that of the source file, so a new harvest date alone changes
     nothing; ``hash_header`` compares the staged text, header included.
     """
-    raw = ws.raw.read().where(~is_named(F.col("path"), "index.md"))
+    raw = scan_docs(ws.raw.read()).where(~is_named(F.col("path"), "index.md"))
     digest = F.sha2(F.col("text").cast("binary"), 256) if hash_header else F.col("source_hash")
     docs = raw.select(F.col("path").alias("file_id"), "text", digest.alias("hash"))
     prompt = compile_prompt(truncate_text(F.col("text"), MAX_DOCUMENT_CHARS),

@@ -15,7 +15,7 @@ from corpusmill.operators.ordering import first_rows
 from corpusmill.operators.rules_join import ignored_by_gitrules
 from corpusmill.plans.config import SOURCE_TYPE
 from corpusmill.plans.workspace import Workspace, select_work
-from corpusmill.sources.files import scan_patterns
+from corpusmill.sources.files import scan_docs, scan_patterns
 from corpusmill.storage import materialise
 
 STAGE = "harvest"
@@ -60,11 +60,11 @@ def selected_files(files: DataFrame, config: dict, git_rules: DataFrame | None =
 def clean_up(ws: Workspace, files: DataFrame, config: dict, git_rules: DataFrame | None = None,
              tracked: DataFrame | None = None, mode: str = "compat",
              keep_deleted: bool = False) -> None:
-    """Drop staged documents that are now ignored, and, unless ``keep_deleted``, those whose
+    """Drop staged Markdown documents that are now ignored, and, unless ``keep_deleted``, those whose
     source is gone together with their saved hashes."""
     if ws.raw.is_new():
         return
-    staged = ws.raw.read().select("path")
+    staged = scan_docs(ws.raw.read().select("path"))
     path = F.col("path")
     gone = staged.where(is_ignored(path, config["harvest_ignore"], mode))
     dropped = _git_ignored(staged, git_rules, tracked)

@@ -11,8 +11,7 @@ from corpusmill.functions.text import (
     compact_lines, decode_text, ensure_frontmatter, role_prompt, truncate_text)
 from corpusmill.operators.changes import split_outcomes, state_of
 from corpusmill.operators.lookup import fetch
-from corpusmill.operators.fingerprints import (
-    file_fingerprint, group_fingerprint, merkle_fingerprint)
+from corpusmill.operators.fingerprints import group_fingerprint
 from corpusmill.operators.model import until_successes
 from corpusmill.operators.rollup import ROLES_DIR, role_members, role_sections
 from corpusmill.plans.config import MAX_MEMBER_CHARS
@@ -33,18 +32,12 @@ def role_files(files: DataFrame, ignore: list[str], mode: str = "compat") -> Dat
                                            F.length("path"))))
 
 
-def role_hashes(roles: DataFrame, ignore: list[str], mode: str = "compat",
-                byte_exact: bool = False) -> DataFrame:
+def role_hashes(roles: DataFrame, ignore: list[str], mode: str = "compat") -> DataFrame:
     """(file_id, hash) per role over its files that no rule drops. A role whose files are
     all dropped still has a hash, that of nothing."""
     empty = F.sha2(F.lit("").cast("binary"), 256)
     kept = roles.where(~is_ignored(F.col("path"), ignore, mode))
-    if byte_exact:
-        prints = group_fingerprint(kept, "role", "rel", "content")
-    else:
-        prints = merkle_fingerprint(
-            kept.select("role", "rel", file_fingerprint(F.col("content")).alias("h")),
-            "role", "rel", "h")
+    prints = group_fingerprint(kept, "role", "rel", "content")
     if not ignore:
         return prints.select(F.col("role").alias("file_id"), F.col("fingerprint").alias("hash"))
     return (roles.select("role").distinct().join(prints, "role", "left")
@@ -93,8 +86,7 @@ def stale_pages(ws: Workspace, done: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def ingest(ws: Workspace, files: DataFrame, model: Model, config: dict,
-           changed_only: bool = False, limit: int | None = None, mode: str = "compat",
-           byte_exact: bool = False) -> DataFrame:
+           changed_only: bool = False, limit: int | None = None, mode: str = "compat") -> DataFrame:
     """Document the roles in ``files`` (path, content). Returns (file_id, error, hash) of
     the tried roles. The index follows if at least one role succeeded.
 
@@ -102,7 +94,7 @@ def ingest(ws: Workspace, files: DataFrame, model: Model, config: dict,
     """
     ignore = config["ingest_ignore"]
     roles = role_files(files, ignore, mode)
-    work = select_work(role_hashes(roles, ignore, mode, byte_exact), ws, STAGE, changed_only)
+    work = select_work(role_hashes(roles, ignore, mode), ws, STAGE, changed_only)
     answers: list[DataFrame] = []
 
     def run(batch: DataFrame) -> DataFrame:

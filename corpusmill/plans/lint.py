@@ -11,6 +11,7 @@ from corpusmill.operators.changes import split_outcomes, state_of
 from corpusmill.operators.rollup import lint_report
 from corpusmill.plans.config import MAX_DOCUMENT_CHARS
 from corpusmill.plans.workspace import Model, Workspace, ask_documents
+from corpusmill.sources.files import scan_docs
 
 STAGE = "lint"
 
@@ -19,7 +20,7 @@ def lint_docs(ws: Workspace, model: Model, config: dict, changed_only: bool = Fa
               limit: int | None = None) -> DataFrame:
     """Writes the report of this run; findings also stay by document, so a report over all
     runs can be made from ``ws.findings``. Returns the outcomes as in ``compile_docs``."""
-    wiki = ws.wiki.read().where(~is_named(F.col("path"), "lint-report.md"))
+    wiki = scan_docs(ws.wiki.read()).where(~is_named(F.col("path"), "lint-report.md"))
     docs = wiki.select(F.col("path").alias("file_id"), "text",
                        F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
     prompt = lint_prompt(F.concat(F.lit(config["wiki_dir"] + "/"), F.col("file_id")),

@@ -26,6 +26,7 @@ class Workspace:
     wiki: KeyedTable = field(init=False)
     state: KeyedTable = field(init=False)
     findings: KeyedTable = field(init=False)
+    versions: KeyedTable = field(init=False)
 
     def __post_init__(self):
         def table(name, keys, schema):
@@ -34,6 +35,7 @@ class Workspace:
         self.raw = table("raw", ["path"], "path string, text string, source_hash string")
         self.wiki = table("wiki", ["path"], "path string, text string")
         self.state = table("state", ["stage", "file_id"], STATE_SCHEMA)
+        self.versions = table("versions", ["path"], "path string, version long")
         self.findings = table("findings", ["file_id"], "file_id string, finding string")
 
     def save_report(self, pages: DataFrame) -> None:

@@ -26,23 +26,37 @@ def read_versions(spark: SparkSession, folder: str,
 
 def harvest_versions(versions: DataFrame, ws: Workspace, config: dict, harvested_date: str,
                      checkpoint: str, mode: str = "compat") -> StreamingQuery:
-    """Stage the last version of each path of every batch if its hash is new.
+    """Stage the last version of each path of every batch if it is newer than the last one
+    seen and its hash is new.
 
-    Exactly once by key and content: documents and state are logged under the batch id, so
-    a replayed batch is a no-op, and even a fresh checkpoint finds every hash known. State
-    is by content, so there is no event time to expire.
+    Versions may arrive in any order and in any batches: an older one never replaces a newer
+    one. Documents and state are logged under the batch id, so a replayed batch is a no-op, and
+    a fresh checkpoint finds every version known, however the replay is cut into batches.
+    Versions that are not UTF-8 go to quarantine.
     """
 
     def stage(batch: DataFrame, batch_id: int) -> None:
         path = F.col("path")
-        found = eligible_files(batch, config, mode).where(
-            F.try_validate_utf8(F.col("content").cast("string")).isNotNull())
+        tag = f"{checkpoint}#{batch_id}"
+        eligible = eligible_files(batch, config, mode)
+        readable = F.try_validate_utf8(F.col("content").cast("string")).isNotNull()
+        found = eligible.where(readable)
+        bad = materialise(eligible.where(~readable).select(
+            path.alias("file_id"), F.concat(F.lit("not UTF-8, version "), F.col("version").cast(
+                "string")).alias("error"), F.lit(0).cast("long").alias("attempts")), "unreadable")
+        if not bad.isEmpty():
+            ws.quarantine(bad, STAGE)
         # only hashes go through the aggregation, bodies are fetched for what is left
         last = found.groupBy("path").agg(
             F.max_by(F.struct("version", file_fingerprint(F.col("content")).alias("hash")),
                      "version").alias("_last"))
-        current = materialise(
+        latest = materialise(
             last.select(path.alias("file_id"), "_last.version", "_last.hash"), "stream-batch")
+        seen = fetch(ws.versions.read(), latest.select(F.col("file_id").alias("path")), "path").select(
+            path.alias("file_id"), F.col("version").alias("_seen"))
+        current = materialise(latest.join(seen, "file_id", "left").where(
+            F.col("_seen").isNull() | (F.col("version") > F.col("_seen"))).drop("_seen"),
+            "stream-newer")
         # a batch is small and the state is not: look its ids up without moving the state
         known = fetch(ws.state.read(), current.select("file_id"), "file_id")
         work = materialise(changed_only(current, known, STAGE), "stream-work")
@@ -52,8 +66,10 @@ def harvest_versions(versions: DataFrame, ws: Workspace, config: dict, harvested
         bodies = fetch(found, wanted, ["path", "version"])
         ws.raw.apply(bodies.dropDuplicates(["path"]).select(
             "path", staged_text(path, F.col("content"), harvested_date).alias("text"),
-            "source_hash"), tag=f"{checkpoint}#{batch_id}")
-        ws.state.apply(state_of(work, STAGE), tag=f"{checkpoint}#{batch_id}")
+            "source_hash"), tag=tag)
+        ws.state.apply(state_of(work, STAGE), tag=tag)
+        # last, so that a batch that died half-way is taken up again
+        ws.versions.apply(current.select(F.col("file_id").alias("path"), "version"), tag=tag)
 
     return (versions.writeStream.foreachBatch(stage)
             .option("checkpointLocation", checkpoint)

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF
+from corpusmill.checks.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +25,7 @@ def by_column(names, rows):
                   key=lambda r: [(v is None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", entry.oracle_sql())
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -37,5 +38,9 @@ def test_query_equals_sql(spark, duck, name):
     assert want and by_column(df.columns, map(tuple, df.collect())) == want
 
 
+def test_every_query_of_the_engine_has_sql():
+    assert set(QUERIES) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["file_id", "hash", "old_hash"]

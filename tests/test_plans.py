@@ -187,15 +187,15 @@ def test_ingest_without_success_saves_nothing(spark, ws):
     assert texts(ws.wiki) == {} and state(ws, "ingest") == {}
 
 
-def test_ingest_ignore_and_byte_exact(spark, ws):
+def test_ingest_ignore(spark, ws):
     config = load_config({"wiki": {"ingest_ignore": ["db", "*.yml"]}})
-    assert ids(ingest(ws, tree(spark), echo(), config, changed_only=True, byte_exact=True)) == {
+    assert ids(ingest(ws, tree(spark), echo(), config, changed_only=True)) == {
         "web", "my_app"}
     # ignored members are outside the fingerprint, other files are not
     quiet = tree(spark, **{"roles/web/tasks/main.yml": "- a: 2"})
-    assert ids(ingest(ws, quiet, echo(), config, changed_only=True, byte_exact=True)) == set()
+    assert ids(ingest(ws, quiet, echo(), config, changed_only=True)) == set()
     loud = tree(spark, **{"roles/web/README.md": "!"})
-    assert ids(ingest(ws, loud, echo(), config, changed_only=True, byte_exact=True)) == {"web"}
+    assert ids(ingest(ws, loud, echo(), config, changed_only=True)) == {"web"}
 
 
 def test_a_role_too_large_for_a_prompt_gets_pages(spark, ws, monkeypatch):

@@ -34,3 +34,24 @@ def test_versions(spark, tmp_path):
     assert run("fresh") == want  # everything is replayed in one batch
     assert ws.state.read().orderBy("file_id").collect() == hashes
     assert ws.raw.read().where(F.col("source_hash").isNull()).count() == 0
+
+
+def test_an_older_version_never_replaces_a_newer_one(spark, tmp_path):
+    folder, ws = str(tmp_path / "v"), Workspace(spark, str(tmp_path / "ws"))
+
+    def add(*versions):
+        spark.createDataFrame([(p, v, bytearray(c)) for p, v, c in versions],
+                              VERSIONS_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+
+    def run(checkpoint):
+        harvest_versions(read_versions(spark, folder, 1), ws, load_config(), DATE,
+                         str(tmp_path / checkpoint)).awaitTermination()
+        return {r["path"]: r["text"].split("\n\n", 1)[1] for r in ws.raw.read().collect()}
+
+    add(("a.md", 3, b"three"), ("bad.md", 7, b"\xff"))
+    assert run("ck") == {"a.md": "three"}
+    add(("a.md", 2, b"two"), ("b.md", 5, b"b"))
+    assert run("ck") == {"a.md": "three", "b.md": "b"}
+    assert run("fresh") == {"a.md": "three", "b.md": "b"}  # replayed file by file
+    bad = spark.read.parquet(f"{ws.root}/quarantine").collect()
+    assert {(r["file_id"], r["error"]) for r in bad} == {("bad.md", "not UTF-8, version 7")}
