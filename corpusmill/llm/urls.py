@@ -26,6 +26,7 @@ TREES = 60
 DEPTH = 4
 RATE = 0.2
 BINS = 64
+LEXICAL = 14
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # The rules, as (verdict, host, path).
@@ -94,7 +95,7 @@ def features(urls, hosts, paths, stats: np.ndarray) -> np.ndarray:
     """One row per URL: lexical values, then commonness and block rate of each suffix."""
     rows = [lexical(u or "", h, p) for u, h, p in zip(urls, hosts, paths)]
     at = np.array([suffixes(h, p) for h, p in zip(hosts, paths)], np.int64).reshape(-1, 4)
-    plain = np.array(rows, np.float64).reshape(len(rows), -1)
+    plain = np.array(rows, np.float64).reshape(len(rows), LEXICAL)
     return np.concatenate((plain, stats[at, 0], stats[at, 1]), axis=1)
 
 

@@ -221,8 +221,8 @@ def test_mixing_equals_sql(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns(
         {"epoch": F.lit("x"), "tokens": F.lit("y")})
     con = duckdb.connect()
-    documents = docs.toPandas()  # noqa: F841
-    con.execute("CREATE VIEW documents AS SELECT * FROM documents")
+    frame = docs.toArrow()  # noqa: F841  (keeps whole numbers whole)
+    con.execute("CREATE VIEW documents AS SELECT * FROM frame")
     got = mixing.mix_sources(docs).withColumn("position", F.round("position", 9))
     names = ["doc_id", "source", "epoch", "block", "position"]
     key = lambda r: tuple((v is None or v != v, str(v)) for v in r)
