@@ -152,13 +152,21 @@ def tokenize(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int) ->
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, schema)
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All 16-bit ids of a column of rows, and where each row starts (and the last one ends)."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    ids = np.frombuffer(column.buffers()[2] or b"", "<u2")[at[0] // 2:at[-1] // 2]
+    return ids, (at - at[0]) // 2
+
+
 def count_ids(tokens: DataFrame) -> DataFrame:
     """(token, count) over all ids; a task sends one row per distinct id at most."""
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for row in batch.column(0):
-                total += np.bincount(np.frombuffer(row.as_buffer(), "<u2"), minlength=1 << 16)
+            if batch.num_rows:
+                total += np.bincount(_flat(batch.column(0))[0], minlength=1 << 16)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])],
                                          names=["token", "n"])
@@ -168,19 +176,27 @@ def count_ids(tokens: DataFrame) -> DataFrame:
 
 
 def _gathered(batches, most: int):
-    """Documents of the sorted rows in runs of about ``most`` ids."""
-    ids, keys, held = [], [], 0
+    """Whole documents of the sorted rows in runs of about ``most`` ids: (document ids, lengths,
+    ids)."""
+    keys, lengths, ids, held = [], [], [], 0
     for batch in batches:
-        for i, row in enumerate(batch.column(1)):
-            own = np.frombuffer(row.as_buffer(), "<u2")
-            ids.append(own)
-            keys.append(batch.column(0)[i])
-            held += len(own)
+        if not batch.num_rows:
+            continue
+        flat, at = _flat(batch.column(1))
+        start = 0
+        while start < batch.num_rows:
+            end = int(np.searchsorted(at, at[start] + most - held))
+            end = min(max(end, start + 1), batch.num_rows)
+            keys.append(batch.column(0).slice(start, end - start))
+            lengths.append(np.diff(at[start:end + 1]))
+            ids.append(flat[at[start]:at[end]])
+            held += int(at[end] - at[start])
             if held >= most:
-                yield keys, ids
-                ids, keys, held = [], [], 0
+                yield pa.concat_arrays(keys), np.concatenate(lengths), np.concatenate(ids)
+                keys, lengths, ids, held = [], [], [], 0
+            start = end
     if keys:
-        yield keys, ids
+        yield pa.concat_arrays(keys), np.concatenate(lengths), np.concatenate(ids)
 
 
 def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -208,16 +224,14 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches):
         code, part, first = Code(shared.value), TaskContext.get().partitionId(), 0
-        for number, (keys, ids) in enumerate(_gathered(batches, block_ids)):
-            flat = np.concatenate(ids).astype(np.int64)
-            data = code.block(flat, np.array([len(x) for x in ids]))
+        for number, (keys, sizes, ids) in enumerate(_gathered(batches, block_ids)):
             yield kind.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()),
-                 pa.array([first]), pa.array([len(flat)]),
-                 pa.array([[k.as_py() for k in keys]],
-                          pa.list_(keys[0].type)), pa.array([data], pa.binary())],
+                 pa.array([first]), pa.array([len(ids)]),
+                 pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
+                 pa.array([code.block(ids, sizes)], pa.binary())],
                 names=schema.names)
-            first += len(flat)
+            first += len(ids)
 
     ordered = tokens.repartitionByRange(F.col(doc_id)).sortWithinPartitions(doc_id, "n", "ids")
     blocks = ordered.select(doc_id, "ids").mapInArrow(run, schema)
