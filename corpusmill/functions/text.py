@@ -21,6 +21,10 @@ FINDING_WORDS = ("issue", "missing", "suggest")
 # every mention is another copy of the argument's expression in the plan.
 _CASED = "\\p{IsUppercase}\\p{IsLowercase}\\p{Lt}"
 
+# Characters whose title case is not their upper case: digraphs, ligatures, Georgian.
+_TITLED = {c: c.title() for c in map(chr, range(0x80, 0xD800)) if c.title() != c.upper()} | {
+    c: c.title() for c in map(chr, range(0xE000, 0x10000)) if c.title() != c.upper()}
+
 
 def strip(text: Column) -> Column:
     """Trim Unicode whitespace: one pass over bytes, where a regex would try every position."""
@@ -61,9 +65,15 @@ def title_case(name: Column) -> Column:
     """Underscores to spaces, then capitalise every run of cased letters (``2fa`` → ``2Fa``)."""
     runs = F.regexp_extract_all(
         F.replace(name, F.lit("_"), F.lit(" ")), F.lit(f"([{_CASED}]+|[^{_CASED}]+)"), F.lit(1))
+    titled = F.create_map(*[F.lit(x) for pair in _TITLED.items() for x in pair])
+
+    def capital(first: Column) -> Column:
+        return F.when(first > F.lit("\x7f"), F.coalesce(
+            F.try_element_at(titled, first), F.upper(first))).otherwise(F.upper(first))
+
     return F.array_join(
         F.transform(runs, lambda r: F.concat(
-            F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r))))), "")
+            capital(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r))))), "")
 
 
 def is_finding(response: Column, words: tuple[str, ...] = FINDING_WORDS) -> Column:

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.paths import components
-from corpusmill.operators.ordering import TOP_ROWS, with_start
-from corpusmill.storage import materialise
+from corpusmill.operators.ordering import numbered
+from corpusmill.storage import materialise, scratch_path
 
 # Generation parameters and retry policy when the caller gives none.
 MODEL_PARAMS = {"temperature": 0.25, "max_tokens": 4096, "timeout": 900}
@@ -77,33 +76,25 @@ def until_successes(candidates: DataFrame, limit: int | None,
     """Run candidates (file_id, ...) in path order until ``limit`` of them succeed.
 
     ``run`` turns a batch into rows with ``file_id`` and ``error``. Each round takes the
-    next rows after the last id tried, as many as successes are missing; so no row is tried
+    next rows after the last one tried, as many as successes are missing; so no row is tried
     that the one-by-one order would not have tried. Without a limit there is one round over
-    everything. Rounds read a written candidate table and write their result; a large limit
-    has the candidates numbered once, so that no round passes through one task.
+    everything. ``candidates`` should be a written table: they are numbered once and written
+    in that order, so a round reads its slice by file statistics and none passes through one
+    task. All rounds write into one folder.
     """
     if not limit:
         return materialise(run(candidates), "outcomes")
-    numbered = limit > TOP_ROWS
-    candidates = candidates.withColumn("_key", components(F.col("file_id")))
-    candidates = materialise(
-        with_start(candidates, [], "_key", F.lit(1), limit // TOP_ROWS + 1)
-        if numbered else candidates, "candidates")
-    rounds, missing, tried, last = [], limit, 0, None
-    while missing > 0:
-        if numbered:
-            batch = candidates.where(F.col("start").between(tried, tried + missing - 1)) \
-                .drop("start")
-        else:
-            ahead = candidates if last is None else candidates.where(
-                F.col("_key") > F.array(*[F.lit(part) for part in last]))
-            batch = ahead.orderBy("_key").limit(missing)
-        batch = materialise(batch, "batch")
-        n, last = batch.agg(F.count(F.lit(1)), F.max("_key")).first()
-        done = materialise(run(batch.drop("_key")), "outcomes")
-        rounds.append(done)
-        if n < missing:  # that was the last batch
-            break
-        tried += n
-        missing -= done.where(F.col("error").isNull()).count()
-    return reduce(DataFrame.unionByName, rounds)
+    candidates = materialise(numbered(
+        candidates.withColumn("_key", components(F.col("file_id"))), "_key").drop("_key"),
+        "candidates")
+    total, tried, missing = candidates.count(), 0, limit
+    folder = scratch_path(candidates.sparkSession, "outcomes")
+    while True:
+        done = run(candidates.where(F.col("start").between(tried, tried + missing - 1))
+                   .drop("start"))
+        done.write.mode("append").parquet(folder)
+        outcomes = candidates.sparkSession.read.schema(done.schema).parquet(folder)
+        tried += missing
+        missing = limit - outcomes.where(F.col("error").isNull()).count()
+        if missing <= 0 or tried >= total:
+            return outcomes

@@ -82,6 +82,8 @@ def test_title_case(column):
 
     check()
     assert column(x.title_case, ["my-role_2fa", "éclair_ünder"]) == ["My-Role 2Fa", "Éclair Ünder"]
+    odd = ["ßa", "ǆx", "ﬁn_ﬂy", "აბ", "ŉa", "x ᾳb"]  # title case is not upper case
+    assert column(x.title_case, odd) == [v.replace("_", " ").title() for v in odd]
 
 
 def test_decode(column):

@@ -211,7 +211,7 @@ def test_model_rows_fail_alone(spark):
     (17, "some", 100), (5, "all", 100), (100, "some", 100), (5, "some", 2), (17, "none", 2),
     (40, "all", 2), (17, "some", 2)])
 def test_limit_counts_successes_in_path_order(spark, monkeypatch, limit, failing, top):
-    monkeypatch.setattr("corpusmill.operators.model.TOP_ROWS", top)
+    monkeypatch.setattr("corpusmill.operators.ordering.RANGE_ROWS", top)
     ids = ["a/b.md", "a-b.md", "a.md"] + [f"d{i % 3}/f{i:02d}.md" for i in range(30)]
     fails = {"none": set(), "some": set(ids[::2]), "all": set(ids)}[failing]
     want, successes = [], 0
@@ -231,9 +231,12 @@ def test_limit_counts_successes_in_path_order(spark, monkeypatch, limit, failing
 
 @pytest.mark.parametrize("top", [3, 100])
 def test_first_rows(spark, monkeypatch, top):
-    monkeypatch.setattr("corpusmill.operators.ordering.TOP_ROWS", top)
+    monkeypatch.setattr("corpusmill.operators.ordering.RANGE_ROWS", top)
     df = spark.range(50).selectExpr("(id * 7) % 50 as k").repartition(4)
-    assert sorted(r["k"] for r in first_rows(df, "k", 20).collect()) == list(range(20))
+    first = first_rows(df, "k", 20)
+    assert sorted(r["k"] for r in first.collect()) == list(range(20))
+    assert "TakeOrdered" not in first._jdf.queryExecution().executedPlan().toString()
+    assert first_rows(df, "k", 0).count() == 0 and first_rows(df, "k", 99).count() == 50
 
 
 def test_limit_over_nothing(spark):
