@@ -109,14 +109,12 @@ def harvest(ws: Workspace, files: DataFrame, config: dict, harvested_date: str,
         bodies = fetch(eligible_files(files, config, mode), work.select(
             F.col("file_id").alias("path"), "hash"), "path")
         ws.raw.apply(bodies.select("path", text, F.col("hash").alias("source_hash")))
-    else:  # one pass: the saved hashes are read off the staged rows
-        staged = ws.raw.apply(hashed.where(readable).select(
-            "path", text, F.col("hash").alias("source_hash")))
+    else:  # one pass: saved hashes and unreadable paths are read off the written rows
+        staged = ws.raw.apply(hashed.select("path", text, F.col("hash").alias("source_hash"),
+                                            "content"), rejected=~readable)
         work = staged.select(F.col("path").alias("file_id"), F.col("source_hash").alias("hash"))
-        # counting paths reads no content; only a difference is worth a second pass
-        bad = found.where(~readable).select(F.col("path").alias("file_id")) \
-            if found.count() != staged.count() else None
-    if bad is not None:
+        bad = ws.raw.rejects().select(F.col("path").alias("file_id"))
+    if not bad.isEmpty():
         ws.quarantine(bad.select("file_id", F.lit("not UTF-8").alias("error"),
                                  F.lit(0).cast("long").alias("attempts")), STAGE)
     ws.state.apply(state_of(work, STAGE))

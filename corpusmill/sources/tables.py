@@ -5,14 +5,17 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.operators.lookup import without
-from corpusmill.storage import exists, put_text
+from corpusmill.operators.lookup import fetch, without
+from corpusmill.storage import exists, put_text, remove
 
-_COMMITS = "seq long, part string, base boolean, n long, tag string"
+_COMMITS = "seq long, part string, covers long, n long, tag string"
+
+# Newer parts are merged once there are so many, so a long row of tiny runs stays cheap to read.
+MERGED_PARTS = 32
 
 
 class KeyedTable:
@@ -20,35 +23,50 @@ class KeyedTable:
 
     ``apply`` writes the changed and removed keys of a run as a new part and then logs it,
     so a run that dies leaves the table as it was. ``read`` overlays the newer parts on the
-    base: without newer parts it is a plain scan, and a few changed keys are broadcast, so
-    the base is not shuffled. Once the newer parts reach half of the base, ``apply``
-    folds everything into a new base.
+    base: without newer parts it is a plain scan. Otherwise the newest row of each key is found
+    on keys alone and the parts are joined with these, so a pass over keys reads and moves
+    keys, and a few changed keys are broadcast. Once the newer parts reach half of the base,
+    ``apply`` folds everything into a new base; many small parts are merged before that.
+
+    A log entry is named by its number and never replaced, so a second writer fails instead of
+    losing a change. An entry says from which number on it stands for all before it; parts and
+    entries that were already stood for before the last fold are removed, so a frame read
+    before a fold can still be evaluated after it, but not after the next one.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str], schema: str):
         self.spark, self.root, self.keys, self.schema = spark, root.rstrip("/"), keys, schema
 
-    def _log(self) -> list:
+    def _entries(self) -> list:
         log = f"{self.root}/log"
         if not exists(self.spark, log):
             return []
-        commits = sorted(self.spark.read.schema(_COMMITS).json(log).collect(),  # a row per run
-                         key=lambda c: c["seq"])
-        bases = [i for i, c in enumerate(commits) if c["base"]]
-        return commits[bases[-1]:] if bases else commits
+        return sorted(self.spark.read.schema(_COMMITS).json(log).collect(),  # few, see _tidy
+                      key=lambda c: c["seq"])
 
-    def _load(self, commits: list) -> DataFrame:
-        return self.spark.read.schema(f"{self.schema}, _deleted boolean, _seq long").parquet(
+    def _log(self) -> list:
+        """The entries that make up the table, the base first."""
+        live, start = [], None
+        for entry in reversed(self._entries()):
+            if start is None or entry["seq"] < start:
+                live.append(entry)
+                start = entry["covers"]
+        return live[::-1]
+
+    def _load(self, commits: list, rejected: bool = False) -> DataFrame:
+        rows = self.spark.read.schema(
+            f"{self.schema}, _deleted boolean, _rejected boolean, _seq long").parquet(
             *[f"{self.root}/parts/{c['part']}" for c in commits])
+        return rows.where(F.col("_rejected") == rejected).drop("_rejected")
 
-    def _write(self, rows: DataFrame, seq: int, base: bool, tag: str | None) -> dict:
+    def _write(self, rows: DataFrame, seq: int, covers: int, tag: str | None) -> dict:
         part = f"{seq:08d}-{uuid.uuid4().hex}"
-        entry = {"seq": seq, "part": part, "base": base, "tag": tag}
+        entry = {"seq": seq, "part": part, "covers": covers, "tag": tag}
         rows.withColumn("_seq", F.lit(seq).cast("long")).write.parquet(
             f"{self.root}/parts/{part}")
-        n = entry["n"] = self._load([entry]).count()  # from file footers
-        if n or base:  # an empty part says nothing
-            put_text(self.spark, f"{self.root}/log", f"{part}.json", json.dumps(entry))
+        n = entry["n"] = self._load([entry]).count()  # reads one flag
+        if n or not covers:  # an empty part says nothing
+            put_text(self.spark, f"{self.root}/log", f"{seq:08d}.json", json.dumps(entry))
         return entry
 
     def is_new(self) -> bool:
@@ -58,47 +76,76 @@ class KeyedTable:
         commits = self._log()
         if not commits:
             return self.spark.createDataFrame([], self.schema)
-        return self._overlay(commits)
-
-    def _overlay(self, commits: list) -> DataFrame:
-        columns = [c for c in self._load(commits[:1]).columns if not c.startswith("_")]
-        base = self._load(commits[:1]).where(~F.col("_deleted"))
+        columns = StructType.fromDDL(self.schema).fieldNames()
+        base = self._load(commits[:1]).where(~F.col("_deleted")).select(columns)
         if len(commits) == 1:
-            return base.select(columns)
-        newer = self._load(commits[1:])
-        if len(commits) > 2:
-            newer = newer.groupBy(*self.keys).agg(
-                F.max_by(F.struct(*newer.columns), "_seq").alias("_row")).select("_row.*")
-        touched = self._load(commits[1:]).select(*self.keys).distinct()
-        return without(base.select(columns), touched, self.keys).unionByName(
+            return base
+        newer, winners = self._newest(commits[1:])
+        return without(base, winners.select(self.keys), self.keys).unionByName(
             newer.where(~F.col("_deleted")).select(columns))
 
+    def _newest(self, commits: list) -> tuple[DataFrame, DataFrame]:
+        """The newest rows of these parts, and their (keys, _seq)."""
+        rows = self._load(commits)
+        if len(commits) == 1:
+            return rows, rows.select(*self.keys, "_seq")
+        winners = rows.groupBy(*self.keys).agg(F.max("_seq").alias("_seq"))
+        return fetch(rows, winners, [*self.keys, "_seq"]), winners
+
     def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None,
-              tag: str | None = None) -> DataFrame | None:
+              tag: str | None = None, rejected: Column | None = None) -> DataFrame | None:
         """Put ``upserts`` in place of equal keys and drop the keys in ``deletes``. Each key
         comes once. Returns the rows as written. A ``tag`` that is already logged makes this
-        a no-op (replayed batch)."""
-        commits = self._log()
-        if tag and tag in {c["tag"] for c in commits}:
+        a no-op (replayed batch). Upserts for which ``rejected`` holds are written down by key
+        but change nothing (see ``rejects``): one pass sorts good rows from bad ones."""
+        entries, commits = self._entries(), self._log()
+        if tag and tag in {c["tag"] for c in entries}:
             return None
         names = StructType.fromDDL(self.schema)
         parts = []
         if upserts is not None:
-            parts.append(upserts.select(*names.fieldNames(), F.lit(False).alias("_deleted")))
+            bad = F.lit(False) if rejected is None else F.coalesce(rejected, F.lit(False))
+            parts.append(upserts.withColumn("_rejected", bad).select(
+                *[F.col(f.name) if f.name in self.keys or rejected is None
+                  else F.when(~F.col("_rejected"), F.col(f.name)).alias(f.name) for f in names],
+                F.lit(False).alias("_deleted"), "_rejected"))
         if deletes is not None:
             parts.append(deletes.select(
                 *[F.col(f.name) if f.name in self.keys else F.lit(None).cast(f.dataType)
-                  .alias(f.name) for f in names], F.lit(True).alias("_deleted")))
+                  .alias(f.name) for f in names], F.lit(True).alias("_deleted"),
+                F.lit(False).alias("_rejected")))
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        seq = commits[-1]["seq"] + 1 if commits else 0
-        entry = self._write(rows, seq, base=not commits, tag=tag)
+        seq = entries[-1]["seq"] + 1 if entries else 0
+        entry = self._write(rows, seq, covers=seq if commits else 0, tag=tag)
         newer = sum(c["n"] for c in commits[1:]) + entry["n"]
         if commits and newer * 2 > commits[0]["n"]:
             self.compact(tag)
+        elif len(commits) > MERGED_PARTS:
+            self._merge(tag)
+        self._written = entry
         return self._load([entry]).where(~F.col("_deleted")).drop("_deleted", "_seq")
 
-    def compact(self, tag: str | None = None) -> None:
+    def rejects(self) -> DataFrame:
+        """Keys that the last ``apply`` of this object rejected."""
+        return self._load([self._written], rejected=True).select(self.keys)
+
+    def _merge(self, tag: str | None) -> None:
         commits = self._log()
+        newest, _ = self._newest(commits[1:])
+        self._write(newest.drop("_seq").withColumn("_rejected", F.lit(False)),
+                    commits[-1]["seq"] + 1, covers=commits[1]["covers"], tag=tag)
+
+    def compact(self, tag: str | None = None) -> None:
+        entries, commits = self._entries(), self._log()
         if len(commits) > 1:
-            self._write(self._overlay(commits).withColumn("_deleted", F.lit(False)),
-                        commits[-1]["seq"] + 1, base=True, tag=tag)
+            self._write(self.read().withColumn("_deleted", F.lit(False)).withColumn(
+                "_rejected", F.lit(False)), entries[-1]["seq"] + 1, covers=0, tag=tag)
+            self._tidy(entries, commits)
+
+    def _tidy(self, entries: list, commits: list) -> None:
+        """Remove what was no longer part of the table before the fold that just ended."""
+        live = {c["seq"] for c in commits}
+        for old in entries:
+            if old["seq"] not in live:
+                remove(self.spark, f"{self.root}/log/{old['seq']:08d}.json")
+                remove(self.spark, f"{self.root}/parts/{old['part']}")

@@ -42,15 +42,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm_path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, jvm_path = _hadoop(spark, path)
+    fs.delete(jvm_path, True)
+
+
 def put_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
-    """Write a small file so that readers see all of it or none."""
+    """Write a small file that is not there yet, so that readers see all of it or none."""
     fs, final = _hadoop(spark, f"{folder}/{name}")
-    _, draft = _hadoop(spark, f"{folder}/_{name}")
+    _, draft = _hadoop(spark, f"{folder}/_{uuid.uuid4().hex}-{name}")
     out = fs.create(draft)
     out.write(bytearray(text.encode()))
     out.close()
-    if not fs.rename(draft, final):
-        raise OSError(f"could not write {folder}/{name}")
+    if fs.exists(final) or not fs.rename(draft, final):
+        fs.delete(draft, False)
+        raise OSError(f"{folder}/{name} was written by somebody else, or cannot be written")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

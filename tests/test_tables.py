@@ -31,7 +31,7 @@ def test_upserts_deletes_and_folding(spark, table):
         table.apply(rows(spark, upserts) if upserts else None, gone)
         want = {k: v for k, v in {**want, **upserts}.items() if k not in deletes}
         assert contents(table) == want
-    assert [c["base"] for c in table._log()][0] and len(table._log()) == 2
+    assert table._log()[0]["covers"] == 0 and len(table._log()) == 2
     table.compact()
     assert len(table._log()) == 1 and contents(table) == want
     assert dict(map(tuple, table.apply(rows(spark, {"k7": "x"})).collect())) == {"k7": "x"}
@@ -49,6 +49,50 @@ def test_an_unlogged_part_is_invisible(spark, table):
     assert contents(table) == {"a": "1"}
 
 
+def test_keys_are_read_and_moved_without_bodies(spark, table):
+    table.apply(rows(spark, {f"k{i}": "0" for i in range(40)}))
+    table.apply(rows(spark, {"k1": "1"}))
+    table.apply(rows(spark, {"k1": "2", "k2": "2"}))
+    plan = table.read().select("path")._jdf.queryExecution().executedPlan().toString()
+    assert len(table._log()) == 3 and "FileScan" in plan and "text" not in plan
+    assert contents(table)["k1"] == "2"
+
+
+def test_many_small_parts_are_merged_and_old_ones_removed(spark, table, monkeypatch, tmp_path):
+    monkeypatch.setattr("corpusmill.sources.tables.MERGED_PARTS", 3)
+    want = {f"k{i}": "0" for i in range(100)}
+    table.apply(rows(spark, want))
+    for i in range(12):
+        table.apply(rows(spark, {f"k{i % 5}": str(i)}), spark.createDataFrame(
+            [(f"k{50 + i}",)], "path string"), tag=f"q#{i}")
+        want = {k: v for k, v in {**want, f"k{i % 5}": str(i)}.items() if k != f"k{50 + i}"}
+        assert contents(table) == want and len(table._log()) <= 5
+    assert table.apply(rows(spark, {"k0": "again"}), tag="q#0") is None
+    for _ in range(2):
+        table.apply(rows(spark, want))
+        table.compact()
+        assert contents(table) == want
+    kept = {c["part"] for c in table._entries()}
+    assert {p.name for p in (tmp_path / "t/parts").iterdir()} == kept and len(kept) < 6
+
+
+def test_a_second_writer_fails(spark, table):
+    table.apply(rows(spark, {"a": "1"}))
+    with pytest.raises(OSError):
+        table._write(rows(spark, {"a": "2"}).selectExpr(
+            "*", "false _deleted", "false _rejected"), 0, 0, None)
+    assert contents(table) == {"a": "1"}
+
+
+def test_rejected_rows_change_nothing(spark, table):
+    table.apply(rows(spark, {"a": "1", "b": "1"}))
+    from pyspark.sql import functions as F
+    done = table.apply(rows(spark, {"a": "bad", "c": "2"}), rejected=F.col("text") == "bad")
+    assert [tuple(r) for r in done.collect()] == [("c", "2")]
+    assert [r["path"] for r in table.rejects().collect()] == ["a"]
+    assert contents(table) == {"a": "1", "b": "1", "c": "2"}
+
+
 def test_empty_changes_leave_no_entry(spark, table):
     table.apply(rows(spark, {"a": "1"}))
     table.apply(rows(spark, {"a": "1"}).where("false"))
