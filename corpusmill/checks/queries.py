@@ -431,19 +431,24 @@ def stale_split(spark, sf):
 
 # --- state, stream, model --------------------------------------------------
 
+def _saved(spark, sf, done):
+    state = Workspace(spark, scratch_path(spark, "state")).state
+    state.apply(t.state(spark, sf))
+    state.apply(changes.state_of(done, "harvest"))
+    return state.read()
+
+
 @query
 def state_upsert(spark, sf):
     done, _ = changes.split_outcomes(t.responses(spark, sf))
-    return changes.upsert_rows(t.state(spark, sf), changes.state_of(done, "harvest"),
-                               ["stage", "file_id"])
+    return _saved(spark, sf, done)
 
 
 @query
 def failure_isolation(spark, sf):
     """After a run with failures: what succeeded is saved, what failed keeps its old hash."""
     done, failed = changes.split_outcomes(t.responses(spark, sf))
-    saved = changes.upsert_rows(t.state(spark, sf), changes.state_of(done, "harvest"),
-                                ["stage", "file_id"]).select("file_id", "hash")
+    saved = _saved(spark, sf, done).select("file_id", "hash")
     tried = done.select("file_id", F.lit("ok").alias("outcome")).unionByName(
         failed.select("file_id", F.concat(F.lit("failed: "), "error").alias("outcome")))
     return tried.join(saved, "file_id", "left")

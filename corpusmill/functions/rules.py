@@ -151,14 +151,14 @@ def rglob_regex(pattern: str, root_only: bool = False) -> str:
     return "(?s)" + _join_segments(start + parts, False) + "\\z"
 
 
-def _any_of(value: Column, regexes: list[str]) -> Column:
+def any_of(value: Column, regexes: list[str]) -> Column:
     """One alternation, so a long list costs one pass over the path."""
     unique = list(dict.fromkeys(r for r in regexes if r))
     return value.rlike("|".join(f"(?:{r})" for r in unique)) if unique else F.lit(False)
 
 
 def matches_patterns(path: Column, patterns: list[str], root_only: bool = False) -> Column:
-    return _any_of(path, [rglob_regex(p, root_only) for p in patterns])
+    return any_of(path, [rglob_regex(p, root_only) for p in patterns])
 
 
 def sign_runs(rules: list[Rule]) -> list[tuple[bool, list[str]]]:
@@ -175,15 +175,15 @@ def sign_runs(rules: list[Rule]) -> list[tuple[bool, list[str]]]:
 def ignored_wildmatch(path: Column, patterns: list[str]) -> Column:
     """Last matching rule wins; ``!`` rules take a path back in."""
     rules = [r for r in map(wildmatch_rule, patterns) if r]
-    verdicts = [F.when(_any_of(path, regexes), F.lit(not negated))
+    verdicts = [F.when(any_of(path, regexes), F.lit(not negated))
                 for negated, regexes in reversed(sign_runs(rules))]
     return F.coalesce(*verdicts, F.lit(False))
 
 
 def ignored_by_name(path: Column, patterns: list[str]) -> Column:
     """Second predicate of the compatible mode; it knows no negation."""
-    return (_any_of(base_name(path), [fnmatch_regex(p) for p in patterns])
-            | _any_of(path, [path_match_regex(p) for p in patterns]))
+    return (any_of(base_name(path), [fnmatch_regex(p) for p in patterns])
+            | any_of(path, [path_match_regex(p) for p in patterns]))
 
 
 def is_ignored(path: Column, patterns: list[str], mode: str = "compat") -> Column:
@@ -196,7 +196,7 @@ def is_ignored(path: Column, patterns: list[str], mode: str = "compat") -> Colum
 
 def ignored_by_substring(path: Column, patterns: list[str]) -> Column:
     inside = [F.contains(path, F.lit(p)) for p in patterns]
-    return reduce(lambda a, b: a | b, inside, _any_of(path, [fnmatch_regex(p) for p in patterns]))
+    return reduce(lambda a, b: a | b, inside, any_of(path, [fnmatch_regex(p) for p in patterns]))
 
 
 def in_output_trees(path: Column, dirs: list[str]) -> Column:

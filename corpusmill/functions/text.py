@@ -80,8 +80,40 @@ def is_finding(response: Column, words: tuple[str, ...] = FINDING_WORDS) -> Colu
     return F.lower(response).rlike("|".join(map(re.escape, words)))
 
 
-def yaml_string(value: Column) -> Column:
-    """A one-line YAML string: plain when that reads back as the same string, else quoted."""
+# The width at which YAML writers fold a string, the indent of what follows, the
+# characters that only a double-quoted string can hold, and their escapes.
+YAML_WIDTH, YAML_INDENT = 80, "  "
+YAML_SPECIAL = "\\x00-\\x09\\x0b-\\x1f\\x7f-\\x84\\x86-\\x9f\\ufeff\\ufffe\\uffff"
+YAML_ESCAPES = {
+    "\0": "0", "\a": "a", "\b": "b", "\t": "t", "\n": "n", "\v": "v", "\f": "f", "\r": "r",
+    "\x1b": "e", '"': '"', "\x85": "N", "\u2028": "L", "\u2029": "P"}
+
+
+def _folded(text: Column, start: int) -> Column:
+    """Break at the first single space past the width, then again on each line; ``start`` is
+    the column at which the text begins. One regex, which goes on where it last matched."""
+    first, later = YAML_WIDTH + 1 - start, YAML_WIDTH + 1 - len(YAML_INDENT)
+    return F.regexp_replace(
+        text, f"((?:^[^\n]{{{first},}}?|(?:\\G(?!^)|(?<=\n{YAML_INDENT}))[^\n]{{{later},}}?)"
+        "(?<=[^ \n])) (?=[^ \n])", f"$1\n{YAML_INDENT}")
+
+
+def _double_quoted(text: Column) -> Column:
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for char, letter in YAML_ESCAPES.items():
+        out = F.replace(out, F.lit(char), F.lit("\\" + letter))
+    others = [*range(0x01, 0x20), *range(0x7F, 0xA0), 0xFEFF, 0xFFFE, 0xFFFF]
+    for code in others:
+        if chr(code) not in YAML_ESCAPES:
+            escape = f"\\x{code:02X}" if code < 0x100 else f"\\u{code:04X}"
+            out = F.replace(out, F.lit(chr(code)), F.lit(escape))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
+def yaml_string(value: Column, start: int = 0) -> Column:
+    """A YAML string that begins in column ``start``: plain when that reads back as the same
+    string, else in single quotes, or double ones for what is not printable. Long plain and
+    single-quoted strings are folded at spaces; double-quoted ones stay on one line."""
     needs_quotes = value.rlike(
         "(?s)^\\s|\\s\\z|^\\z|^[-?:](?=\\s|\\z)|^[,\\[\\]{}#&*!|>'\"%@`]"
         "|:(?=\\s|\\z)|\\s#|^---|^\\.\\.\\."
@@ -94,13 +126,21 @@ def yaml_string(value: Column) -> Column:
         "|^[0-9]{4}-[0-9]{2}-[0-9]{2}\\z"
         "|^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:[Tt]|[ \\t]+)[0-9]{1,2}:[0-9]{2}:[0-9]{2}"
         "(?:\\.[0-9]*)?(?:[ \\t]*(?:Z|[-+][0-9]{1,2}(?::[0-9]{2})?))?\\z")
-    quoted = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
-    return F.when(needs_quotes, quoted).otherwise(value)
+    breaks = "\n\x85\u2028\u2029"
+    inner = F.regexp_replace(F.replace(value, F.lit("'"), F.lit("''")),
+                             f"([{breaks}]+)", f"$1{YAML_INDENT}")
+    inner = F.regexp_replace(inner, f"(?<![{breaks}])\n", "\n\n")
+    quoted = F.concat(F.lit("'"), _folded(inner, start + 1), F.lit("'"))
+    return (F.when(value.rlike(f"[{YAML_SPECIAL}]| [{breaks}]|[{breaks}] "),
+                   _double_quoted(value))
+            .when(needs_quotes | value.rlike(f"[{breaks}]"), quoted)
+            .otherwise(_folded(value, start)))
 
 
 def add_frontmatter(text: Column, fields: dict[str, Column]) -> Column:
     """Metadata block, keys in alphabetical order, before the text; the whole is stripped."""
-    lines = [F.concat(F.lit(f"{key}: "), yaml_string(fields[key])) for key in sorted(fields)]
+    lines = [F.concat(F.lit(f"{key}: "), yaml_string(fields[key], len(key) + 2))
+             for key in sorted(fields)]
     return strip(F.concat(
         F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), text))
 

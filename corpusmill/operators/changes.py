@@ -17,11 +17,6 @@ def changed_only(current: DataFrame, state: DataFrame, stage: str) -> DataFrame:
             .where(~F.col("hash").eqNullSafe(F.col("old_hash"))))
 
 
-def upsert_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``new`` replaces equal keys of ``old``; everything else stays."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
-
-
 def split_outcomes(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(succeeded, failed) rows of a model call."""
     return responses.where(F.col("error").isNull()), responses.where(F.col("error").isNotNull())

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.paths import components
@@ -25,18 +26,16 @@ ModelFactory = Callable[[], Callable[..., str]]
 RESPONSE_SCHEMA = "response string, error string, attempts long"
 
 
-def as_messages(prompt: Column) -> Column:
-    return F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content")))
-
-
 def call_model(prompts: DataFrame, make_model: ModelFactory, params: dict | None = None,
                attempts: int = 1, delay: float = RETRY_DELAY_SECONDS,
-               parallelism: int | None = None) -> DataFrame:
+               parallelism: int | None = None, in_flight: int = 1) -> DataFrame:
     """Each row's ``prompt`` gives way to a response or an error, and the attempts it took.
 
     Other columns are carried along, so nothing has to be joined back. ``attempts`` above
     one retries a failed call after ``delay`` seconds. ``parallelism`` is the number of tasks
     that call; a lost task repeats its own calls, so many small tasks are better than few.
+    ``in_flight`` calls wait at the same time in a task, which is what a core is left with when
+    a call takes minutes; above one the model must take calls from several threads.
     Write the result before branching on it (``materialise``): evaluating it twice would
     call the model twice.
     """
@@ -61,10 +60,11 @@ def call_model(prompts: DataFrame, make_model: ModelFactory, params: dict | None
                         time.sleep(delay)
             return None, error, attempts
 
-        for batch in batches:
-            answers = pd.DataFrame([one(p) for p in batch["prompt"]],
-                                   columns=["response", "error", "attempts"])
-            yield pd.concat([batch[names].reset_index(drop=True), answers], axis=1)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                answers = pd.DataFrame(list(pool.map(one, batch["prompt"])),
+                                       columns=["response", "error", "attempts"])
+                yield pd.concat([batch[names].reset_index(drop=True), answers], axis=1)
 
     if parallelism:
         prompts = prompts.repartition(parallelism)

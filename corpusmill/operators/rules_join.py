@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.paths import components
-from corpusmill.functions.rules import wildmatch_rule
-from corpusmill.storage import broadcast_if_small, materialise
+from corpusmill.functions.rules import any_of, wildmatch_rule
+from corpusmill.storage import (
+    BROADCAST_BYTES, broadcast_if_small, materialise, measured_bytes)
 
-INLINE_RULES = 500
 FOLDED_RULES = 1000
+# Rules without a name share a regex in blocks of so many; it sets no limit on rules.
+SCREENED_RULES = 32
 
 # the rule translator travels with the task: executors need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[wildmatch_rule.__module__])
@@ -61,9 +63,8 @@ def ignored_by_gitrules(paths: DataFrame, rules: DataFrame) -> DataFrame:
         below.join(broadcast_if_small(files), "base_dir")
         .withColumn("_rel", rel)
         .select("path", F.struct("depth", "block").alias("_rank"),
-                F.get(last_match, F.lit(0))["negated"].alias("_negated"))
-        .where(F.col("_negated").isNotNull()))
-    ignored = (opinions.groupBy("path").agg(F.max_by("_negated", "_rank").alias("_negated"))
+                F.inline(F.slice(last_match, 1, 1))))  # a generator: matched once
+    ignored = (opinions.groupBy("path").agg(F.max_by("negated", "_rank").alias("_negated"))
                .where(~F.col("_negated")).select("path", F.lit(True).alias("ignored")))
     return paths.join(ignored, "path", "left").withColumn(
         "ignored", F.coalesce("ignored", F.lit(False)))
@@ -74,35 +75,41 @@ def rule_antijoin(paths: DataFrame, rules: DataFrame) -> DataFrame:
 
     An equi-join, not every path against every rule: a rule is filed under a name (or
     ``*.ext``) that any path it matches must contain, a path looks up only its own
-    components and their extensions, and the regex confirms. The few rules without such a
-    name are inlined; should there be very many, all paths look those up too.
+    components and their extensions, and the regex confirms. Rules without such a name are
+    screened in blocks: one literal regex says whether any rule of a block matches, and only
+    then is the path joined with that block's rules. These rules go through the driver, so
+    more of them than the broadcast bound holds are refused.
     """
     compiled = materialise(compile_rules(rules), "compiled-rules")
-    wild = compiled.where(F.col("token").isNull())
-    inline = wild.orderBy("seq").limit(INLINE_RULES + 1).collect()
-    everywhere = len(inline) > INLINE_RULES
-
-    parts = components(F.col("path"))
+    path = F.col("path")
+    parts = components(path)
     endings = F.transform(
         F.filter(parts, lambda p: F.contains(p, F.lit("."))),
         lambda p: F.concat(F.lit("*."), F.substring_index(p, ".", -1)))
-    tokens = F.array_distinct(F.concat(
-        parts, endings, F.array(F.lit("")) if everywhere else F.array().cast("array<string>")))
-    filed = compiled.select(F.coalesce("token", F.lit("")).alias("token"), "regex",
-                            "seq", "negated")
-    if not everywhere:
-        filed = filed.where(F.col("token") != "")
+    lookups = F.array_distinct(F.concat(parts, endings))
+    filed = compiled.where(F.col("token").isNotNull())
+
+    wild = compiled.where(F.col("token").isNull()).select("regex", "seq", "negated")
+    if measured_bytes(wild) > BROADCAST_BYTES:
+        raise ValueError("too many rules without a literal name for one rule list")
+    nameless = wild.orderBy("seq").collect()
+    if nameless:  # a block's mark is no path component: it holds a slash
+        marks = [f"/{i // SCREENED_RULES}" for i in range(len(nameless))]
+        blocks: dict[str, list[str]] = {}
+        for mark, rule in zip(marks, nameless):
+            blocks.setdefault(mark, []).append(rule["regex"])
+        screened = F.array_compact(F.array(*[
+            F.when(any_of(path, regexes), F.lit(mark)) for mark, regexes in blocks.items()]))
+        lookups = F.concat(lookups, screened)
+        filed = filed.unionByName(paths.sparkSession.createDataFrame(
+            [(m, *rule) for m, rule in zip(marks, nameless)],
+            f"token string, regex string, seq {compiled.schema['seq'].dataType.simpleString()},"
+            " negated boolean"), allowMissingColumns=True)
     matched = (
-        paths.select("path", F.explode(tokens).alias("token"))
-        .join(broadcast_if_small(filed), "token")
-        .where(F.rlike(F.col("path"), F.col("regex")))
+        paths.select("path", F.explode(lookups).alias("token"))
+        .join(broadcast_if_small(filed.select("token", "regex", "seq", "negated")), "token")
+        .where(F.rlike(path, F.col("regex")))
         .select("path", "seq", "negated"))
-    if inline and not everywhere:
-        hits = F.array_compact(F.array(*[
-            F.when(F.col("path").rlike(r["regex"]),
-                   F.struct(F.lit(r["seq"]).cast(compiled.schema["seq"].dataType).alias("seq"),
-                            F.lit(r["negated"]).alias("negated"))) for r in inline]))
-        matched = matched.unionByName(paths.select("path", F.inline(hits)))
     ignored = (matched.groupBy("path").agg(F.max_by("negated", "seq").alias("_negated"))
                .where(~F.col("_negated")).select("path"))
     return paths.join(ignored, "path", "left_anti")

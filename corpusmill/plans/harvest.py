@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.paths import components
 from corpusmill.functions.rules import in_output_trees, is_ignored
 from corpusmill.functions.text import add_frontmatter, decode_text
-from corpusmill.operators.changes import state_of
+from corpusmill.operators.changes import stale_split, state_of
 from corpusmill.operators.lookup import fetch
 from corpusmill.operators.fingerprints import file_fingerprint
 from corpusmill.operators.ordering import first_rows
@@ -66,7 +66,7 @@ def clean_up(ws: Workspace, files: DataFrame, config: dict, git_rules: DataFrame
         return
     staged = scan_docs(ws.raw.read().select("path"))
     path = F.col("path")
-    gone = staged.where(is_ignored(path, config["harvest_ignore"], mode))
+    gone, _ = stale_split(staged, is_ignored(path, config["harvest_ignore"], mode))
     dropped = _git_ignored(staged, git_rules, tracked)
     if dropped is not None:
         gone = gone.unionByName(dropped).distinct()

@@ -27,6 +27,7 @@ class Workspace:
     state: KeyedTable = field(init=False)
     findings: KeyedTable = field(init=False)
     versions: KeyedTable = field(init=False)
+    reports: KeyedTable = field(init=False)
 
     def __post_init__(self):
         def table(name, keys, schema):
@@ -36,13 +37,17 @@ class Workspace:
         self.wiki = table("wiki", ["path"], "path string, text string")
         self.state = table("state", ["stage", "file_id"], STATE_SCHEMA)
         self.versions = table("versions", ["path"], "path string, version long")
+        self.reports = table("report", ["page"], "page long, text string")
         self.findings = table("findings", ["file_id"], "file_id string, finding string")
 
     def save_report(self, pages: DataFrame) -> None:
-        pages.write.mode("overwrite").parquet(f"{self.root}/report")
+        """Replace the report; a run that dies on the way leaves the previous one."""
+        pages = materialise(pages.select("page", "text"), "report")
+        old = self.reports.read().select("page")
+        self.reports.apply(pages, deletes=old.join(pages, "page", "left_anti"))
 
     def report(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/report")
+        return self.reports.read()
 
     def quarantine(self, failed: DataFrame, stage: str) -> None:
         """Keep the failed records and why; a bad run's rows are never dropped silently."""
@@ -59,12 +64,13 @@ class Model:
     attempts: int = 1
     delay: float = 0.0
     parallelism: int | None = None
+    in_flight: int = 1
 
     def answer(self, prompts: DataFrame, defaults: dict) -> DataFrame:
         """``defaults`` is the configured part; only generation parameters are taken from it."""
         known = {k: v for k, v in defaults.items() if k in MODEL_PARAMS}
         return call_model(prompts, self.make, {**known, **(self.params or {})},
-                          self.attempts, self.delay, self.parallelism)
+                          self.attempts, self.delay, self.parallelism, self.in_flight)
 
 
 def select_work(current: DataFrame, ws: Workspace, stage: str, only_changed: bool) -> DataFrame:

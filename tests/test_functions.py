@@ -110,8 +110,15 @@ def test_yaml_string(column):
               "*a", "[a", "]a", "{a", "}a", ",a", "?a", "? a", ":a", "|a", ">a", "a]", "a,b", "=",
               "---", "...", ".inf", ".5", "1_000", "é/ü.md", "a'b", 'a"b', "<<", "0o7", "010", "+1",
               "a:", "-", "?", ":", "--- x", ".nan", "1.", "09"]
-    want = [yaml.safe_dump({"k": v}, allow_unicode=True)[3:].rstrip("\n") for v in values]
-    assert column(x.yaml_string, values) == want
+    words = "some longer words in the name of a directory/"
+    values += [words * 2, words * 3, words * 8 + "a.md", "- " + words * 5, "it's #1: " + words * 4,
+               "x" * 100 + " y", "x" * 100 + "  y z", words * 2 + " " * 3 + words * 3, "a\ab\nc.md",
+               "a\nb.md", "a\n\nb's", "tab\tname", "nul\x00", "\x1b[0m \\ \"q\"", "a \nb", "a\n b",
+               "\x7f", "\x9f\x85", "\ufeffa", "a\n" + words * 4, words * 3 + "\n" + words * 4]
+    want = [yaml.safe_dump({"k": v}, allow_unicode=True)[3:].removesuffix("\n") for v in values]
+    got = column(lambda c: x.yaml_string(c, 3), values)
+    assert [w for w, g in zip(want, got) if w != g] == []
+    assert [yaml.safe_load("k: " + g)["k"] for g in got] == values
 
 
 def test_frontmatter(column):

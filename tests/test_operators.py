@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from pathlib import PurePosixPath
 
 import pytest
@@ -8,12 +9,13 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import truncate_text
 from corpusmill.operators import fingerprints as fp
 from corpusmill.operators import media, rollup
-from corpusmill.operators.changes import changed_only, split_outcomes, state_of, upsert_rows
-from corpusmill.operators.model import as_messages, call_model, until_successes
+from corpusmill.operators.changes import changed_only, split_outcomes, state_of
+from corpusmill.operators.model import call_model, until_successes
 from corpusmill.operators.ordering import first_rows
 from corpusmill.operators.pages import ordered_pages
 from corpusmill.plans.ingest import member_texts
-from corpusmill.sources.state import load_state
+from corpusmill.sources.state import STATE_SCHEMA, load_state
+from corpusmill.sources.tables import KeyedTable
 
 TREE = {
     "r1": {"tasks/main.yml": b"# c\n  a: 1 \n\n\tb: 2\n", "a/b.md": b"1", "a-b.md": b"2",
@@ -167,7 +169,7 @@ def test_state_files(spark, tmp_path):
     assert load("") == []
 
 
-def test_changed_only_and_upsert(spark):
+def test_changed_only_and_upsert(spark, tmp_path):
     state = spark.createDataFrame(
         [("s", "same", "1"), ("s", "old", "1"), ("t", "new", "2")],
         "stage string, file_id string, hash string")
@@ -178,10 +180,14 @@ def test_changed_only_and_upsert(spark):
     failed = changed.withColumn("error", F.when(F.col("file_id") == "new", "x"))
     done, bad = split_outcomes(failed)
     assert [r["file_id"] for r in bad.collect()] == ["new"]
-    saved = upsert_rows(state, state_of(done, "s"), ["stage", "file_id"])
+    table = KeyedTable(spark, str(tmp_path / "state"), ["stage", "file_id"], STATE_SCHEMA)
+    table.apply(state)
+    table.apply(state_of(done, "s"))
+    saved = table.read()
     assert changed_only(current, saved, "s").select("file_id").collect()[0][0] == "new"
-    again = upsert_rows(saved, state_of(done, "s"), ["stage", "file_id"])
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, saved.collect()))
+    rows = sorted(map(tuple, saved.collect()))
+    table.apply(state_of(done, "s"))
+    assert sorted(map(tuple, table.read().collect())) == rows
 
 
 def outcomes_model():
@@ -202,8 +208,18 @@ def test_model_rows_fail_alone(spark):
     got = {r["file_id"]: tuple(r)[1:] for r in call_model(
         prompts, outcomes_model(), {"max_tokens": 7}, attempts=3, delay=0, parallelism=2).collect()}
     assert got == {"a": (1, "ok", None, 1), "b": (2, None, "RuntimeError: bad one", 3)}
-    message = prompts.where("file_id = 'a'").select(as_messages(F.col("prompt"))).first()[0]
-    assert [tuple(m) for m in message] == [("user", "ok")]
+
+
+def test_calls_in_flight_keep_their_rows(spark):
+    def make():
+        return lambda messages, **params: (time.sleep(0.3), messages[0]["content"].upper())[1]
+
+    prompts = spark.createDataFrame([(f"f{i}", f"p{i}") for i in range(16)],
+                                    "file_id string, prompt string").coalesce(1)
+    begin = time.time()
+    got = call_model(prompts, make, in_flight=16).collect()
+    assert time.time() - begin < 16 * 0.3 + 2
+    assert {r["file_id"]: r["response"] for r in got} == {f"f{i}": f"P{i}" for i in range(16)}
 
 
 @pytest.mark.parametrize("limit,failing,top", [

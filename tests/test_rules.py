@@ -129,12 +129,24 @@ def test_gitrules_agree_with_git(spark, tmp_path):
     assert got == git_ignored(tmp_path, paths) - {"a.log"}
 
 
-@pytest.mark.parametrize("inline", [500, 1])
-def test_rule_table_equals_inline_rules(spark, monkeypatch, inline):
-    monkeypatch.setattr("corpusmill.operators.rules_join.INLINE_RULES", inline)
+@pytest.mark.parametrize("block", [32, 1])
+def test_rule_table_equals_inline_rules(spark, monkeypatch, block):
+    monkeypatch.setattr("corpusmill.operators.rules_join.SCREENED_RULES", block)
     patterns = list(itertools.chain(*RULES[:13], ["a?c*", "!*b*", "docs/?/x.md"], ["!docs/a/"]))
     rules = spark.createDataFrame(list(enumerate(patterns)), "seq int, pattern string")
     paths = spark.createDataFrame([(p,) for p in PATHS], "path string")
     want = paths.where(~r.ignored_wildmatch(F.col("path"), patterns)).collect()
     got = rule_antijoin(paths, rules).select("path").collect()
     assert sorted(got) == sorted(want)
+
+
+def test_nameless_rules_meet_only_paths_their_block_matches(spark):
+    patterns = [f"?{i:04d}*" for i in range(2000)] + ["!?0007*"]
+    rules = spark.createDataFrame(list(enumerate(patterns)), "seq int, pattern string")
+    paths = spark.createDataFrame([(f"d/x{i:04d}.md",) for i in range(1990, 2010)]
+                                  + [("d/x0007.md",), ("d/y.md",)], "path string")
+    got = {x["path"] for x in rule_antijoin(paths, rules).collect()}
+    assert got == {f"d/x{i:04d}.md" for i in range(2000, 2010)} | {"d/x0007.md", "d/y.md"}
+    too_long = spark.range(2).selectExpr("id seq", "concat('?', repeat('a', 40000000)) pattern")
+    with pytest.raises(ValueError):
+        rule_antijoin(paths, too_long)
