@@ -117,7 +117,9 @@ def index_sql(*args) -> str:
 
 def index_files(index: str) -> str:
     return f"""SELECT CASE WHEN page = 0 THEN n||'.md' ELSE n||'.page-'||(page + 1)||'.md' END AS path,
-        text FROM ({index}), (VALUES ('README'), ('index')) AS names(n)"""
+        text||CASE WHEN page < max(page) OVER () THEN
+            chr(10)||'[Next page]('||n||'.page-'||(page + 2)||'.md)'||chr(10) ELSE '' END AS text
+        FROM ({index}), (VALUES ('README'), ('index')) AS names(n)"""
 
 
 def answer(n: str) -> str:
@@ -363,7 +365,7 @@ sql("write_index", index_files(INDEX), PARTS)
 sql("append_section", f"""SELECT CASE WHEN s.page = 0 THEN 'index.md'
         ELSE 'index.media-'||(s.page + 1)||'.md' END AS path,
     CASE WHEN s.page = 0 THEN i.text||s.text ELSE s.text END AS text
-    FROM ({INDEX}) i, ({SECTION}) s WHERE i.page = 0""", PARTS, MEDIA)
+    FROM ({index_files(INDEX)}) i, ({SECTION}) s WHERE i.path = 'index.md'""", PARTS, MEDIA)
 
 # --- whole runs ------------------------------------------------------------
 

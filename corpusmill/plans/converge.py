@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.changes import stage_counts
+from corpusmill.operators.rollup import active_roles
 from corpusmill.plans.compile import compile_docs
-from corpusmill.plans.harvest import harvest
+from corpusmill.plans.harvest import clean_up, harvest
 from corpusmill.plans.index import write_index
 from corpusmill.plans.ingest import ingest
 from corpusmill.plans.lint import lint_docs
@@ -18,18 +19,29 @@ from corpusmill.plans.workspace import Model, Workspace
 
 def converge(ws: Workspace, files: DataFrame, model: Model, config: dict, harvested_date: str,
              changed_only: bool = True, limit: int | None = None) -> dict[str, DataFrame]:
+    """Outcomes by stage, and the documents removed and the roles the index lists."""
+    removed = clean_up(ws, files, config)
     return {
-        "harvest": harvest(ws, files, config, harvested_date, changed_only, limit),
+        "removed": removed,
+        "harvest": harvest(ws, files, config, harvested_date, changed_only, limit,
+                           cleaned=True),
         "ingest": ingest(ws, files, model, config, changed_only, limit),
         "compile": compile_docs(ws, model, config, changed_only, limit),
         "lint": lint_docs(ws, model, config, changed_only, limit),
         "index": write_index(ws, config),
+        "active": active_roles(ws.wiki.read().select("path")).select(
+            F.col("role").alias("file_id")),
     }
 
 
 def summary(outcomes: dict[str, DataFrame]) -> DataFrame:
-    """(stage, outcome, n) of the records a run processed and of those that failed."""
+    """(stage, outcome, n) of the records a run processed, of those that failed, of the
+    documents it removed and of the active roles."""
+    counted = {"removed": ("harvest", "removed"), "active": ("index", "active")}
+
     def marked(stage: str, rows: DataFrame) -> DataFrame:
+        if stage in counted:
+            return rows.select(*map(F.lit, counted[stage])).toDF("stage", "outcome")
         failed = F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)
         return rows.select(F.lit(stage).alias("stage"), F.when(failed, "failed").otherwise(
             "processed").alias("outcome"))

@@ -59,11 +59,11 @@ def selected_files(files: DataFrame, config: dict, git_rules: DataFrame | None =
 
 def clean_up(ws: Workspace, files: DataFrame, config: dict, git_rules: DataFrame | None = None,
              tracked: DataFrame | None = None, mode: str = "compat",
-             keep_deleted: bool = False) -> None:
+             keep_deleted: bool = False) -> DataFrame:
     """Drop staged Markdown documents that are now ignored, and, unless ``keep_deleted``, those whose
-    source is gone together with their saved hashes."""
+    source is gone together with their saved hashes. Returns the removed (file_id)."""
     if ws.raw.is_new():
-        return
+        return ws.spark.createDataFrame([], "file_id string")
     staged = scan_docs(ws.raw.read().select("path"))
     path = F.col("path")
     gone, _ = stale_split(staged, is_ignored(path, config["harvest_ignore"], mode))
@@ -74,23 +74,26 @@ def clean_up(ws: Workspace, files: DataFrame, config: dict, git_rules: DataFrame
         present = selected_files(files, config, git_rules, tracked, mode).select("path")
         gone = gone.unionByName(staged.join(present, "path", "left_anti")).distinct()
     gone = materialise(gone, "stale")
+    removed = gone.select(path.alias("file_id"))
     if gone.isEmpty():
-        return
+        return removed
     ws.raw.apply(deletes=gone)
     if not keep_deleted:
-        ws.state.apply(deletes=gone.select(F.lit(STAGE).alias("stage"),
-                                           path.alias("file_id")))
+        ws.state.apply(deletes=removed.select(F.lit(STAGE).alias("stage"), "file_id"))
+    return removed
 
 
 def harvest(ws: Workspace, files: DataFrame, config: dict, harvested_date: str,
             changed_only: bool = False, limit: int | None = None,
             git_rules: DataFrame | None = None, tracked: DataFrame | None = None,
-            mode: str = "compat", keep_deleted: bool = False) -> DataFrame:
+            mode: str = "compat", keep_deleted: bool = False,
+            cleaned: bool = False) -> DataFrame:
     """Stage ``files`` (path, content). Returns the processed (file_id, hash) rows.
 
-    Bytes that are not UTF-8 put the file in quarantine instead of ending the run.
+    The staged documents are cleaned up first, unless the caller already did (``cleaned``). Bytes that are not UTF-8 put the file in quarantine instead of ending the run.
     """
-    clean_up(ws, files, config, git_rules, tracked, mode, keep_deleted)
+    if not cleaned:
+        clean_up(ws, files, config, git_rules, tracked, mode, keep_deleted)
     found = selected_files(files, config, git_rules, tracked, mode)
     readable = F.try_validate_utf8(F.col("content").cast("string")).isNotNull()
     hashed = found.withColumn("hash", file_fingerprint(F.col("content")))

@@ -23,10 +23,17 @@ def page_path(path: Column, page: Column) -> Column:
 
 
 def index_files(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """The same index under each of its names: (path, text)."""
+    """The same index under each of its names: (path, text). A page that is not the last one
+    ends in a link to the next, so a reader of the named document reaches all of it."""
+    pages = materialise(pages.select("page", "text"), "index-pages")
+    last = pages.agg(F.max("page")).first()[0] or 0
     name = F.explode(F.array(*[F.lit(n) for n in names or INDEX_NAMES])).alias("name")
+    link = F.concat(F.lit("\n[Next page]("), page_path(F.col("name"), F.col("page") + 1),
+                    F.lit(")\n"))
     return pages.select("page", "text", name).select(
-        page_path(F.col("name"), F.col("page")).alias("path"), "text")
+        page_path(F.col("name"), F.col("page")).alias("path"),
+        F.when(F.col("page") < last, F.concat("text", link)).otherwise(F.col("text"))
+        .alias("text"))
 
 
 def build_index(active: DataFrame, listed: DataFrame, config: dict,

@@ -5,7 +5,7 @@ from corpusmill.plans.compile import compile_docs
 from corpusmill.plans.config import load_config
 from corpusmill.plans.converge import converge, summary
 from corpusmill.plans.harvest import harvest
-from corpusmill.plans.index import write_index
+from corpusmill.plans.index import index_files, write_index
 from corpusmill.plans.ingest import ingest
 from corpusmill.plans.lint import lint_docs
 from corpusmill.plans.workspace import Model, Workspace
@@ -220,6 +220,13 @@ def test_index_from_configuration(spark, ws):
     assert "misc" not in texts(ws.wiki)["index.md"]
 
 
+def test_pages_of_the_index_lead_to_the_next(spark):
+    pages = spark.createDataFrame([(0, "a"), (1, "b")], "page long, text string")
+    got = dict(map(tuple, index_files(pages).collect()))
+    assert got["index.md"] == "a\n[Next page](index.page-2.md)\n"
+    assert got["README.page-2.md"] == "b" and len(got) == 4
+
+
 def test_converge_twice_does_nothing_new(spark, ws):
     config = load_config()
     first = converge(ws, tree(spark), echo(), config, DATE)
@@ -228,13 +235,16 @@ def test_converge_twice_does_nothing_new(spark, ws):
                                   "roles/web.md", "roles/db.md", "roles/my_app.md"}
     assert {tuple(r) for r in summary(first).collect()} == {
         ("harvest", "processed", 4), ("ingest", "processed", 3), ("compile", "processed", 3),
-        ("lint", "processed", 7)}
+        ("lint", "processed", 7), ("index", "active", 3)}
     second = converge(ws, tree(spark), echo(), config, LATER)
     assert ids(second["harvest"]) == ids(second["ingest"]) == ids(second["compile"]) == set()
     # the index was written after the first lint, over a compiled README.md
     assert ids(second["lint"]) == {"README.md"}
     third = converge(ws, tree(spark, **{"roles/db/x": "!"}), echo(), config, LATER)
     assert ids(third["ingest"]) == {"db"} and ids(third["harvest"]) == set()
+    fourth = converge(ws, tree(spark).where("path != 'docs/a.md'"), echo(), config, LATER)
+    assert ids(fourth["removed"]) == {"docs/a.md"}
+    assert ("harvest", "removed", 1) in {tuple(r) for r in summary(fourth).collect()}
 
 
 def test_config_override_is_one_level_deep():
