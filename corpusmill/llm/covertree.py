@@ -29,6 +29,7 @@ MAX_PIVOTS = 512
 LEAF = 24
 SLACK = 1e-6  # on distances: more than rounding can add up to
 NARROW = 1e-5  # on cosines in single precision, which only screen
+FINE = 1e-2  # covers of smaller radii need cosines in double precision
 
 
 # ---- trees, inside a task -------------------------------------------------------------
@@ -50,7 +51,8 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _cover(x: np.ndarray, points: np.ndarray, radius: float) -> list[np.ndarray]:
     """Greedy nested cover: groups of points within about ``radius`` of their first one."""
     groups, left, least = [], points, 1 - radius * radius / 2
-    narrow = x[points].astype(np.float32)
+    # Single precision cannot tell cosines over 1 - 1e-7 apart; 1 - FINE^2 / 2 is far from that.
+    narrow = x[points].astype(np.float32 if radius >= FINE else np.float64)
     while len(left):
         batch, rest = left[:256], left[256:]
         near = narrow[:256] @ narrow[:256].T >= least
@@ -81,7 +83,13 @@ def build(x: np.ndarray, points: np.ndarray | None = None, level: float = 2.0) -
         return Node(points, radius, ())
     while level >= radius:
         level /= 2
-    return Node(points, radius, [build(x, g, level) for g in _cover(x, points, level)])
+    groups = _cover(x, points, level)
+    while len(groups) == 1 and level > radius / 8:  # rounding hid the farthest point
+        level /= 2
+        groups = _cover(x, points, level)
+    if len(groups) == 1:
+        return Node(points, radius, ())
+    return Node(points, radius, [build(x, g, level / 2) for g in groups])
 
 
 class Links:

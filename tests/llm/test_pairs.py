@@ -136,6 +136,27 @@ def test_whole_node_pairs_are_counted_at_once():
     assert sum(len(a) for a, _ in found.edges) < 10_000
 
 
+@pytest.mark.parametrize("noise", [1e-8, 1e-7, 1e-6, 1e-5, 1e-4, 1e-3])
+def test_cover_tree_of_near_copies(noise):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=64)
+    x = covertree._unit(base / np.linalg.norm(base) + rng.normal(size=(400, 64)) * noise / 8)
+
+    def leaves(node):
+        return [q for c in node.children for q in leaves(c)] if node.children else [node]
+
+    found = leaves(covertree.build(x))
+    assert sorted(np.concatenate([n.points for n in found])) == list(range(400))
+    assert all(len(n.points) <= covertree.LEAF or n.radius < 2e-7 for n in found)
+    one = np.ones(400, np.int64)
+    assert (covertree.block_links(x, x, one, one, 0.9, True).count_x == 399).all()
+    cosine = np.array([[covertree.exact_cosine(a, b) for b in x] for a in x])
+    for threshold in {float(np.median(cosine)), 1 - 5e-9} - {1.0}:
+        links = covertree.block_links(x, x, one, one, threshold, True)
+        want = cosine >= threshold
+        assert links.count_x.tolist() == (want.sum(1) - want.diagonal()).tolist()
+
+
 def test_neighbours_recall_ties_and_odd_rows(spark):
     x = vectors(1500, 16)
     x[40] = x[60] = x[80]
