@@ -6,7 +6,9 @@ one to three slide over the embeddings of a whole text, each is max-pooled, and
 layer reads the pooled values. A filter is linear before pooling, so a task computes each
 filter tap once per distinct word of a batch and adds table rows per position.
 
-Thresholds are calibrated per language on training rows left out of the fit. The language is
+Thresholds are calibrated per language on all training rows left out of the fit, scored on the
+cluster and counted by score, weighted so that both labels have their share of the whole table:
+the sample that the weights are fitted on has a mix of its own. The language is
 guessed from the text's own words (naive Bayes over the same hashes), never read from the
 table. The score is shifted so that 0.5 is the threshold of the guessed language.
 """
@@ -14,9 +16,11 @@ table. The score is shifted so that 0.5 is the threshold of the guessed language
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm.words import (bounded_sample, held_out, mixed, per_text, slices, strings,
                                   uniform, word_codes, word_hashes)
@@ -29,6 +33,9 @@ SAMPLE_PER_LABEL = 4000
 EPOCHS = 3
 BATCH = 64
 CALIBRATION_SHARE = 0.2
+BINS = 64  # of a logit's unit, when thresholds are chosen
+FAR = 64.0  # logits beyond are counted as this
+COUNTED = ["low", "high", "toxic", "clean"]
 PREFIXES = (3, 4, 5)
 
 
@@ -99,6 +106,20 @@ def score(texts: pa.Array, weights: dict) -> np.ndarray:
 def train(texts: list[str], labels: np.ndarray, languages: list[str | None],
           epochs: int = EPOCHS, seed: int = 7) -> dict:
     """Fit on labelled texts. Without both labels every score is near 0 (or near 1)."""
+    weights, fit = _train(texts, labels, languages, epochs, seed)
+    if len(fit):
+        labels = np.asarray(labels, np.float64)
+        held = np.setdiff1d(np.arange(len(texts)), fit)
+        held = held if len(held) else fit
+        logit, language = _logits(weights, pa.array([texts[i] for i in held], pa.string()))
+        _calibrate(weights, pd.DataFrame({
+            "language": language, "bin": np.arange(len(held)), "low": logit, "high": logit,
+            "toxic": labels[held], "clean": 1 - labels[held]}))
+    return weights
+
+
+def _train(texts, labels, languages, epochs=EPOCHS, seed=7) -> tuple[dict, np.ndarray]:
+    """Weights without thresholds, and the texts they were fitted on (none without both labels)."""
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, np.float64)
     n_taps = sum(WIDTHS)
@@ -112,7 +133,7 @@ def train(texts: list[str], labels: np.ndarray, languages: list[str | None],
     if not len(texts) or labels.min() == labels.max():
         weights["out"][:] = 0
         weights["bias"] = -20.0 if not len(texts) or labels.max() == 0 else 20.0
-        return weights
+        return weights, np.zeros(0, np.int64)
     offsets, codes, vocab = word_codes(pa.array(texts, pa.string()))
     features = feature_ids(vocab)
     docs = [codes[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
@@ -145,25 +166,31 @@ def train(texts: list[str], labels: np.ndarray, languages: list[str | None],
 
     _descend(weights, docs, features, labels, fit, epochs, rng)
 
-    held = np.flatnonzero(fold) if fold.any() else fit
-    logit, language = _logits(weights, pa.array([texts[i] for i in held], pa.string()))
-    everywhere = _threshold(logit, labels[held])
-    weights["thresholds"][:] = everywhere
-    for k in range(len(names)):
-        own = language == k
-        if labels[held][own].sum() >= 10 and (1 - labels[held][own]).sum() >= 10:
-            weights["thresholds"][k] = _threshold(logit[own], labels[held][own])
-    return weights
+    return weights, fit
+
+
+def _calibrate(weights: dict, cells: pd.DataFrame, shares=(1.0, 1.0)) -> None:
+    """Set the thresholds by counts of toxic and clean texts per language and bin of scores.
+
+    ``shares`` are what a counted text of either label (toxic, clean) stands for.
+    """
+    weights["thresholds"][:] = _threshold(cells, shares)
+    for k in range(weights["languages"].shape[1]):
+        own = cells[cells["language"] == k]
+        if own["toxic"].sum() >= 10 and own["clean"].sum() >= 10:
+            weights["thresholds"][k] = _threshold(own, shares)
 
 
-def _threshold(logit: np.ndarray, label: np.ndarray) -> float:
+def _threshold(cells: pd.DataFrame, shares) -> float:
     """The cut of best F1; in the middle of the gap it falls into."""
-    order = np.argsort(-logit, kind="stable")
-    hits = np.cumsum(label[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + label.sum())
+    bins = cells.groupby("bin").agg({"low": "min", "high": "max", "toxic": "sum", "clean": "sum"})
+    low, high, toxic, clean = (bins[c].to_numpy(np.float64) for c in bins)
+    order = np.argsort(-high, kind="stable")
+    hits = np.cumsum(toxic[order]) * shares[0]
+    f1 = 2 * hits / (hits + np.cumsum(clean[order]) * shares[1] + hits[-1])
     best = int(f1.argmax())
-    below = logit[order[best + 1]] if best + 1 < len(order) else logit[order[best]] - 1
-    return float((logit[order[best]] + below) / 2)
+    below = high[order[best + 1]] if best + 1 < len(order) else low[order[best]] - 1
+    return float((low[order[best]] + below) / 2)
 
 
 def _descend(weights, docs, features, labels, fit, epochs, rng, rate=0.02):
@@ -233,17 +260,62 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         lang: str = "lang", label: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> dict:
     """Train on about ``per_label`` labelled documents of each label outside the held-out fold.
 
-    The sample is the documented bound of what the driver holds; rows without text, id or a
-    label of 0 or 1 are not learned from. A document labelled twice counts with each label.
+    The sample is the documented bound of what the driver holds, and only the weights are fitted
+    on it; thresholds are chosen on all other labelled documents outside the held-out fold. Rows
+    without text, id or a label of 0 or 1 are not learned from. A document labelled twice counts
+    with each label.
     """
     known = labels.select(F.col(doc_id).alias("i"), F.col(label).alias("y")).filter(
         "i is not null and y in (0, 1)").filter(~held_out("i"))
     chosen = F.broadcast(bounded_sample(known, "y", "i", per_label))
-    rows = (docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
-            .join(chosen, "i").filter("t is not null")
-            .orderBy(F.xxhash64("i", "t"), "t", "y").collect())
-    return train([r["t"] for r in rows], np.array([r["y"] for r in rows]),
-                 [r["l"] for r in rows])
+    sample = (docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
+              .join(chosen, "i").filter("t is not null"))
+    rows = sample.orderBy(F.xxhash64("i", "t"), "t", "y").collect()
+    weights, fitted = _train([r["t"] for r in rows], np.array([r["y"] for r in rows]),
+                             [r["l"] for r in rows])
+    if not len(fitted):
+        return weights
+    inside = docs.sparkSession.createDataFrame(
+        [(i,) for i in sorted({rows[k]["i"] for k in fitted})],
+        T.StructType([T.StructField("i", sample.schema["i"].dataType)]))
+    scored = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).filter(
+        "i is not null and t is not null").filter(~held_out("i")).select(
+        "i", _rater(weights, docs.sparkSession)("t").alias("s")).select("i", "s.*")
+    marked = scored.join(known, "i").join(
+        F.broadcast(inside.withColumn("fitted", F.lit(True))), "i", "left")
+    out, toxic = F.col("fitted").isNull(), F.col("y") == 1
+    # At most 2 * FAR * BINS rows of each language.
+    cells = marked.groupBy(
+        "language", F.floor(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), "logit")) * BINS)
+        .alias("bin")).agg(*[
+            c.alias(f"{name}_{which}") for which, own in (("out", out), ("all", F.lit(True)))
+            for name, c in zip(COUNTED, (
+                F.min(F.when(own, F.col("logit"))), F.max(F.when(own, F.col("logit"))),
+                F.count_if(own & toxic), F.count_if(own & ~toxic)))]).toPandas()
+    totals = cells[["toxic_all", "clean_all"]].sum().to_numpy(np.float64)
+    counted = cells[["toxic_out", "clean_out"]].sum().to_numpy(np.float64)
+    which = "out" if counted.all() else "all"
+    cells = cells[["language", "bin"]].join(cells[[f"{c}_{which}" for c in COUNTED]].set_axis(
+        COUNTED, axis=1))
+    _calibrate(weights, cells[cells["toxic"] + cells["clean"] > 0],
+               totals / counted if counted.all() else (1.0, 1.0))
+    return weights
+
+
+def _rater(weights: dict, spark):
+    """A column function: text -> logit and index of the guessed language."""
+    shared = spark.sparkContext.broadcast(weights)
+
+    @F.arrow_udf("logit double, language int")
+    def rate(text: pa.Array) -> pa.Array:
+        texts = strings(text)
+        logit, language = np.zeros(len(texts)), np.zeros(len(texts), np.int32)
+        for a, b in slices(texts, 4 << 20):
+            logit[a:b], language[a:b] = _logits(shared.value, texts.slice(a, b - a))
+        return pa.StructArray.from_arrays([pa.array(logit), pa.array(language)],
+                                          names=["logit", "language"])
+
+    return rate.asNondeterministic()
 
 
 def toxicity(model: dict, spark):

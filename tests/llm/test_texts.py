@@ -234,6 +234,31 @@ def test_toxicity_on_held_out_documents(spark, nothing):
     assert kept.columns == docs.columns and 290 <= kept.count() <= 310
 
 
+def test_toxicity_thresholds_are_those_of_the_whole_table(spark):
+    # One text in nine is toxic, and no score tells them apart for sure; the sample of the fit
+    # is half toxic. The cut must be the best one over all rows that were not fitted on.
+    rnd = random.Random(3)
+    rows, marks = [], []
+    for i in range(4000):
+        k = rnd.choice([0] * 8 + [1, 2, 3, 4])
+        text = [rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(12)]
+        text[:k] = [f"insult{j}" for j in range(k)]
+        rows.append((i, " ".join(text), "en"))
+        marks.append((i, int(rnd.random() < (0, 0.1, 0.2, 0.45, 0.9)[k])))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.fit(table, labels, per_label=150)
+    got = toxicity.score_toxicity(table, labels, model=model).join(labels, "doc_id").filter(
+        "not held_out").select("score", "toxic").toPandas().sort_values("score")
+    toxic, score = got["toxic"].to_numpy(), got["score"].to_numpy()
+
+    def f1(cut):
+        return 2 * toxic[score >= cut].sum() / ((score >= cut).sum() + toxic.sum())
+
+    assert 0.08 < toxic.mean() < 0.2
+    assert f1(0.5) >= max(f1(x) for x in score) - 0.01
+
+
 def test_toxicity_of_odd_texts(spark, docs):
     rows, labels = toxic_rows()
     model = toxicity.train([t for _, t, _ in rows], np.array([y for _, y in labels]),
