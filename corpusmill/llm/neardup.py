@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.components import components
 from corpusmill.llm.words import mixed, slices, strings, word_codes, word_hashes
 from corpusmill.operators.lookup import fetch, without
-from corpusmill.storage import materialise
+from corpusmill.storage import broadcast_if_small, materialise
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -338,6 +338,12 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     document; where they share the id alone, each row has the links of its own text.
     Ids are whole numbers. An empty table gives an empty result; other columns are ignored.
     """
+    return _joined(docs, doc_id, text, threshold, target_recall).drop("n")
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, threshold: float,
+            target_recall: float) -> DataFrame:
+    """The result of ``jaccard_join`` and the number of shingles, n."""
     kind = docs.schema[doc_id].dataType
     marked = materialise(sketch(docs, doc_id, text), "sketches")
     rows = marked.filter("i is not null and n > 0")
@@ -375,12 +381,29 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         named, ["k1", "k2"], "left").select(
         F.col("i").alias(doc_id),
         F.when(compared, F.col("class_id").cast(kind)).otherwise(F.col("i")).alias("class_id"),
-        F.when(compared, F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
+        F.when(compared, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), "n",
     ).withColumn("kept", F.col(doc_id).eqNullSafe(F.col("class_id")))
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                      threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns as they were, without those whose class has a smaller id."""
-    gone = jaccard_join(docs, doc_id, text, threshold).filter("not kept").select(doc_id).distinct()
-    return without(docs, materialise(gone, "duplicates"), [doc_id])
+    """The documents, all columns as they were, one row of each class: that of the smallest id.
+
+    A row is known by id and text, so ids may be null or shared by different texts; a null id
+    comes last. Of rows repeated with id and text one stays. Rows without words all stay.
+    """
+    row = F.xxhash64(F.col(doc_id), F.col(text))
+    marks = _joined(docs.select(row.alias("__row"), text), "__row", text, threshold, RECALL)
+    members = marks.filter("n > 0").groupBy("__row", "class_id").agg(F.count(F.lit(1)).alias("m"))
+    ids = docs.groupBy(row.alias("__row")).agg(F.min(doc_id).alias("i"))
+    members = materialise(members.join(ids, "__row"), "members")
+    first = materialise(members.groupBy("class_id").agg(
+        F.min(F.struct(F.col("i").isNull(), "i", "__row", "m")).alias("f")).select(
+        "f.__row", "f.m"), "first-members")
+    gone = members.select("__row").join(first, "__row", "left_anti").distinct()
+    kept = without(docs.withColumn("__row", row), materialise(gone, "duplicates"), ["__row"])
+    twice = materialise(first.filter("m > 1").select("__row").distinct(), "repeated-rows")
+    if not twice.isEmpty():
+        again = kept.join(broadcast_if_small(twice), "__row", "left_semi")
+        kept = without(kept, twice, ["__row"]).unionByName(again.dropDuplicates([doc_id, text]))
+    return kept.select(*docs.columns)

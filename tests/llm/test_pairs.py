@@ -95,6 +95,21 @@ def test_jaccard_join_of_odd_tables(spark):
     assert neardup.jaccard_join(docs.filter("false")).collect() == []
 
 
+def test_one_of_each_of_odd_tables(spark):
+    words = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"),
+            (2, "something else altogether now yes"), (3, None), (4, ""), (4, ""),
+            (None, words), (None, words), (None, words + " end"), (5, "five"), (5, "five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in neardup.keep_one_of_each(docs).collect()]
+    null = [r for r in got if r[0] is None]
+    assert len(null) == 1 and null[0][1] in (words, words + " end")
+    assert sorted((r for r in got if r[0] is not None), key=str) == sorted(
+        [(1, "a b c d e f"), (2, "something else altogether now yes"), (3, None), (4, ""), (4, ""),
+         (5, "five")], key=str)
+    assert neardup.keep_one_of_each(docs.filter("false")).collect() == []
+
+
 # ---- vectors ---------------------------------------------------------------------------
 
 def vectors(n=700, dim=12):
