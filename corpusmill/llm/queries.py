@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import (ann, covertree, huffman, importance, langid, mixing, neardup, packing,
-                            toxicity, urls)
+                            suffixes, toxicity, urls)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def mixing_query(spark, folder):
                       F.round("position", 9).alias("position"))
 
 
+def repeats_query(spark, folder):
+    return suffixes.drop_repeats(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_importance_resampling": importance_query,
     "op2_toxicity": toxicity_query,
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_huffman_ids": huffman_query,
     "op9_nearest_neighbours": neighbours_query,
     "op10_mix_sources": mixing_query,
+    "op11_suffix_array_dedup": repeats_query,
 }
 
 
