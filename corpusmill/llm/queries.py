@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import (ann, covertree, huffman, importance, langid, mixing, neardup, packing,
-                            suffixes, toxicity, urls)
+from corpusmill.llm import (ann, covertree, huffman, importance, langid, merkle, mixing, neardup,
+                            packing, suffixes, toxicity, urls)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def repeats_query(spark, folder):
     return suffixes.drop_repeats(table(spark, folder, "documents"))
 
 
+def manifest_query(spark, folder):
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_importance_resampling": importance_query,
     "op2_toxicity": toxicity_query,
@@ -73,6 +77,7 @@ QUERIES = {
     "op9_nearest_neighbours": neighbours_query,
     "op10_mix_sources": mixing_query,
     "op11_suffix_array_dedup": repeats_query,
+    "op12_merkle_manifest": manifest_query,
 }
 
 
@@ -134,4 +139,69 @@ def _mixing_sql() -> str:
     FROM (SELECT *, unnest(range(n)) AS epoch FROM copies)"""
 
 
-ORACLE = {"op10_mix_sources": _mixing_sql()}
+def _manifest_sql(levels: int = 7, tops: int = 4) -> str:
+    """The trees level by level, up to 8 ** 7 leaves a language and 8 ** 4 languages; then every
+    leaf is folded up. CRC-32 is taken bit by bit."""
+    fan, upper = merkle.FAN, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    number = "CAST(doc_id AS VARCHAR)"
+
+    def framed(value):
+        value = f"CAST({value} AS VARCHAR)"
+        return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(
+            framed(text if c == "text" else c) for c in merkle.FIELDS) + ")"
+
+    crc = f"""xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(
+        range(1, length({number}) + 1),
+        lambda i: CAST(ascii(substr({number}, i, 1)) AS BIGINT))),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], [CAST(0 AS BIGINT) for k in range(8)]),
+            lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)),
+        4294967295)"""
+
+    def climb(name, nodes, steps):
+        out = [f"{name}0 AS MATERIALIZED ({nodes})"]
+        for k in range(steps):
+            out.append(f"""{name}_runs{k} AS MATERIALIZED (
+                SELECT tree, place // {fan} AS run, list(digest ORDER BY place) AS nodes,
+                       max(c) AS c
+                FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM {name}{k})
+                GROUP BY ALL)""")
+            out.append(f"""{name}{k + 1} AS MATERIALIZED (SELECT tree, run AS place, CASE
+                WHEN c = 1 THEN nodes[1] ELSE sha256(array_to_string(nodes, '')) END AS digest
+                FROM {name}_runs{k})""")
+        return out
+
+    def fold(name, first, runs, tree, steps):
+        left = f"array_to_string(nodes[:place % {fan}], '')"
+        right = f"array_to_string(nodes[place % {fan} + 2:], '')"
+        return [f"{name}0 AS MATERIALIZED ({first})"] + [
+            f"""{name}{k + 1} AS MATERIALIZED (SELECT f.* REPLACE (place // {fan} AS place,
+                CASE WHEN c = 1 THEN node ELSE sha256({left} || node || {right}) END AS node,
+                CASE WHEN c = 1 THEN proof ELSE proof || {left} || {right} END AS proof)
+                FROM {name}{k} f JOIN {runs}_runs{k} r
+                ON r.tree = {tree} AND r.run = f.place // {fan})""" for k in range(steps)]
+
+    parts = [
+        f"""leaves AS MATERIALIZED (SELECT *, row_number() OVER (
+                PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+            FROM (SELECT doc_id, coalesce('1' || lang, '0') AS tree, {leaf("text")} AS leaf,
+                CASE WHEN {crc} % 3 = 0
+                THEN {leaf(f"translate(text, '{upper}', '{upper.lower()}')")}
+                ELSE {leaf("text")} END AS changed FROM documents))""",
+        *climb("node", "SELECT tree, place, leaf AS digest FROM leaves", levels),
+        f"""subroots AS MATERIALIZED (SELECT tree AS lang, digest AS subroot,
+            row_number() OVER (ORDER BY tree) - 1 AS place FROM node{levels})""",
+        *climb("top", "SELECT 'all' AS tree, place, subroot AS digest FROM subroots", tops),
+        *fold("within", "SELECT doc_id, tree, leaf, place, changed AS node, '' AS proof FROM leaves",
+              "node", "f.tree", levels),
+        *fold("beyond", f"""SELECT f.* REPLACE (s.place AS place), s.subroot
+              FROM within{levels} f JOIN subroots s ON s.lang = f.tree""", "top", "'all'", tops),
+    ]
+    return "WITH " + ", ".join(parts) + f""" SELECT doc_id, leaf, subroot, digest AS root,
+        sha256(proof) AS proof_sha256, node AS folded_root, node = digest AS verified
+        FROM beyond{tops}, top{tops}"""
+
+
+ORACLE = {"op10_mix_sources": _mixing_sql(), "op12_merkle_manifest": _manifest_sql()}
