@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import (ann, covertree, huffman, importance, langid, merkle, mixing, neardup,
-                            packing, suffixes, toxicity, urls)
+from corpusmill.llm import (ann, covertree, hardneg, huffman, importance, langid, merkle, mixing,
+                            neardup, packing, suffixes, toxicity, urls)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def manifest_query(spark, folder):
     return merkle.manifest(table(spark, folder, "documents"))
 
 
+def negatives_query(spark, folder):
+    return hardneg.mine(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_importance_resampling": importance_query,
     "op2_toxicity": toxicity_query,
@@ -78,6 +82,7 @@ QUERIES = {
     "op10_mix_sources": mixing_query,
     "op11_suffix_array_dedup": repeats_query,
     "op12_merkle_manifest": manifest_query,
+    "op13_hard_negatives": negatives_query,
 }
 
 
@@ -204,4 +209,25 @@ def _manifest_sql(levels: int = 7, tops: int = 4) -> str:
         FROM beyond{tops}, top{tops}"""
 
 
-ORACLE = {"op10_mix_sources": _mixing_sql(), "op12_merkle_manifest": _manifest_sql()}
+HARD_NEGATIVES_SQL = """
+    WITH rows AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+            CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      anchors AS (SELECT * FROM rows WHERE vec_id % 100 = 0),
+      scored AS MATERIALIZED (SELECT a.r AS a, a.vec_id AS anchor_id, b.r, b.vec_id,
+            a.label = b.label AS same,
+            CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+        FROM anchors a JOIN rows b ON a.r != b.r),
+      positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (
+            PARTITION BY a ORDER BY score DESC, vec_id, r) <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (
+            PARTITION BY p.a, p.r ORDER BY n.score DESC, n.vec_id, n.r) AS INTEGER) AS rank,
+        n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM positives p JOIN scored n ON n.a = p.a AND NOT n.same
+        AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+    QUALIFY rank <= 5"""
+
+ORACLE = {"op10_mix_sources": _mixing_sql(), "op12_merkle_manifest": _manifest_sql(),
+          "op13_hard_negatives": HARD_NEGATIVES_SQL}
