@@ -215,9 +215,10 @@ def manifest(docs: DataFrame) -> DataFrame:
     subroots = materialise(subroots, "subroots")
     langs = with_start(subroots.withColumn("all", F.lit("")), ["all"], "tree", F.lit(1),
                        subroots.count() // RANGE_ROWS + 1)
-    langs = materialise(langs.select("tree", F.col("start").alias("place"), "digest"), "languages")
+    langs = materialise(langs.select(
+        "all", "tree", F.col("start").alias("place"), "digest"), "languages")
     _, top_runs, top_steps = climb(
-        langs.select(F.lit("").alias("tree"), "place", "digest"), "languages")
+        langs.select(F.col("all").alias("tree"), "place", "digest"), "languages")
 
     high = runs.groupBy("tree").agg(F.max("level").alias("level"))
     below = tops.select("tree", "block").join(high, "tree", "left").select(
@@ -226,8 +227,9 @@ def manifest(docs: DataFrame) -> DataFrame:
         F.array().cast("array<string>").alias("nodes"))
     own = outer_nodes(tops.select("tree", "block", F.col("block").alias("place")), runs, steps, 0)
     # the way of a language to the root is brought to each of its superblocks
-    common = outer_nodes(langs.select(F.lit("").alias("tree"), F.col("tree").alias("block"), "place"),
-                         top_runs, top_steps, steps).select(
+    common = outer_nodes(
+        langs.select(F.col("all").alias("tree"), F.col("tree").alias("block"), "place"),
+        top_runs, top_steps, steps).select(
         F.col("block").alias("tree"), "level", "place", "nodes")
     outer = below.unionByName(own).unionByName(
         tops.select("tree", "block").join(common, "tree").select(*below.columns))
