@@ -20,6 +20,7 @@ class Rule(NamedTuple):
     regex: str
     negated: bool
     token: str | None
+    fragments: tuple[str, ...] = ()  # what any path that matches must contain
 
 
 def _char_class(body: str, escapes: bool) -> tuple[list[str], int] | None:
@@ -109,8 +110,32 @@ def _literal(segment: str) -> str | None:
     return None
 
 
-def wildmatch_rule(line: str) -> Rule | None:
-    """One ignore-file line. None for blanks, comments and a lone slash."""
+def literal_runs(glob: str) -> list[str]:
+    """The runs of characters that stand for themselves in one segment of an ignore-file line."""
+    runs, i = [""], 0
+    while i < len(glob):
+        ch = glob[i]
+        i += 1
+        if ch == "[":
+            start = i + (glob[i:i + 1] in ("!", "^"))
+            found = _char_class(glob[start:], True)
+            if found:
+                i, ch = start + found[1], ""
+        elif ch == "\\" and i < len(glob):
+            ch = glob[i]
+            i += 1
+        elif ch in "*?":
+            ch = ""
+        runs[-1] += ch
+        if not ch:
+            runs.append("")
+    return [r for r in runs if r]
+
+
+def wildmatch_rule(line: str | None) -> Rule | None:
+    """One ignore-file line. None for nulls, blanks, comments and a lone slash."""
+    if line is None:
+        return None
     text = line.lstrip() if line.endswith("\\ ") else line.strip()
     if not text or text.startswith("#") or text == "/":
         return None
@@ -126,7 +151,8 @@ def wildmatch_rule(line: str) -> Rule | None:
     tail = "/.+" if below_only else "" if segments[-1] == "**" else "(?:/.+)?"
     names = [n for n in map(_literal, segments) if n]
     token = max(names, key=lambda n: (not n.startswith("*"), len(n))) if names else None
-    return Rule("(?s)" + _join_segments(segments, True) + tail + "\\z", negated, token)
+    fragments = tuple(run for s in segments if s != "**" for run in literal_runs(s))
+    return Rule("(?s)" + _join_segments(segments, True) + tail + "\\z", negated, token, fragments)
 
 
 def fnmatch_regex(pattern: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -59,26 +59,59 @@ def put_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
         raise OSError(f"{folder}/{name} was written by somebody else, or cannot be written")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, counters: dict[str, Column] | None = None,
+                measured: bool = False) -> DataFrame:
     """Write once, read back: cuts lineage, survives executor loss, and keeps later
-    passes from re-running paid model calls. Parquet, so a pass over keys reads only keys."""
+    passes from re-running paid model calls. Parquet, so a pass over keys reads only keys.
+
+    ``counters`` are aggregates that Spark takes while it writes; ``observed`` tells them. With
+    ``measured`` the rows and bytes are taken too, so that a broadcast is decided without a scan.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    wanted = dict(counters or {})
+    if measured:
+        wanted |= {"rows": F.count(F.lit(1)), "bytes": F.sum(_width(df))}
+    if not wanted:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    watch = Observation()
+    df.observe(watch, *[value.alias(name) for name, value in wanted.items()]).write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.__dict__["_observed"] = watch.get
+    return written
+
+
+def observed(df: DataFrame) -> dict:
+    """What ``materialise`` counted while it wrote this table; empty for any other frame."""
+    return df.__dict__.get("_observed", {})
+
+
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row, about; strings and binary values by their own length."""
+    width = F.lit(0).cast("long")
+    for field in df.schema:
+        value, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        if kind in ("array", "map", "struct"):
+            value, kind = value.cast("string"), "string"
+        size = F.coalesce(F.octet_length(value), F.lit(0)) if kind in ("string", "binary") \
+            else F.lit(8)
+        width = width + size + F.lit(16)
+    return width
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Size of the rows, by one narrow aggregation; ``df`` should be a written table."""
-    width = sum(
-        (F.coalesce(F.octet_length(F.col(f"`{n}`").cast("string")), F.lit(0)) + F.lit(16)
-         for n in df.columns),
-        F.lit(0),
-    )
-    return df.agg(F.sum(width.cast("long")).alias("b")).first()["b"] or 0
+    """Size of the rows: known for a table written ``measured``, else by one narrow aggregation;
+    ``df`` should be a written table."""
+    if "bytes" in observed(df):
+        return observed(df)["bytes"] or 0
+    return df.agg(F.sum(_width(df)).alias("b")).first()["b"] or 0
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES,
+                       part_of: DataFrame | None = None) -> DataFrame:
     """Mark ``df`` for broadcast only when its measured size is under ``max_bytes``;
-    beyond the bound the join is left to Spark (shuffle join, AQE skew splitting)."""
-    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+    beyond the bound the join is left to Spark (shuffle join, AQE skew splitting). A ``part_of``
+    a measured table is no larger than that, which spares a scan."""
+    size = measured_bytes(df if part_of is None else part_of)
+    return F.broadcast(df) if size <= max_bytes else df

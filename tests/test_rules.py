@@ -1,13 +1,16 @@
 import fnmatch
 import itertools
 import subprocess
+import time
 from pathlib import Path, PurePosixPath
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import rules as r
-from corpusmill.operators.rules_join import ignored_by_gitrules, rule_antijoin
+from corpusmill.functions.ruleset import RuleSet
+from corpusmill.operators.rules_join import (
+    compile_rules, ignored_by_gitrules, nameless_candidates, rule_antijoin)
 from corpusmill.sources.files import read_files, scan_docs, scan_patterns, scan_roles
 
 PATHS = ["top.md", "a/top.md", "docs/x.md", "docs/a/x.md", "docs/a/b/x.md", "my/docs/x.md",
@@ -129,24 +132,86 @@ def test_gitrules_agree_with_git(spark, tmp_path):
     assert got == git_ignored(tmp_path, paths) - {"a.log"}
 
 
-@pytest.mark.parametrize("block", [32, 1])
-def test_rule_table_equals_inline_rules(spark, monkeypatch, block):
-    monkeypatch.setattr("corpusmill.operators.rules_join.SCREENED_RULES", block)
-    patterns = list(itertools.chain(*RULES[:13], ["a?c*", "!*b*", "docs/?/x.md"], ["!docs/a/"]))
+def test_rule_table_equals_inline_rules(spark):
+    patterns = list(itertools.chain(*RULES[:13], ["a?c*", "!*b*", "docs/?/x.md"], ["!docs/a/"],
+                                    ["[l]ib/?.md", "!lib/[x-y].m?", None, "?*\\!*", "!*a?g"]))
     rules = spark.createDataFrame(list(enumerate(patterns)), "seq int, pattern string")
     paths = spark.createDataFrame([(p,) for p in PATHS], "path string")
-    want = paths.where(~r.ignored_wildmatch(F.col("path"), patterns)).collect()
+    want = paths.where(~r.ignored_wildmatch(F.col("path"), [p for p in patterns if p])).collect()
     got = rule_antijoin(paths, rules).select("path").collect()
     assert sorted(got) == sorted(want)
 
 
-def test_nameless_rules_meet_only_paths_their_block_matches(spark):
-    patterns = [f"?{i:04d}*" for i in range(2000)] + ["!?0007*"]
+def test_nameless_rules_are_found_by_rare_text(spark):
+    patterns = [f"run?{i:05d}*" for i in range(20_000)] + ["!run?00007*", "no?such*text"]
     rules = spark.createDataFrame(list(enumerate(patterns)), "seq int, pattern string")
-    paths = spark.createDataFrame([(f"d/x{i:04d}.md",) for i in range(1990, 2010)]
-                                  + [("d/x0007.md",), ("d/y.md",)], "path string")
+    paths = spark.createDataFrame([(f"d/run_{i:05d}.md",) for i in range(19_990, 20_010)]
+                                  + [("d/run_00007.md",), ("d/run.md",), ("e",)], "path string")
     got = {x["path"] for x in rule_antijoin(paths, rules).collect()}
-    assert got == {f"d/x{i:04d}.md" for i in range(2000, 2010)} | {"d/x0007.md", "d/y.md"}
-    too_long = spark.range(2).selectExpr("id seq", "concat('?', repeat('a', 40000000)) pattern")
-    with pytest.raises(ValueError):
-        rule_antijoin(paths, too_long)
+    assert got == {f"d/run_{i:05d}.md" for i in range(20_000, 20_010)} | {
+        "d/run_00007.md", "d/run.md", "e"}
+    # joined rows are few: a path meets the rules that have its own digits
+    met = nameless_candidates(paths, compile_rules(rules).where("token is null"))
+    assert met.count() <= 2 * paths.count()
+
+    def expressions(n):
+        some = rules.where(F.col("seq") < n)
+        return rule_antijoin(paths, some)._jdf.queryExecution().optimizedPlan().toString().count("rlike")
+
+    assert expressions(10) == expressions(2000)
+
+
+def test_rules_of_any_length_are_taken(spark):
+    rules = spark.range(2).selectExpr("id seq", "concat('?', repeat('a', 3000 + id)) pattern")
+    paths = spark.createDataFrame([("ba",), ("a" * 3001,), ("b" + "a" * 3000,)],
+                                  "path string")
+    assert [x["path"] for x in rule_antijoin(paths, rules).collect()] == ["ba"]
+
+
+def test_no_rules_keep_all(spark):
+    paths = spark.createDataFrame([("a",), ("b/c",)], "path string")
+    for lines in ([], ["", "# note", None]):
+        rules = spark.createDataFrame(list(enumerate(lines)), "seq int, pattern string")
+        assert rule_antijoin(paths, rules).count() == 2
+        files = rules.withColumn("base_dir", F.lit(""))
+        flagged = paths.withColumn("tracked", F.lit(False))
+        assert ignored_by_gitrules(flagged, files).where("ignored").count() == 0
+
+
+def test_rule_files_are_indexed_not_tried(spark):
+    """Rule files in every dialect, met in parts of a few paths, against the same rules inline."""
+    files = [*RULES, list(itertools.chain(*RULES[:13], ["!docs/a/", "?.md", "!lib/[!x]?md"]))]
+    rules = spark.createDataFrame(
+        [(f"r{k}", i, p) for k, lines in enumerate(files) for i, p in enumerate(lines)],
+        "base_dir string, seq int, pattern string")
+    paths = spark.createDataFrame([(f"r{k}/{p}", False) for k in range(len(files)) for p in PATHS],
+                                  "path string, tracked boolean")
+    flagged = ignored_by_gitrules(paths, rules, group_paths=4)
+    inline = spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", *[
+        r.ignored_wildmatch(F.col("path"), lines).alias(f"r{k}") for k, lines in enumerate(files)])
+    want = {f"r{k}/{row['path']}" for row in inline.collect() for k in range(len(files))
+            if row[f"r{k}"]}
+    assert {row["path"] for row in flagged.where("ignored").collect()} == want
+    assert "rlike" not in flagged._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_a_long_rule_file_costs_little_more_than_a_short_one():
+    def rules(n):
+        kinds = ["name{}.md", "*.e{}", "dir{}/", "/a/run?{}*", "x*{}?y", "!name{}.md"]
+        return [r.wildmatch_rule(kinds[i % len(kinds)].format(i)) for i in range(n)]
+
+    paths = [f"a/run_{i}/name{i}.md" for i in range(30_000)]
+
+    def seconds(n):
+        best = 1e9
+        for _ in range(3):
+            found = RuleSet(rules(n))
+            began = time.perf_counter()
+            for path in paths:
+                found.verdict(path)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    many = RuleSet(rules(5000))
+    assert max(len(many.candidates(p)) for p in paths[::100]) <= 30
+    assert seconds(5000) < 2 * seconds(50) + 0.5  # half a second for what the machine does besides
