@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.paths import components
 from corpusmill.operators.ordering import numbered
-from corpusmill.storage import materialise, scratch_path
+from corpusmill.storage import materialise, scratch_path, with_counts, write_observed
 
 # Generation parameters and retry policy when the caller gives none.
 MODEL_PARAMS = {"temperature": 0.25, "max_tokens": 4096, "timeout": 900}
@@ -26,6 +26,16 @@ ModelFactory = Callable[[], Callable[..., str]]
 RESPONSE_SCHEMA = "response string, error string, attempts long"
 
 
+def outcome_counters() -> dict[str, Column]:
+    """What a stage counts while it writes its outcomes."""
+    failed = F.col("error").isNotNull()
+    return {"processed": F.count(F.when(~failed, 1)), "failed": F.count(F.when(failed, 1))}
+
+
+def add_counts(a: dict, b: dict) -> dict:
+    return {k: (a.get(k) or 0) + (b.get(k) or 0) for k in {**a, **b}}
+
+
 def call_model(prompts: DataFrame, make_model: ModelFactory, params: dict | None = None,
                attempts: int = 1, delay: float = RETRY_DELAY_SECONDS,
                parallelism: int | None = None, in_flight: int = 1) -> DataFrame:
@@ -71,6 +81,26 @@ def call_model(prompts: DataFrame, make_model: ModelFactory, params: dict | None
     return prompts.mapInPandas(respond, schema)
 
 
+def in_chunks(rows: DataFrame, total: int, chunk_rows: int, files: int,
+              handle: Callable[[DataFrame, int], None]) -> None:
+    """``handle`` the ``total`` rows in chunks of about ``chunk_rows``, one after the other.
+
+    The rows are written down as files, ``files`` to a chunk, and come back as a stream of these, a
+    chunk to a micro-batch; what ``handle`` saves of a chunk is saved before the next one is begun.
+    It gets a chunk and its number. Rows that fit one chunk are handled as they are.
+    """
+    if total <= chunk_rows:
+        handle(rows, 0)
+        return
+    spark = rows.sparkSession
+    folder, progress = scratch_path(spark, "chunks"), scratch_path(spark, "chunk-progress")
+    rows.repartition(-(-total * files // chunk_rows)).write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+    query = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", progress)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
 def until_successes(candidates: DataFrame, limit: int | None,
                     run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run candidates (file_id, ...) in path order until ``limit`` of them succeed.
@@ -83,7 +113,8 @@ def until_successes(candidates: DataFrame, limit: int | None,
     task. All rounds write into one folder.
     """
     if not limit:
-        return materialise(run(candidates), "outcomes")
+        return materialise(run(candidates), "outcomes", outcome_counters())
+    counts: dict = {}
     candidates = materialise(numbered(
         candidates.withColumn("_key", components(F.col("file_id"))), "_key").drop("_key"),
         "candidates")
@@ -92,9 +123,10 @@ def until_successes(candidates: DataFrame, limit: int | None,
     while True:
         done = run(candidates.where(F.col("start").between(tried, tried + missing - 1))
                    .drop("start"))
-        done.write.mode("append").parquet(folder)
-        outcomes = candidates.sparkSession.read.schema(done.schema).parquet(folder)
+        counted = write_observed(done, folder, outcome_counters(), mode="append")
+        counts = add_counts(counts, counted)
         tried += missing
-        missing = limit - outcomes.where(F.col("error").isNull()).count()
+        missing = limit - counts["processed"]
         if missing <= 0 or tried >= total:
-            return outcomes
+            return with_counts(
+                candidates.sparkSession.read.schema(done.schema).parquet(folder), counts)

@@ -27,9 +27,12 @@ def compile_docs(ws: Workspace, model: Model, config: dict, changed_only: bool =
     docs = raw.select(F.col("path").alias("file_id"), "text", digest.alias("hash"))
     prompt = compile_prompt(truncate_text(F.col("text"), MAX_DOCUMENT_CHARS),
                             config["compile_prompt"])
-    outcomes = ask_documents(ws, STAGE, docs, prompt, model, config["llm"], changed_only, limit)
-    done, failed = split_outcomes(outcomes)
-    ws.wiki.apply(done.select(F.col("file_id").alias("path"), F.col("response").alias("text")))
-    ws.state.apply(state_of(done, STAGE))
-    ws.quarantine(failed, STAGE)
-    return outcomes
+
+    def save(outcomes: DataFrame, run: str, chunk: int) -> None:
+        done, failed = split_outcomes(outcomes)
+        ws.wiki.apply(done.select(F.col("file_id").alias("path"), F.col("response").alias("text")),
+                      run=run, batch=chunk)
+        ws.state.apply(state_of(done, STAGE), run=run, batch=chunk)
+        ws.quarantine(failed, STAGE, run, chunk)
+
+    return ask_documents(ws, STAGE, docs, prompt, model, config["llm"], changed_only, limit, save)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusmill.functions.paths import components
@@ -16,7 +16,7 @@ from corpusmill.operators.rules_join import ignored_by_gitrules
 from corpusmill.plans.config import SOURCE_TYPE
 from corpusmill.plans.workspace import Workspace, select_work
 from corpusmill.sources.files import scan_docs, scan_patterns
-from corpusmill.storage import materialise
+from corpusmill.storage import materialise, with_counts
 
 STAGE = "harvest"
 
@@ -108,16 +108,22 @@ def harvest(ws: Workspace, files: DataFrame, config: dict, harvested_date: str,
         if limit:
             key = components(F.col("file_id"))
             work = materialise(first_rows(work.withColumn("_key", key), "_key", limit)
-                               .drop("_key"), "limited")
+                               .drop("_key"), "limited", {"processed": F.count(F.lit(1))})
         bodies = fetch(eligible_files(files, config, mode), work.select(
             F.col("file_id").alias("path"), "hash"), "path")
         ws.raw.apply(bodies.select("path", text, F.col("hash").alias("source_hash")))
-    else:  # one pass: saved hashes and unreadable paths are read off the written rows
-        staged = ws.raw.apply(hashed.select("path", text, F.col("hash").alias("source_hash"),
-                                            "content"), rejected=~readable)
-        work = staged.select(F.col("path").alias("file_id"), F.col("source_hash").alias("hash"))
-        bad = ws.raw.rejects().select(F.col("path").alias("file_id"))
-    if not bad.isEmpty():
+    else:  # one pass: saved hashes are read off the written rows, unreadable files are counted
+        watch = Observation()
+        staged = ws.raw.apply(
+            hashed.observe(watch, F.count(F.when(~readable, 1)).alias("bad"),
+                           F.count(F.when(readable, 1)).alias("good"))
+            .where(readable).select("path", text, F.col("hash").alias("source_hash")))
+        work = with_counts(staged.select(F.col("path").alias("file_id"),
+                                         F.col("source_hash").alias("hash")),
+                           {"processed": watch.get["good"], "failed": watch.get["bad"]})
+        bad = found.where(~readable).select(F.col("path").alias("file_id")) \
+            if watch.get["bad"] else None
+    if bad is not None and not bad.isEmpty():
         ws.quarantine(bad.select("file_id", F.lit("not UTF-8").alias("error"),
                                  F.lit(0).cast("long").alias("attempts")), STAGE)
     ws.state.apply(state_of(work, STAGE))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ from corpusmill.operators.model import until_successes
 from corpusmill.operators.rollup import ROLES_DIR, role_members, role_sections
 from corpusmill.plans.config import MAX_MEMBER_CHARS
 from corpusmill.plans.index import write_index
-from corpusmill.plans.workspace import Model, Workspace, select_work
-from corpusmill.storage import materialise
+from corpusmill.plans.workspace import Model, Workspace, answer_in_chunks, new_run, select_work
+from corpusmill.storage import materialise, observed
 
 STAGE = "ingest"
 
@@ -90,14 +92,14 @@ def ingest(ws: Workspace, files: DataFrame, model: Model, config: dict,
     """Document the roles in ``files`` (path, content). Returns (file_id, error, hash) of
     the tried roles. The index follows if at least one role succeeded.
 
-    A role counts as done when all its pages are.
+    A role counts as done when all its pages are. Roles are asked for and saved in chunks.
     """
     ignore = config["ingest_ignore"]
     roles = role_files(files, ignore, mode)
     work = select_work(role_hashes(roles, ignore, mode), ws, STAGE, changed_only)
-    answers: list[DataFrame] = []
+    run_name = new_run()
 
-    def run(batch: DataFrame) -> DataFrame:
+    def ask(batch: DataFrame) -> DataFrame:
         names = batch.select(F.col("file_id").alias("role"))
         members = role_members(roles)
         if changed_only or limit:
@@ -111,15 +113,24 @@ def ingest(ws: Workspace, files: DataFrame, model: Model, config: dict,
                      F.sum("attempts").cast("long").alias("attempts"))
                 .join(batch, "file_id"))
 
-    outcomes = until_successes(work, limit, run)
-    done, failed = split_outcomes(outcomes)
-    ok = materialise(done.select(F.col("file_id").alias("role")), "roles-done")
-    for replies in answers:  # one per round of the limit loop
+    def save(outcomes: DataFrame, run: str, chunk: int) -> None:
+        done, failed = split_outcomes(outcomes)
+        ok = materialise(done.select(F.col("file_id").alias("role")), "roles-done")
+        replies = reduce(DataFrame.unionByName, answers)  # one per round of the limit loop
         docs = materialise(role_documents(fetch(replies, ok, "role")), "role-docs")
-        ws.wiki.apply(docs, deletes=stale_pages(ws, fetch(replies.select("role"), ok, "role"),
-                                                docs))
-    ws.quarantine(failed, STAGE)
-    if not ok.isEmpty():
+        ws.wiki.apply(docs, deletes=stale_pages(ws, fetch(replies.select("role"), ok, "role"), docs),
+                      run=run, batch=chunk)
+        ws.state.apply(state_of(done, STAGE), run=run, batch=chunk)
+        ws.quarantine(failed, STAGE, run, chunk)
+        answers.clear()
+
+    answers: list[DataFrame] = []
+    if limit:
+        outcomes = until_successes(work, limit, ask)
+        save(outcomes, run_name, 0)
+    else:
+        outcomes = answer_in_chunks(ws, work, observed(work)["processed"], model, ask,
+                                    run_name, save)
+    if observed(outcomes)["processed"]:
         write_index(ws, config)
-        ws.state.apply(state_of(done, STAGE))
     return outcomes

@@ -26,13 +26,19 @@ def lint_docs(ws: Workspace, model: Model, config: dict, changed_only: bool = Fa
     prompt = lint_prompt(F.concat(F.lit(config["wiki_dir"] + "/"), F.col("file_id")),
                          truncate_text(F.col("text"), MAX_DOCUMENT_CHARS),
                          config["lint_prompt"])
-    outcomes = ask_documents(ws, STAGE, docs, prompt, model, config["llm"], changed_only, limit)
-    done, failed = split_outcomes(outcomes)
-    findings = done.where(is_finding(F.col("response"))).select(
-        "file_id", F.col("response").alias("finding"))
-    ws.save_report(lint_report(findings))
-    ws.findings.apply(findings, deletes=done.where(~is_finding(F.col("response")))
-                      .select("file_id"))
-    ws.state.apply(state_of(done, STAGE))
-    ws.quarantine(failed, STAGE)
+
+    def save(outcomes: DataFrame, run: str, chunk: int) -> None:
+        done, failed = split_outcomes(outcomes)
+        found = is_finding(F.col("response"))
+        ws.findings.apply(
+            done.where(found).select("file_id", F.col("response").alias("finding")),
+            deletes=done.where(~found).select("file_id"), run=run, batch=chunk)
+        ws.state.apply(state_of(done, STAGE), run=run, batch=chunk)
+        ws.quarantine(failed, STAGE, run, chunk)
+
+    outcomes = ask_documents(ws, STAGE, docs, prompt, model, config["llm"], changed_only, limit,
+                             save)
+    done, _ = split_outcomes(outcomes)
+    ws.save_report(lint_report(done.where(is_finding(F.col("response"))).select(
+        "file_id", F.col("response").alias("finding"))))
     return outcomes

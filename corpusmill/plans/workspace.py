@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +13,10 @@ from pyspark.sql import functions as F
 from corpusmill.operators.changes import changed_only as diff
 from corpusmill.operators.lookup import fetch
 from corpusmill.operators.model import (
-    MODEL_PARAMS, ModelFactory, call_model, until_successes)
+    MODEL_PARAMS, ModelFactory, add_counts, call_model, in_chunks, outcome_counters, until_successes)
 from corpusmill.sources.state import STATE_SCHEMA
 from corpusmill.sources.tables import KeyedTable
-from corpusmill.storage import materialise
+from corpusmill.storage import materialise, observed, with_counts
 
 
 @dataclass
@@ -49,10 +52,13 @@ class Workspace:
     def report(self) -> DataFrame:
         return self.reports.read()
 
-    def quarantine(self, failed: DataFrame, stage: str) -> None:
-        """Keep the failed records and why; a bad run's rows are never dropped silently."""
+    def quarantine(self, failed: DataFrame, stage: str, run: str | None = None,
+                   batch: int = 0) -> None:
+        """Keep the failed records and why; a bad run's rows are never dropped silently. A batch of
+        a run has a folder of its own, so that a replay writes the same rows in the same place."""
         failed.select(F.lit(stage).alias("stage"), "file_id", "error", "attempts").write.mode(
-            "append").parquet(f"{self.root}/quarantine")
+            "overwrite").parquet(f"{self.root}/quarantine/run={run or new_run()}/"
+                                 f"batch={stage}-{batch:08d}")
 
 
 @dataclass
@@ -65,6 +71,7 @@ class Model:
     delay: float = 0.0
     parallelism: int | None = None
     in_flight: int = 1
+    chunk_rows: int = 10_000  # prompts whose answers are saved together
 
     def answer(self, prompts: DataFrame, defaults: dict) -> DataFrame:
         """``defaults`` is the configured part; only generation parameters are taken from it."""
@@ -77,21 +84,61 @@ def select_work(current: DataFrame, ws: Workspace, stage: str, only_changed: boo
     """(file_id, hash) rows to process, written down so bodies can be fetched by key."""
     if only_changed:
         current = diff(current, ws.state.read(), stage).select("file_id", "hash")
-    return materialise(current, f"{stage}-work")
+    return materialise(current, f"{stage}-work", {"processed": F.count(F.lit(1))}, measured=True)
+
+
+def new_run() -> str:
+    return uuid.uuid4().hex
 
 
 def ask_documents(ws: Workspace, stage: str, docs: DataFrame, prompt: Column, model: Model,
-                  defaults: dict, only_changed: bool, limit: int | None) -> DataFrame:
+                  defaults: dict, only_changed: bool, limit: int | None,
+                  save: Callable[[DataFrame, str, int], None]) -> DataFrame:
     """Model outcomes for ``docs`` (file_id, text, hash), ``prompt`` being made from these.
 
-    A full run streams the documents through the model without a join. Otherwise the work is
-    found on ids and hashes, and only its documents are fetched.
+    The model is asked in chunks. ``save`` gets the outcomes of a chunk, the run and the chunk's
+    number, and puts documents and hashes away before the next chunk is asked; so a run that dies
+    has lost one chunk of answers, and the next one over what changed asks for the others only.
+    With a limit a round of candidates is a chunk. A full run moves documents once, without a join.
     """
+    run = new_run()
+
     def ask(batch: DataFrame) -> DataFrame:
         return model.answer(batch.select("file_id", "hash", prompt.alias("prompt")), defaults)
 
-    if not only_changed and not limit:
-        return materialise(ask(docs), "outcomes")
-    work = select_work(docs.select("file_id", "hash"), ws, stage, only_changed)
-    return until_successes(
-        work, limit, lambda batch: ask(fetch(docs.select("file_id", "text"), batch, "file_id")))
+    if limit:
+        work = select_work(docs.select("file_id", "hash"), ws, stage, only_changed)
+        outcomes = until_successes(
+            work, limit, lambda batch: ask(fetch(docs.select("file_id", "text"), batch, "file_id")))
+        save(outcomes, run, 0)
+        return outcomes
+    if only_changed:
+        work = select_work(docs.select("file_id", "hash"), ws, stage, True)
+        docs, total = fetch(docs.select("file_id", "text"), work, "file_id"), \
+            observed(work)["processed"]
+    else:
+        total = docs.count()
+    return answer_in_chunks(ws, docs, total, model, ask, run, save)
+
+
+def answer_in_chunks(ws: Workspace, rows: DataFrame, total: int, model: Model,
+                     ask: Callable[[DataFrame], DataFrame], run: str,
+                     save: Callable[[DataFrame, str, int], None]) -> DataFrame:
+    """``ask`` for the rows chunk by chunk and ``save`` each chunk's outcomes before the next."""
+    chunks: list[DataFrame] = []
+
+    def handle(chunk: DataFrame, number: int) -> None:
+        outcomes = materialise(ask(chunk), "outcomes", outcome_counters())
+        save(outcomes, run, number)
+        chunks.append(outcomes)
+
+    files = model.parallelism or ws.spark.sparkContext.defaultParallelism
+    in_chunks(rows, total, model.chunk_rows, files, handle)
+    counts = reduce(add_counts, [observed(c) for c in chunks])
+    return with_counts(ws.spark.read.schema(chunks[0].schema).parquet(
+        *[path for c in chunks for path in c.inputFiles()]) if len(chunks) > 1 else chunks[0], counts)
+
+
+def run_counts(outcomes: dict[str, DataFrame]) -> dict[str, dict[str, int]]:
+    """Records processed and failed by stage, as counted while the stages wrote; no scan."""
+    return {stage: observed(rows) for stage, rows in outcomes.items() if observed(rows)}

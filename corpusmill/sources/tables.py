@@ -1,151 +1,109 @@
-"""Keyed tables that a run adds to without rewriting what did not change."""
+"""Keyed tables kept as snapshots: a Parquet folder per run, and a list of the folders."""
 
 from __future__ import annotations
 
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusmill.operators.lookup import fetch, without
-from corpusmill.storage import exists, put_text, remove
+from corpusmill.storage import newest_text, put_text, write_observed
 
-_COMMITS = "seq long, part string, covers long, n long, tag string"
-
-# Newer parts are merged once there are so many, so a long row of tiny runs stays cheap to read.
-MERGED_PARTS = 32
+# A table of so many folders is written whole, as one, before the next run adds its own.
+SNAPSHOT_RUNS = 16
+BATCHES = 1 << 32  # more than a run has
 
 
 class KeyedTable:
-    """Parquet parts plus a log that lists them; one writer at a time.
-
-    ``apply`` writes the changed and removed keys of a run as a new part and then logs it,
-    so a run that dies leaves the table as it was. ``read`` overlays the newer parts on the
-    base: without newer parts it is a plain scan. Otherwise the newest row of each key is found
-    on keys alone and the parts are joined with these, so a pass over keys reads and moves
-    keys, and a few changed keys are broadcast. Once the newer parts reach half of the base,
-    ``apply`` folds everything into a new base; many small parts are merged before that.
-
-    A log entry is named by its number and never replaced, so a second writer fails instead of
-    losing a change. An entry says from which number on it stands for all before it; parts and
-    entries that were already stood for before the last fold are removed, so a frame read
-    before a fold can still be evaluated after it, but not after the next one.
+    """``apply`` writes the changed and removed keys of a run into a folder of their own and then
+    puts down a new list, so a run that dies leaves the table as it was. Lists are numbered and
+    never replaced: a second writer gets an error instead of losing a change.
+
+    ``read`` gives the newest row of each key. A table of one folder is a plain scan; otherwise
+    newest rows are found on keys alone, and rows of the first folder give way to them.
+
+    A run may come in batches, each applied when it is done. A batch that is applied again takes
+    its own place, so a replay changes nothing. Folders that are no longer listed stay until they are
+    deleted by hand, so frames that were read before a snapshot can still be evaluated.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str], schema: str):
         self.spark, self.root, self.keys, self.schema = spark, root.rstrip("/"), keys, schema
 
-    def _entries(self) -> list:
-        log = f"{self.root}/log"
-        if not exists(self.spark, log):
-            return []
-        return sorted(self.spark.read.schema(_COMMITS).json(log).collect(),  # few, see _tidy
-                      key=lambda c: c["seq"])
-
-    def _log(self) -> list:
-        """The entries that make up the table, the base first."""
-        live, start = [], None
-        for entry in reversed(self._entries()):
-            if start is None or entry["seq"] < start:
-                live.append(entry)
-                start = entry["covers"]
-        return live[::-1]
-
-    def _load(self, commits: list, rejected: bool = False) -> DataFrame:
-        rows = self.spark.read.schema(
-            f"{self.schema}, _deleted boolean, _rejected boolean, _seq long").parquet(
-            *[f"{self.root}/parts/{c['part']}" for c in commits])
-        return rows.where(F.col("_rejected") == rejected).drop("_rejected")
-
-    def _write(self, rows: DataFrame, seq: int, covers: int, tag: str | None) -> dict:
-        part = f"{seq:08d}-{uuid.uuid4().hex}"
-        entry = {"seq": seq, "part": part, "covers": covers, "tag": tag}
-        rows.withColumn("_seq", F.lit(seq).cast("long")).write.parquet(
-            f"{self.root}/parts/{part}")
-        n = entry["n"] = self._load([entry]).count()  # reads one flag
-        if n or not covers:  # an empty part says nothing
-            put_text(self.spark, f"{self.root}/log", f"{seq:08d}.json", json.dumps(entry))
-        return entry
+    def _list(self) -> tuple[int, list[dict]]:
+        """The number of the newest list, and its folders from old to new."""
+        name, text = newest_text(self.spark, f"{self.root}/lists")
+        return (int(name.split(".")[0]), json.loads(text)) if name else (0, [])
+
+    def _load(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, _deleted boolean, _seq long").option(
+            "recursiveFileLookup", "true").parquet(*[f"{self.root}/{f}" for f in folders])
 
     def is_new(self) -> bool:
-        return not self._log()
+        return not self._list()[1]
 
     def read(self) -> DataFrame:
-        commits = self._log()
-        if not commits:
-            return self.spark.createDataFrame([], self.schema)
+        runs = self._list()[1]
         columns = StructType.fromDDL(self.schema).fieldNames()
-        base = self._load(commits[:1]).where(~F.col("_deleted")).select(columns)
-        if len(commits) == 1:
-            return base
-        newer, winners = self._newest(commits[1:])
-        return without(base, winners.select(self.keys), self.keys).unionByName(
-            newer.where(~F.col("_deleted")).select(columns))
-
-    def _newest(self, commits: list) -> tuple[DataFrame, DataFrame]:
-        """The newest rows of these parts, and their (keys, _seq)."""
-        rows = self._load(commits)
-        if len(commits) == 1:
-            return rows, rows.select(*self.keys, "_seq")
-        winners = rows.groupBy(*self.keys).agg(F.max("_seq").alias("_seq"))
-        return fetch(rows, winners, [*self.keys, "_seq"]), winners
+        if not runs:
+            return self.spark.createDataFrame([], self.schema)
+        base = [r["folder"] for r in runs[:1] if r["whole"]]
+        newer = [r["folder"] for r in runs[len(base):]]
+        first = self._load(base).where(~F.col("_deleted")).select(columns) if base else None
+        if not newer:
+            return first
+        rows = self._load(newer)
+        if len(newer) == 1 and runs[-1]["whole"]:
+            newest = winners = rows
+        else:
+            winners = rows.groupBy(*self.keys).agg(F.max("_seq").alias("_seq"))
+            newest = fetch(rows, winners, [*self.keys, "_seq"])
+        newest = newest.where(~F.col("_deleted")).select(columns)
+        if first is None:
+            return newest
+        return without(first, winners.select(self.keys), self.keys).unionByName(newest)
 
     def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None,
-              tag: str | None = None, rejected: Column | None = None) -> DataFrame | None:
-        """Put ``upserts`` in place of equal keys and drop the keys in ``deletes``. Each key
-        comes once. Returns the rows as written. A ``tag`` that is already logged makes this
-        a no-op (replayed batch). Upserts for which ``rejected`` holds are written down by key
-        but change nothing (see ``rejects``): one pass sorts good rows from bad ones."""
-        entries, commits = self._entries(), self._log()
-        if tag and tag in {c["tag"] for c in entries}:
-            return None
+              run: str | None = None, batch: int = 0) -> DataFrame:
+        """Put ``upserts`` in place of equal keys and drop the keys in ``deletes``; each key comes
+        once. Returns the rows as written. With ``run`` this is one ``batch`` of several."""
         names = StructType.fromDDL(self.schema)
         parts = []
         if upserts is not None:
-            bad = F.lit(False) if rejected is None else F.coalesce(rejected, F.lit(False))
-            parts.append(upserts.withColumn("_rejected", bad).select(
-                *[F.col(f.name) if f.name in self.keys or rejected is None
-                  else F.when(~F.col("_rejected"), F.col(f.name)).alias(f.name) for f in names],
-                F.lit(False).alias("_deleted"), "_rejected"))
+            parts.append(upserts.select(*names.fieldNames(), F.lit(False).alias("_deleted")))
         if deletes is not None:
             parts.append(deletes.select(
                 *[F.col(f.name) if f.name in self.keys else F.lit(None).cast(f.dataType)
-                  .alias(f.name) for f in names], F.lit(True).alias("_deleted"),
-                F.lit(False).alias("_rejected")))
+                  .alias(f.name) for f in names], F.lit(True).alias("_deleted")))
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        seq = entries[-1]["seq"] + 1 if entries else 0
-        entry = self._write(rows, seq, covers=seq if commits else 0, tag=tag)
-        newer = sum(c["n"] for c in commits[1:]) + entry["n"]
-        if commits and newer * 2 > commits[0]["n"]:
-            self.compact(tag)
-        elif len(commits) > MERGED_PARTS:
-            self._merge(tag)
-        self._written = entry
-        return self._load([entry]).where(~F.col("_deleted")).drop("_deleted", "_seq")
-
-    def rejects(self) -> DataFrame:
-        """Keys that the last ``apply`` of this object rejected."""
-        return self._load([self._written], rejected=True).select(self.keys)
-
-    def _merge(self, tag: str | None) -> None:
-        commits = self._log()
-        newest, _ = self._newest(commits[1:])
-        self._write(newest.drop("_seq").withColumn("_rejected", F.lit(False)),
-                    commits[-1]["seq"] + 1, covers=commits[1]["covers"], tag=tag)
-
-    def compact(self, tag: str | None = None) -> None:
-        entries, commits = self._entries(), self._log()
-        if len(commits) > 1:
-            self._write(self.read().withColumn("_deleted", F.lit(False)).withColumn(
-                "_rejected", F.lit(False)), entries[-1]["seq"] + 1, covers=0, tag=tag)
-            self._tidy(entries, commits)
-
-    def _tidy(self, entries: list, commits: list) -> None:
-        """Remove what was no longer part of the table before the fold that just ended."""
-        live = {c["seq"] for c in commits}
-        for old in entries:
-            if old["seq"] not in live:
-                remove(self.spark, f"{self.root}/log/{old['seq']:08d}.json")
-                remove(self.spark, f"{self.root}/parts/{old['part']}")
+
+        version, runs = self._list()
+        known = [r for r in runs if run and r["run"] == run]
+        if not known and len(runs) >= SNAPSHOT_RUNS:
+            version, runs = self._snapshot(version)
+        number = known[0]["number"] if known else version + 1
+        folder = known[0]["folder"] if known else f"runs/{number:08d}-{uuid.uuid4().hex}"
+        place = f"{folder}/{batch:08d}"
+        counted = write_observed(
+            rows.withColumn("_seq", F.lit(number * BATCHES + batch).cast("long")),
+            f"{self.root}/{place}", {"rows": F.count(F.lit(1))}, mode="overwrite")
+        if not known and (counted["rows"] or not runs):  # an empty folder says nothing
+            self._put(version + 1, [*runs, {"folder": folder, "number": number, "run": run,
+                                            "whole": run is None}])
+        return self._load([place]).where(~F.col("_deleted")).drop("_deleted", "_seq")
+
+    def _put(self, version: int, runs: list[dict]) -> None:
+        put_text(self.spark, f"{self.root}/lists", f"{version:08d}.json", json.dumps(runs))
+
+    def _snapshot(self, version: int) -> tuple[int, list[dict]]:
+        """The table as it is, written as one folder."""
+        version += 1
+        folder = f"runs/{version:08d}-{uuid.uuid4().hex}"
+        self.read().withColumn("_deleted", F.lit(False)).withColumn(
+            "_seq", F.lit(version * BATCHES).cast("long")).write.parquet(f"{self.root}/{folder}")
+        runs = [{"folder": folder, "number": version, "run": None, "whole": True}]
+        self._put(version, runs)
+        return version, runs

@@ -42,11 +42,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm_path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    fs, jvm_path = _hadoop(spark, path)
-    fs.delete(jvm_path, True)
-
-
 def put_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
     """Write a small file that is not there yet, so that readers see all of it or none."""
     fs, final = _hadoop(spark, f"{folder}/{name}")
@@ -59,6 +54,30 @@ def put_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
         raise OSError(f"{folder}/{name} was written by somebody else, or cannot be written")
 
 
+def newest_text(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """Name and text of the last small file of a folder, by name; empty if there is none."""
+    fs, path = _hadoop(spark, folder)
+    if not fs.exists(path):
+        return "", ""
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    last = max((n for n in names if not n.startswith(("_", "."))), default="")
+    if not last:
+        return "", ""
+    opened = spark._jvm.java.util.Scanner(fs.open(_hadoop(spark, f"{folder}/{last}")[1]), "UTF-8")
+    text = opened.useDelimiter("\\A").next()
+    opened.close()
+    return last, text
+
+
+def write_observed(df: DataFrame, path: str, counters: dict[str, Column],
+                   mode: str = "error") -> dict:
+    """Write, and return the ``counters``, aggregates that Spark takes on the way."""
+    watch = Observation()
+    df.observe(watch, *[value.alias(name) for name, value in counters.items()]).write.mode(
+        mode).parquet(path)
+    return watch.get
+
+
 def materialise(df: DataFrame, label: str, counters: dict[str, Column] | None = None,
                 measured: bool = False) -> DataFrame:
     """Write once, read back: cuts lineage, survives executor loss, and keeps later
@@ -75,15 +94,17 @@ def materialise(df: DataFrame, label: str, counters: dict[str, Column] | None =
     if not wanted:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    watch = Observation()
-    df.observe(watch, *[value.alias(name) for name, value in wanted.items()]).write.parquet(path)
-    written = spark.read.schema(df.schema).parquet(path)
-    written.__dict__["_observed"] = watch.get
-    return written
+    counted = write_observed(df, path, wanted)
+    return with_counts(spark.read.schema(df.schema).parquet(path), counted)
+
+
+def with_counts(df: DataFrame, counted: dict) -> DataFrame:
+    df.__dict__["_observed"] = counted
+    return df
 
 
 def observed(df: DataFrame) -> dict:
-    """What ``materialise`` counted while it wrote this table; empty for any other frame."""
+    """What was counted while this table was written; empty for a frame derived from it."""
     return df.__dict__.get("_observed", {})
 
 

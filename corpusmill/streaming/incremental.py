@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,7 +12,7 @@ from corpusmill.operators.changes import changed_only, state_of
 from corpusmill.operators.lookup import fetch
 from corpusmill.operators.fingerprints import file_fingerprint
 from corpusmill.plans.harvest import STAGE, eligible_files, staged_text
-from corpusmill.plans.workspace import Workspace
+from corpusmill.plans.workspace import Workspace, new_run
 from corpusmill.storage import materialise
 
 VERSIONS_SCHEMA = "path string, version long, content binary"
@@ -30,14 +32,14 @@ def harvest_versions(versions: DataFrame, ws: Workspace, config: dict, harvested
     seen and its hash is new.
 
     Versions may arrive in any order and in any batches: an older one never replaces a newer
-    one. Documents and state are logged under the batch id, so a replayed batch is a no-op, and
-    a fresh checkpoint finds every version known, however the replay is cut into batches.
-    Versions that are not UTF-8 go to quarantine.
+    one, and a fresh checkpoint finds every version known, however the replay is cut into batches.
+    Versions that are not UTF-8 go to quarantine, under the batch's own name. So a batch that is
+    replayed after a crash changes nothing, in the tables and in the quarantine.
     """
+    run, stream = new_run(), md5(checkpoint.encode()).hexdigest()
 
     def stage(batch: DataFrame, batch_id: int) -> None:
         path = F.col("path")
-        tag = f"{checkpoint}#{batch_id}"
         eligible = eligible_files(batch, config, mode)
         readable = F.try_validate_utf8(F.col("content").cast("string")).isNotNull()
         found = eligible.where(readable)
@@ -45,7 +47,7 @@ def harvest_versions(versions: DataFrame, ws: Workspace, config: dict, harvested
             path.alias("file_id"), F.concat(F.lit("not UTF-8, version "), F.col("version").cast(
                 "string")).alias("error"), F.lit(0).cast("long").alias("attempts")), "unreadable")
         if not bad.isEmpty():
-            ws.quarantine(bad, STAGE)
+            ws.quarantine(bad, STAGE, stream, batch_id)
         # only hashes go through the aggregation, bodies are fetched for what is left
         last = found.groupBy("path").agg(
             F.max_by(F.struct("version", file_fingerprint(F.col("content")).alias("hash")),
@@ -66,10 +68,11 @@ def harvest_versions(versions: DataFrame, ws: Workspace, config: dict, harvested
         bodies = fetch(found, wanted, ["path", "version"])
         ws.raw.apply(bodies.dropDuplicates(["path"]).select(
             "path", staged_text(path, F.col("content"), harvested_date).alias("text"),
-            "source_hash"), tag=tag)
-        ws.state.apply(state_of(work, STAGE), tag=tag)
+            "source_hash"), run=run, batch=batch_id)
+        ws.state.apply(state_of(work, STAGE), run=run, batch=batch_id)
         # last, so that a batch that died half-way is taken up again
-        ws.versions.apply(current.select(F.col("file_id").alias("path"), "version"), tag=tag)
+        ws.versions.apply(current.select(F.col("file_id").alias("path"), "version"),
+                          run=run, batch=batch_id)
 
     return (versions.writeStream.foreachBatch(stage)
             .option("checkpointLocation", checkpoint)

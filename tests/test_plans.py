@@ -1,4 +1,7 @@
+import uuid
+
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from corpusmill.plans.compile import compile_docs
@@ -8,7 +11,8 @@ from corpusmill.plans.harvest import harvest
 from corpusmill.plans.index import index_files, write_index
 from corpusmill.plans.ingest import ingest
 from corpusmill.plans.lint import lint_docs
-from corpusmill.plans.workspace import Model, Workspace
+from corpusmill.plans.workspace import Model, Workspace, run_counts
+from corpusmill.storage import observed
 
 DATE, LATER = "2025-01-01T00:00:00+00:00", "2025-02-02T00:00:00+00:00"
 TREE = {
@@ -144,6 +148,62 @@ def test_compile_retries_failures_only(spark, ws):
         FOUND - {"docs/b/index.md"}
 
 
+def counting(calls):
+    """Answers like ``echo``, and leaves a file for every call."""
+    def make():
+        def answer(messages, **params):
+            (calls / uuid.uuid4().hex).write_text(messages[0]["content"])
+            return "ISSUE"
+        return answer
+    return Model(make, chunk_rows=2, parallelism=1)
+
+
+@pytest.mark.parametrize("stage", ["compile", "lint", "ingest"])
+def test_a_killed_run_keeps_the_chunks_it_paid_for(spark, ws, tmp_path, monkeypatch, stage):
+    config, calls = load_config(), tmp_path / "calls"
+    calls.mkdir()
+    docs = spark.createDataFrame([(f"d{i}.md", f"text {i}", str(i)) for i in range(5)],
+                                 "path string, text string, source_hash string")
+    ws.raw.apply(docs)
+    ws.wiki.apply(docs.select("path", "text"))
+    files = spark.createDataFrame([(f"roles/r{i}/tasks/main.yml", bytearray(b"- a: 1"))
+                                   for i in range(5)], "path string, content binary")
+    run = {"compile": lambda: compile_docs(ws, counting(calls), config, changed_only=True),
+           "lint": lambda: lint_docs(ws, counting(calls), config, changed_only=True),
+           "ingest": lambda: ingest(ws, files, counting(calls), config, changed_only=True)}[stage]
+    saved = ws.state.apply
+
+    def dies(*args, batch=0, **kwargs):
+        if batch == 1:
+            raise RuntimeError("killed")
+        return saved(*args, batch=batch, **kwargs)
+
+    with monkeypatch.context() as m:
+        m.setattr(ws.state, "apply", dies)
+        with pytest.raises(StreamingQueryException):
+            run()
+    kept, asked = set(state(ws, stage)), len(list(calls.iterdir()))
+    assert 1 <= len(kept) < asked < 5  # two chunks were asked, one was saved
+    done = run()
+    assert ids(done) == {f"d{i}.md" if stage != "ingest" else f"r{i}" for i in range(5)} - kept
+    assert len(list(calls.iterdir())) == asked + 5 - len(kept) and len(state(ws, stage)) == 5
+    assert observed(done)["processed"] == 5 - len(kept)
+    assert ids(run()) == set()
+
+
+def test_runs_count_while_they_write(spark, ws):
+    """Counters of a run equal a count of its outcomes, without another scan."""
+    bad = tree(spark, **{"docs/a.md": b"\xff"})
+    for only_changed in (False, True):
+        outcomes = converge(ws, bad, echo(fail=["roles/db"]), load_config(), DATE,
+                            changed_only=only_changed)
+        counted = run_counts(outcomes)
+        for row in summary(outcomes).collect():
+            if row["stage"] in counted and row["outcome"] in ("processed", "failed"):
+                assert counted[row["stage"]][row["outcome"]] == row["n"], row
+        assert set(counted) >= {"harvest", "ingest", "compile", "lint"}
+
+
 def test_lint_reports_this_run_and_keeps_findings(spark, ws):
     config = load_config({"wiki": {"lint_prompt": {"prefix": "P"}}})
     ws.wiki.apply(spark.createDataFrame([("a-b.md", "1"), ("a/b.md", "2"), ("lint-report.md", "x")],

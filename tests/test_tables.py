@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill import storage
 from corpusmill.operators import lookup
@@ -20,32 +21,41 @@ def table(spark, tmp_path):
     return KeyedTable(spark, str(tmp_path / "t"), ["path"], "path string, text string")
 
 
-def test_upserts_deletes_and_folding(spark, table):
+@pytest.mark.parametrize("runs", [16, 2])
+def test_upserts_and_deletes(spark, table, monkeypatch, runs):
+    monkeypatch.setattr("corpusmill.sources.tables.SNAPSHOT_RUNS", runs)
     want = {}
-    assert contents(table) == want
+    assert contents(table) == want and table.is_new()
     steps = [({f"k{i}": "0" for i in range(40)}, []), ({"k1": "1", "n": "1"}, ["k2"]),
              ({"k1": "2", "k2": "back"}, ["n", "absent"]), ({}, ["k1"]),
              ({f"k{i}": "3" for i in range(5, 25)}, []), ({"k1": "4"}, ["k30"])]
     for upserts, deletes in steps:
         gone = spark.createDataFrame([(d,) for d in deletes], "path string")
+        before = table.read()
         table.apply(rows(spark, upserts) if upserts else None, gone)
+        assert dict(map(tuple, before.collect())) == want  # an older frame stays readable
         want = {k: v for k, v in {**want, **upserts}.items() if k not in deletes}
         assert contents(table) == want
-    assert table._log()[0]["covers"] == 0 and len(table._log()) == 2
-    table.compact()
-    assert len(table._log()) == 1 and contents(table) == want
+    assert len(table._list()[1]) <= runs
     assert dict(map(tuple, table.apply(rows(spark, {"k7": "x"})).collect())) == {"k7": "x"}
 
 
-def test_a_replayed_batch_is_a_no_op(spark, table):
-    table.apply(rows(spark, {"a": "1"}), tag="q#0")
-    assert table.apply(rows(spark, {"a": "2", "b": "2"}), tag="q#0") is None
-    assert contents(table) == {"a": "1"}
+def test_a_replayed_batch_takes_its_own_place(spark, table):
+    table.apply(rows(spark, {"a": "0", "c": "0"}))
+    gone = spark.createDataFrame([("c",)], "path string")
+    for _ in range(2):
+        table.apply(rows(spark, {"a": "1", "b": "1"}), run="q", batch=0)
+        table.apply(rows(spark, {"a": "2"}), gone, run="q", batch=1)
+        assert contents(table) == {"a": "2", "b": "1"}
+    table.apply(rows(spark, {"a": "1", "b": "1"}), run="q", batch=0)  # the older one alone
+    assert contents(table) == {"a": "2", "b": "1"}
+    table.apply(rows(spark, {"b": "3"}))
+    assert contents(table) == {"a": "2", "b": "3"}
 
 
-def test_an_unlogged_part_is_invisible(spark, table):
+def test_an_unlisted_folder_is_invisible(spark, table):
     table.apply(rows(spark, {"a": "1"}))
-    rows(spark, {"a": "half"}).write.parquet(f"{table.root}/parts/00000001-crashed")
+    rows(spark, {"a": "half"}).write.parquet(f"{table.root}/runs/00000002-crashed/00000000")
     assert contents(table) == {"a": "1"}
 
 
@@ -54,49 +64,32 @@ def test_keys_are_read_and_moved_without_bodies(spark, table):
     table.apply(rows(spark, {"k1": "1"}))
     table.apply(rows(spark, {"k1": "2", "k2": "2"}))
     plan = table.read().select("path")._jdf.queryExecution().executedPlan().toString()
-    assert len(table._log()) == 3 and "FileScan" in plan and "text" not in plan
+    assert len(table._list()[1]) == 3 and "FileScan" in plan and "text" not in plan
     assert contents(table)["k1"] == "2"
 
 
-def test_many_small_parts_are_merged_and_old_ones_removed(spark, table, monkeypatch, tmp_path):
-    monkeypatch.setattr("corpusmill.sources.tables.MERGED_PARTS", 3)
-    want = {f"k{i}": "0" for i in range(100)}
-    table.apply(rows(spark, want))
-    for i in range(12):
-        table.apply(rows(spark, {f"k{i % 5}": str(i)}), spark.createDataFrame(
-            [(f"k{50 + i}",)], "path string"), tag=f"q#{i}")
-        want = {k: v for k, v in {**want, f"k{i % 5}": str(i)}.items() if k != f"k{50 + i}"}
-        assert contents(table) == want and len(table._log()) <= 5
-    assert table.apply(rows(spark, {"k0": "again"}), tag="q#0") is None
-    for _ in range(2):
-        table.apply(rows(spark, want))
-        table.compact()
-        assert contents(table) == want
-    kept = {c["part"] for c in table._entries()}
-    assert {p.name for p in (tmp_path / "t/parts").iterdir()} == kept and len(kept) < 6
-
-
 def test_a_second_writer_fails(spark, table):
     table.apply(rows(spark, {"a": "1"}))
+    version, listed = table._list()
     with pytest.raises(OSError):
-        table._write(rows(spark, {"a": "2"}).selectExpr(
-            "*", "false _deleted", "false _rejected"), 0, 0, None)
+        table._put(version, listed)
     assert contents(table) == {"a": "1"}
 
 
-def test_rejected_rows_change_nothing(spark, table):
-    table.apply(rows(spark, {"a": "1", "b": "1"}))
-    from pyspark.sql import functions as F
-    done = table.apply(rows(spark, {"a": "bad", "c": "2"}), rejected=F.col("text") == "bad")
-    assert [tuple(r) for r in done.collect()] == [("c", "2")]
-    assert [r["path"] for r in table.rejects().collect()] == ["a"]
-    assert contents(table) == {"a": "1", "b": "1", "c": "2"}
-
-
 def test_empty_changes_leave_no_entry(spark, table):
     table.apply(rows(spark, {"a": "1"}))
     table.apply(rows(spark, {"a": "1"}).where("false"))
-    assert len(table._log()) == 1
+    assert len(table._list()[1]) == 1
+
+
+def test_counts_are_taken_while_writing(spark):
+    df = spark.range(10).selectExpr("id", "repeat('x', id) v", "array('a') w")
+    written = storage.materialise(df, "t", {"odd": F.count(F.when(F.col("id") % 2 == 1, 1))},
+                                  measured=True)
+    counted = storage.observed(written)
+    assert counted["odd"] == 5 and counted["rows"] == 10
+    assert counted["bytes"] == written.agg(F.sum(storage._width(written))).first()[0]
+    assert storage.observed(written.select("id")) == {}
 
 
 def test_broadcast_needs_a_small_side(spark, monkeypatch):
