@@ -249,10 +249,11 @@ def _search(spark, reps: DataFrame, texts: DataFrame, depth: int, before: int |
 
     needed = materialise(members.mapInArrow(
         choose, "prefix long, p int, q int, side int, tree int, c long"), "needed")
-    wanted = needed.select("c").distinct().join(
-        reps.select("c", "r", "k1", "n", "weight", "labels"), "c")
-    bodies = fetch(texts, materialise(wanted, "wanted"), "r")
-    placed = needed.join(bodies, "c").select(
+    wanted = materialise(needed.select("c").distinct().join(
+        reps.select("c", "r", "k1", "weight", "labels"), "c"), "wanted")
+    # ids alone may be broadcast; labels, far larger, meet their rows in a shuffle
+    bodies = fetch(texts, wanted.select("c", "r"), "r")
+    placed = needed.join(wanted.drop("r"), "c").join(bodies, "c").select(
         *keys, "side", "tree", "c", "k1", "weight", "labels", "text").repartition(
         *[F.col(k) for k in keys]).sortWithinPartitions(*keys, "c")
 

@@ -118,6 +118,19 @@ def train(texts: list[str], labels: np.ndarray, languages: list[str | None],
     return weights
 
 
+def _coded(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words of each text as numbers, and the features of each number; read in slices, so
+    that no more than the numbers is held of all texts."""
+    known: dict[str, int] = {}
+    docs = []
+    for a, b in slices(texts):
+        offsets, codes, vocab = word_codes(texts.slice(a, b - a))
+        place = np.array([known.setdefault(w, len(known)) for w in vocab], np.int32)
+        codes = place[codes]
+        docs += [codes[i:j] for i, j in zip(offsets[:-1], offsets[1:])]
+    return docs, feature_ids(list(known))
+
+
 def _train(texts, labels, languages, epochs=EPOCHS, seed=7) -> tuple[dict, np.ndarray]:
     """Weights without thresholds, and the texts they were fitted on (none without both labels)."""
     rng = np.random.default_rng(seed)
@@ -134,9 +147,8 @@ def _train(texts, labels, languages, epochs=EPOCHS, seed=7) -> tuple[dict, np.nd
         weights["out"][:] = 0
         weights["bias"] = -20.0 if not len(texts) or labels.max() == 0 else 20.0
         return weights, np.zeros(0, np.int64)
-    offsets, codes, vocab = word_codes(pa.array(texts, pa.string()))
-    features = feature_ids(vocab)
-    docs = [codes[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+    docs, features = _coded(strings(texts if isinstance(texts, (pa.Array, pa.ChunkedArray))
+                                    else pa.array(texts, pa.string())))
 
     # Languages: smoothed word frequencies, one bucket per word.
     if names:
@@ -270,17 +282,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = F.broadcast(bounded_sample(known, "y", "i", per_label))
     sample = (docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
               .join(chosen, "i").filter("t is not null"))
-    rows = sample.orderBy(F.xxhash64("i", "t"), "t", "y").collect()
-    weights, fitted = _train([r["t"] for r in rows], np.array([r["y"] for r in rows]),
-                             [r["l"] for r in rows])
+    rows = sample.orderBy(F.xxhash64("i", "t"), "t", "y").select("i", "t", "l", "y").toArrow()
+    weights, fitted = _train(rows["t"], rows["y"].to_numpy(), rows["l"].to_pylist())
     if not len(fitted):
         return weights
+    used = sorted(set(rows["i"].take(pa.array(fitted)).to_pylist()))
+    del rows
+    pa.default_memory_pool().release_unused()
     inside = docs.sparkSession.createDataFrame(
-        [(i,) for i in sorted({rows[k]["i"] for k in fitted})],
-        T.StructType([T.StructField("i", sample.schema["i"].dataType)]))
+        [(i,) for i in used], T.StructType([T.StructField("i", sample.schema["i"].dataType)]))
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
     scored = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).filter(
         "i is not null and t is not null").filter(~held_out("i")).select(
-        "i", _rater(weights, docs.sparkSession)("t").alias("s")).select("i", "s.*")
+        "i", _rater(shared)("t").alias("s")).select("i", "s.*")
     marked = scored.join(known, "i").join(
         F.broadcast(inside.withColumn("fitted", F.lit(True))), "i", "left")
     out, toxic = F.col("fitted").isNull(), F.col("y") == 1
@@ -292,6 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             for name, c in zip(COUNTED, (
                 F.min(F.when(own, F.col("logit"))), F.max(F.when(own, F.col("logit"))),
                 F.count_if(own & toxic), F.count_if(own & ~toxic)))]).toPandas()
+    shared.destroy()
     totals = cells[["toxic_all", "clean_all"]].sum().to_numpy(np.float64)
     counted = cells[["toxic_out", "clean_out"]].sum().to_numpy(np.float64)
     which = "out" if counted.all() else "all"
@@ -302,10 +317,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return weights
 
 
-def _rater(weights: dict, spark):
-    """A column function: text -> logit and index of the guessed language."""
-    shared = spark.sparkContext.broadcast(weights)
-
+def _rater(shared):
+    """A column function: text -> logit and index of the guessed language, by shared weights."""
     @F.arrow_udf("logit double, language int")
     def rate(text: pa.Array) -> pa.Array:
         texts = strings(text)
