@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +30,17 @@ def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES):
         stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
         yield start, stop
         start = stop
+        pa.default_memory_pool().release_unused()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Python workers outlive a stage, and what they keep for
+    later use is missing in the next one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
 
 
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
