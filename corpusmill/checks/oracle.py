@@ -275,15 +275,24 @@ on_corpus("strip_response", f"SELECT path, {strip('text')} AS stripped FROM docs
 
 on_corpus("file_fingerprint", """SELECT path, sha256(text) AS hash FROM docs
     UNION ALL SELECT 'gone/'||page_id, '' FROM pages""")
-GROUP_TREE = """SELECT source, sha256(string_agg(node||':'||h, chr(10)
+
+
+def group_tree(rows: str) -> str:
+    return f"""SELECT source, sha256(string_agg(node||':'||h, chr(10)
         ORDER BY node||':'||h)) AS fingerprint FROM (
     SELECT source, node[:2] AS node, sha256(string_agg(node||':'||h, chr(10)
         ORDER BY node||':'||h)) AS h FROM (
     SELECT source, sha256(path)[:4] AS node, sha256(string_agg(path||':'||sha256(text), chr(10)
-        ORDER BY path||':'||sha256(text))) AS h FROM docs GROUP BY 1, 2) GROUP BY 1, 2)
+        ORDER BY path||':'||sha256(text))) AS h FROM {rows} GROUP BY 1, 2) GROUP BY 1, 2)
     GROUP BY 1"""
+
+
+GROUP_TREE = group_tree("docs")
 on_corpus("group_fingerprint", GROUP_TREE)
 on_corpus("group_fingerprint_merkle", GROUP_TREE)
+on_corpus("fingerprint_tree", group_tree("""(SELECT source, path,
+    CASE WHEN quality = 0 THEN text||'x' ELSE text END AS text
+    FROM docs WHERE coalesce(toxic, 0) <> 1 AND path IS NOT NULL AND source IS NOT NULL)"""))
 SQUEEZED = (f"array_to_string(list_transform({lines('text')}, lambda l: {strip('l')}), '')")
 on_corpus("compact_fingerprint", f"""SELECT 'r'||(doc_id // 4) AS rol, md5(
     coalesce(max(s) FILTER (doc_id % 4 = 0), '')||coalesce(max(s) FILTER (doc_id % 4 = 1), '')

@@ -21,6 +21,7 @@ from corpusmill.plans.workspace import Model, Workspace
 from corpusmill.sources import files as src
 from corpusmill.sources.state import parse_state
 from corpusmill.sources.tables import KeyedTable
+from corpusmill.sources.trees import FingerprintTree
 from corpusmill.storage import materialise, scratch_path
 from corpusmill.streaming.incremental import harvest_versions, read_versions
 
@@ -267,6 +268,22 @@ def group_fingerprint_merkle(spark, sf):
     return fingerprints.merkle_fingerprint(docs, "source", "path", "h")
 
 
+@query
+def fingerprint_tree(spark, sf):
+    """A kept tree over all documents, then a run in which those of quality 0 changed and toxic
+    ones are gone."""
+    files = t.labelled(spark, sf).where("path is not null and source is not null").select(
+        F.col("source").alias("grp"), F.col("path").alias("rel"),
+        c.text.cast("binary").alias("text"), "quality", "toxic")
+    tree = FingerprintTree(spark, scratch_path(spark, "tree"))
+    tree.sync(files.withColumn("hash", fingerprints.file_fingerprint(c.text)))
+    gone = F.coalesce(c.toxic == 1, F.lit(False))
+    edited = files.where(~gone & (c.quality == 0)).withColumn("hash", fingerprints.file_fingerprint(
+        F.concat("text", F.lit("x").cast("binary"))))
+    tree.update(edited, files.where(gone))
+    return tree.roots().withColumnRenamed("grp", "source")
+
+
 @query
 def compact_fingerprint(spark, sf):
     """Every document is one of the three functional files of a role, or another file."""

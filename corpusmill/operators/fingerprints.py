@@ -16,6 +16,33 @@ def file_fingerprint(content: Column) -> Column:
     return F.coalesce(F.sha2(content, 256), F.lit(""))
 
 
+# Characters of a node's name, from leaves to the root.
+WIDTHS = (4, 2, 0)
+
+
+def leaf_of(rel: Column) -> Column:
+    """The leaf of a relative path: it is the path that chooses, so a file never moves."""
+    return F.substring(F.sha2(rel.cast("binary"), 256), 1, WIDTHS[0])
+
+
+def leaf_lines(files: DataFrame, group: str) -> DataFrame:
+    """(group, node, line) of files (group, node, rel, hash)."""
+    return files.select(group, "node", F.concat("rel", F.lit(":"), "hash").alias("line"))
+
+
+def node_lines(nodes: DataFrame, group: str, width: int) -> DataFrame:
+    """(group, node, line) of nodes (group, node, hash) for the parents of that width."""
+    return nodes.select(group, F.substring("node", 1, width).alias("node"),
+                        F.concat("node", F.lit(":"), "hash").alias("line"))
+
+
+def hash_nodes(lines: DataFrame, group: str) -> DataFrame:
+    """(group, node, hash, n): each node's hash of its sorted lines, and how many there are."""
+    joined = F.array_join(F.sort_array(F.collect_list("line")), "\n")
+    return lines.groupBy(group, "node").agg(
+        F.sha2(joined.cast("binary"), 256).alias("hash"), F.count("line").alias("n"))
+
+
 def merkle_fingerprint(files: DataFrame, group: str, rel: str, file_hash: str) -> DataFrame:
     """One fingerprint per group from (relative path, file hash), for groups of any size.
 
@@ -24,18 +51,13 @@ def merkle_fingerprint(files: DataFrame, group: str, rel: str, file_hash: str) -
     order. A group that holds a third of a corpus is spread over 65,536 reduce keys, and
     every later level sees at most 256 rows per key. Only paths and hashes are shuffled.
     """
-    line = F.concat(F.col(rel), F.lit(":"), F.col(file_hash))
-    level = files.select(
-        F.col(group), F.substring(F.sha2(F.col(rel).cast("binary"), 256), 1, 4).alias("_node"),
-        line.alias("_line"))
-    for width in (4, 2, 0):
-        level = (
-            level.groupBy(group, "_node")
-            .agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_line")), "\n")
-                        .cast("binary"), 256).alias("_hash"))
-            .select(group, F.substring("_node", 1, max(width - 2, 0)).alias("_node"),
-                    F.concat("_node", F.lit(":"), "_hash").alias("_line"), "_hash"))
-    return level.select(group, F.col("_hash").alias("fingerprint"))
+    children = leaf_lines(files.select(
+        F.col(group), leaf_of(F.col(rel)).alias("node"), F.col(rel).alias("rel"),
+        F.col(file_hash).alias("hash")), group)
+    for width in WIDTHS:
+        level = hash_nodes(children, group)
+        children = node_lines(level, group, max(width - 2, 0))
+    return level.select(group, F.col("hash").alias("fingerprint"))
 
 
 def group_fingerprint(files: DataFrame, group: str, rel: str, content: str) -> DataFrame:

@@ -13,12 +13,13 @@ from corpusmill.functions.text import (
     compact_lines, decode_text, ensure_frontmatter, role_prompt, truncate_text)
 from corpusmill.operators.changes import split_outcomes, state_of
 from corpusmill.operators.lookup import fetch
-from corpusmill.operators.fingerprints import group_fingerprint
+from corpusmill.operators.fingerprints import file_fingerprint, group_fingerprint
 from corpusmill.operators.model import until_successes
 from corpusmill.operators.rollup import ROLES_DIR, role_members, role_sections
 from corpusmill.plans.config import MAX_MEMBER_CHARS
 from corpusmill.plans.index import write_index
 from corpusmill.plans.workspace import Model, Workspace, answer_in_chunks, new_run, select_work
+from corpusmill.sources.trees import FingerprintTree
 from corpusmill.storage import materialise, observed
 
 STAGE = "ingest"
@@ -34,12 +35,19 @@ def role_files(files: DataFrame, ignore: list[str], mode: str = "compat") -> Dat
                                            F.length("path"))))
 
 
-def role_hashes(roles: DataFrame, ignore: list[str], mode: str = "compat") -> DataFrame:
+def role_hashes(roles: DataFrame, ignore: list[str], mode: str = "compat",
+                tree: FingerprintTree | None = None) -> DataFrame:
     """(file_id, hash) per role over its files that no rule drops. A role whose files are
-    all dropped still has a hash, that of nothing."""
+    all dropped still has a hash, that of nothing. With a ``tree`` what did not change since the
+    last run is not hashed again."""
     empty = F.sha2(F.lit("").cast("binary"), 256)
     kept = roles.where(~is_ignored(F.col("path"), ignore, mode))
-    prints = group_fingerprint(kept, "role", "rel", "content")
+    if tree:
+        tree.sync(kept.select(F.col("role").alias("grp"), "rel",
+                              file_fingerprint(F.col("content")).alias("hash")))
+        prints = tree.roots().withColumnRenamed("grp", "role")
+    else:
+        prints = group_fingerprint(kept, "role", "rel", "content")
     if not ignore:
         return prints.select(F.col("role").alias("file_id"), F.col("fingerprint").alias("hash"))
     return (roles.select("role").distinct().join(prints, "role", "left")
@@ -96,7 +104,7 @@ def ingest(ws: Workspace, files: DataFrame, model: Model, config: dict,
     """
     ignore = config["ingest_ignore"]
     roles = role_files(files, ignore, mode)
-    work = select_work(role_hashes(roles, ignore, mode), ws, STAGE, changed_only)
+    work = select_work(role_hashes(roles, ignore, mode, ws.tree), ws, STAGE, changed_only)
     run_name = new_run()
 
     def ask(batch: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from corpusmill.operators.model import (
     MODEL_PARAMS, ModelFactory, add_counts, call_model, in_chunks, outcome_counters, until_successes)
 from corpusmill.sources.state import STATE_SCHEMA
 from corpusmill.sources.tables import KeyedTable
+from corpusmill.sources.trees import FingerprintTree
 from corpusmill.storage import materialise, observed, with_counts
 
 
@@ -31,6 +32,7 @@ class Workspace:
     findings: KeyedTable = field(init=False)
     versions: KeyedTable = field(init=False)
     reports: KeyedTable = field(init=False)
+    tree: FingerprintTree = field(init=False)
 
     def __post_init__(self):
         def table(name, keys, schema):
@@ -42,6 +44,7 @@ class Workspace:
         self.versions = table("versions", ["path"], "path string, version long")
         self.reports = table("report", ["page"], "page long, text string")
         self.findings = table("findings", ["file_id"], "file_id string, finding string")
+        self.tree = FingerprintTree(self.spark, f"{self.root}/tree")
 
     def save_report(self, pages: DataFrame) -> None:
         """Replace the report; a run that dies on the way leaves the previous one."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,34 +28,45 @@ class KeyedTable:
     A run may come in batches, each applied when it is done. A batch that is applied again takes
     its own place, so a replay changes nothing. Folders that are no longer listed stay until they are
     deleted by hand, so frames that were read before a snapshot can still be evaluated.
+
+    With a ``layout``, key columns, each folder is written in their order, and a ``read`` with a
+    condition on them skips the files and row groups that cannot meet it.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], schema: str):
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], schema: str,
+                 layout: list[str] | None = None):
         self.spark, self.root, self.keys, self.schema = spark, root.rstrip("/"), keys, schema
+        self.layout = layout
 
     def _list(self) -> tuple[int, list[dict]]:
         """The number of the newest list, and its folders from old to new."""
         name, text = newest_text(self.spark, f"{self.root}/lists")
         return (int(name.split(".")[0]), json.loads(text)) if name else (0, [])
 
-    def _load(self, folders: list[str]) -> DataFrame:
-        return self.spark.read.schema(f"{self.schema}, _deleted boolean, _seq long").option(
+    def _load(self, folders: list[str], where: Column | None = None) -> DataFrame:
+        rows = self.spark.read.schema(f"{self.schema}, _deleted boolean, _seq long").option(
             "recursiveFileLookup", "true").parquet(*[f"{self.root}/{f}" for f in folders])
+        return rows if where is None else rows.where(where)
+
+    def _laid_out(self, rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange(*self.layout).sortWithinPartitions(
+            *self.layout) if self.layout else rows
 
     def is_new(self) -> bool:
         return not self._list()[1]
 
-    def read(self) -> DataFrame:
+    def read(self, where: Column | None = None) -> DataFrame:
+        """The newest row of each key; ``where``, a condition on keys alone, reaches the scans."""
         runs = self._list()[1]
         columns = StructType.fromDDL(self.schema).fieldNames()
         if not runs:
             return self.spark.createDataFrame([], self.schema)
         base = [r["folder"] for r in runs[:1] if r["whole"]]
         newer = [r["folder"] for r in runs[len(base):]]
-        first = self._load(base).where(~F.col("_deleted")).select(columns) if base else None
+        first = self._load(base, where).where(~F.col("_deleted")).select(columns) if base else None
         if not newer:
             return first
-        rows = self._load(newer)
+        rows = self._load(newer, where)
         if len(newer) == 1 and runs[-1]["whole"]:
             newest = winners = rows
         else:
@@ -88,7 +99,7 @@ class KeyedTable:
         folder = known[0]["folder"] if known else f"runs/{number:08d}-{uuid.uuid4().hex}"
         place = f"{folder}/{batch:08d}"
         counted = write_observed(
-            rows.withColumn("_seq", F.lit(number * BATCHES + batch).cast("long")),
+            self._laid_out(rows).withColumn("_seq", F.lit(number * BATCHES + batch).cast("long")),
             f"{self.root}/{place}", {"rows": F.count(F.lit(1))}, mode="overwrite")
         if not known and (counted["rows"] or not runs):  # an empty folder says nothing
             self._put(version + 1, [*runs, {"folder": folder, "number": number, "run": run,
@@ -102,7 +113,7 @@ class KeyedTable:
         """The table as it is, written as one folder."""
         version += 1
         folder = f"runs/{version:08d}-{uuid.uuid4().hex}"
-        self.read().withColumn("_deleted", F.lit(False)).withColumn(
+        self._laid_out(self.read()).withColumn("_deleted", F.lit(False)).withColumn(
             "_seq", F.lit(version * BATCHES).cast("long")).write.parquet(f"{self.root}/{folder}")
         runs = [{"folder": folder, "number": version, "run": None, "whole": True}]
         self._put(version, runs)
