@@ -42,13 +42,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm_path)
 
 
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    fs, jvm_path = _hadoop(spark, path)
+    out = fs.create(jvm_path)
+    out.write(bytearray(data))
+    out.close()
+
+
 def put_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
     """Write a small file that is not there yet, so that readers see all of it or none."""
     fs, final = _hadoop(spark, f"{folder}/{name}")
-    _, draft = _hadoop(spark, f"{folder}/_{uuid.uuid4().hex}-{name}")
-    out = fs.create(draft)
-    out.write(bytearray(text.encode()))
-    out.close()
+    draft_name = f"{folder}/_{uuid.uuid4().hex}-{name}"
+    put_bytes(spark, draft_name, text.encode())
+    _, draft = _hadoop(spark, draft_name)
     if fs.exists(final) or not fs.rename(draft, final):
         fs.delete(draft, False)
         raise OSError(f"{folder}/{name} was written by somebody else, or cannot be written")
