@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.words import bounded_sample, strings
+from corpusmill.storage import materialise
 
 SAMPLE_PER_LABEL = 20_000
 SUFFIX_BUCKETS = 4096
@@ -102,9 +103,11 @@ def features(urls, hosts, paths, stats: np.ndarray) -> np.ndarray:
 # ---- boosted trees --------------------------------------------------------------------
 
 def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
-          rate: float = RATE) -> dict:
-    """Logistic boosting of complete trees over quantile bins. With one label only, a constant."""
-    share = (y.sum() + 0.5) / (len(y) + 1)
+          rate: float = RATE, weight: np.ndarray | None = None) -> dict:
+    """Logistic boosting of complete trees over quantile bins. With one label only, a constant.
+    A row counts ``weight`` times, and once without."""
+    counts = np.ones(len(y)) if weight is None else weight
+    share = ((counts * y).sum() + 0.5) / (counts.sum() + 1)
     model = {"base": math.log(share / (1 - share)), "trees": [], "depth": depth}
     if not len(y) or y.min() == y.max():
         return model
@@ -113,7 +116,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
     score = np.full(len(y), model["base"])
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
-        gradient, weight = p - y, p * (1 - p)
+        gradient, hessian = counts * (p - y), counts * p * (1 - p)
         leaf = np.zeros(len(y), np.int64)
         splits = []
         for level in range(depth):
@@ -125,7 +128,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
                     continue
                 key, size = leaf * (len(e) + 1) + binned[:, f], n * (len(e) + 1)
                 g = np.bincount(key, gradient, size).reshape(n, -1).cumsum(1)
-                h = np.bincount(key, weight, size).reshape(n, -1).cumsum(1)
+                h = np.bincount(key, hessian, size).reshape(n, -1).cumsum(1)
                 gain = (g[:, :-1] ** 2 / (h[:, :-1] + 1)
                         + (g[:, -1:] - g[:, :-1]) ** 2 / (h[:, -1:] - h[:, :-1] + 1)
                         - g[:, -1:] ** 2 / (h[:, -1:] + 1))
@@ -136,7 +139,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
             splits.append((feature, cut))
             leaf = 2 * leaf + (x[np.arange(len(y)), feature[leaf]] > cut[leaf])
         size = 1 << depth
-        value = -rate * np.bincount(leaf, gradient, size) / (np.bincount(leaf, weight, size) + 1)
+        value = -rate * np.bincount(leaf, gradient, size) / (np.bincount(leaf, hessian, size) + 1)
         score += value[leaf]
         model["trees"].append((splits, value))
     return model
@@ -184,25 +187,41 @@ def suffix_statistics(rows: DataFrame) -> np.ndarray:
 
 
 def fit(rows: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> dict:
-    """Train on about ``per_label`` rows of each label, from (url, host, path, blocked)."""
+    """Train on about ``per_label`` different URLs of each label, from (url, host, path, blocked).
+
+    Equal URLs are counted first, so a URL that holds a third of all rows comes to the driver once.
+    A sampled URL counts as often as it occurs, times what its label has lost in the sample: the
+    trees see the mix of labels of all rows, whatever ``per_label`` is.
+    """
     stats = suffix_statistics(rows)
-    chosen = bounded_sample(rows.filter("blocked is not null"), "blocked", "url", per_label)
+    distinct = materialise(rows.filter("blocked is not null").groupBy(
+        "url", "host", "path", "blocked").agg(F.count(F.lit(1)).alias("n")), "labelled-urls")
+    totals = {r["blocked"]: r["n"] for r in
+              distinct.groupBy("blocked").agg(F.sum("n").alias("n")).collect()}
+    chosen = bounded_sample(distinct, "blocked", "url", per_label)
     sample = chosen.orderBy(F.xxhash64("url"), "url", "blocked").collect()
     x = features([r["url"] for r in sample], [r["host"] for r in sample],
                  [r["path"] for r in sample], stats)
     y = np.array([r["blocked"] for r in sample], np.float64)
-    return {"stats": stats, "trees": boost(x, y)}
+    weight = np.array([r["n"] for r in sample], np.float64)
+    for label, total in totals.items():
+        if (y == label).any():
+            weight[y == label] *= total / weight[y == label].sum()
+    weight *= len(y) / max(1.0, weight.sum())
+    return {"stats": stats, "trees": boost(x, y, weight=weight)}
 
 
 def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES,
-               labels: DataFrame | None = None, label: str = "blocked") -> DataFrame:
-    """One row per page: id, host, path, rule, verdict, block_score (of the trees).
+               labels: DataFrame | None = None, label: str = "blocked",
+               per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
+    """One row per page: id, host, path, rule, verdict, block_score (of the trees; null where a
+    rule decides).
 
     ``labels`` (url, ``label`` 0 or 1) trains the trees; without it, the URLs that a rule
     decides do, with its verdict. Null URLs and those without ``://`` have empty host and path,
     fit no rule and are judged by the trees like any other; an empty URL counts as null.
     Repeated rows give repeated rows; an empty table an empty result; other columns are ignored.
-    Where nothing is labelled, or all alike, the trees are a constant: an even chance allows.
+    ``per_label`` bounds the URLs that the trees are fitted on. Where nothing is labelled, or all alike, the trees are a constant: an even chance allows.
     """
     named = pages.select(F.col(page_id).alias("i"), F.col(url).alias("url"))
     parts = named.select("i", "url", host(F.col("url")).alias("host"),
@@ -217,14 +236,20 @@ def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
             F.col(url).alias("url"), F.col(label).cast("int").alias("blocked"))
         known = known.withColumn("blocked", F.lit(None).cast("int")).unionByName(given.select(
             "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "blocked"))
-    model = pages.sparkSession.sparkContext.broadcast(fit(known))
+    model = pages.sparkSession.sparkContext.broadcast(fit(known, per_label))
 
     @F.arrow_udf("double")
-    def rate(url: pa.Array, host: pa.Array, path: pa.Array) -> pa.Array:
-        x = features(*(strings(c).to_pylist() for c in (url, host, path)), model.value["stats"])
-        return pa.array(predict(model.value["trees"], x))
-
-    scored = ruled.withColumn("p", rate.asNondeterministic()("url", "host", "path"))
+    def rate(url: pa.Array, host: pa.Array, path: pa.Array, open_: pa.Array) -> pa.Array:
+        at = np.flatnonzero(open_.to_numpy(zero_copy_only=False))
+        out = np.full(len(url), np.nan)
+        if len(at):
+            x = features(*(strings(c.take(pa.array(at))).to_pylist() for c in (url, host, path)),
+                         model.value["stats"])
+            out[at] = predict(model.value["trees"], x)
+        return pa.array(out, from_pandas=True)
+
+    scored = ruled.withColumn("p", rate.asNondeterministic()(
+        "url", "host", "path", F.col("r").isNull()))
     return scored.select(
         F.col("i").alias(page_id), "host", "path", F.col("r.rule").alias("rule"),
         F.coalesce(F.col("r.verdict"),

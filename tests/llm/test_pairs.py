@@ -221,6 +221,57 @@ def plain_rule(url):
     return host, path, max(fits)[1] if fits else None
 
 
+def labelled_urls(spark):
+    """A tenth is blocked: 3 of 10 ``/x9/`` and few of the others."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(20_000):
+        risky = i % 5 == 0
+        url = f"http://s{i % 40}.net/{'x9' if risky else 'ab'}/{'q' * (i % 17)}{i}"
+        rows.append((i, url, int(rng.random() < (0.3 if risky else 0.05))))
+    return spark.createDataFrame(rows, "page_id long, url string, blocked int")
+
+
+def test_url_verdicts_at_two_sample_bounds(spark, monkeypatch):
+    """The labels are noise around 0.3 and 0.05, so small fits differ near the cut: 0.96 of verdicts
+    agree. Where the sample's own mix counts, as before rows were weighted, 0.78 do."""
+    table = labelled_urls(spark)
+
+    def judged(per_label):
+        return {r["page_id"]: (r["verdict"], r["block_score"]) for r in urls.judge_urls(
+            table, labels=table, per_label=per_label).collect()}
+
+    def alike(a, b):
+        return np.mean([a[i][0] == b[i][0] for i in a])
+
+    whole, sampled = judged(20_000), judged(2000)
+    assert alike(whole, sampled) > 0.94
+    means = [np.mean([v[1] for v in found.values()]) for found in (whole, sampled)]
+    assert abs(means[0] - means[1]) < 0.03 and abs(means[0] - 0.1) < 0.03
+    boost = urls.boost
+    monkeypatch.setattr(urls, "boost", lambda x, y, weight: boost(x, y))
+    assert alike(whole, judged(2000)) < 0.85
+
+
+def test_a_hot_url_reaches_the_driver_once(spark, monkeypatch):
+    table = labelled_urls(spark)
+    hot = spark.range(2000).selectExpr("id + 10000 AS page_id", "'http://hot.net/a' AS url",
+                                       "0 AS blocked")
+    rows = table.unionByName(hot).select(
+        "url", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"), "blocked")
+    seen = {}
+
+    def record(x, y, weight):
+        seen.update(rows=len(y), weight=weight, y=y)
+        return {}
+
+    monkeypatch.setattr(urls, "boost", record)
+    urls.fit(rows)
+    assert seen["rows"] == 20_001 and seen["weight"].max() > 100 * np.median(seen["weight"])
+    share = rows.agg(F.avg("blocked")).first()[0]
+    assert abs((seen["weight"] * seen["y"]).sum() / seen["weight"].sum() - share) < 1e-9
+
+
 def test_urls_rules_and_trees(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     odd = [None, "", "no scheme", "http://", "HTTP://A.ORG", "http://a.org?x=/", "x://É.ORG/y#z",
