@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.words import bounded_sample, held_out, slices, strings
+from corpusmill.llm.words import bounded_sample, held_out, kept, slices, strings
 
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 2 << 20
@@ -26,7 +26,6 @@ MIN_COUNT = 3
 UNKNOWN = "und"
 BOUNDARY = "\0\0\0"
 
-_tables: dict[str, tuple] = {}
 
 
 def _lowered(texts: pa.Array) -> np.ndarray:
@@ -122,11 +121,7 @@ def unfold(model: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def code_lengths(texts: pa.Array, model: dict) -> np.ndarray:
     """Bits of each whole text under each language."""
-    key = model["key"]
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = unfold(model)
-    state, bits = _tables[key]
+    state, bits = kept(("langid", model["key"]), lambda: unfold(model))
     size, n_lang = model["size"], len(model["languages"])
     out = np.zeros((len(texts), n_lang))
     symbols = model["symbols"].astype(np.int32)

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from corpusmill.llm.words import kept
+
 CACHE_ENTRIES = 500_000
 SLICE_BYTES = 8 << 20
 
@@ -29,8 +31,6 @@ BLANK_END = r"(^|[\s\x0b\x1c-\x1f\x{85}\p{Z}])$"
 
 NOTHING = pa.scalar(b"", pa.large_binary())
 
-_encoders: dict[tuple, "Encoder"] = {}
-
 
 def default_path(name: str) -> str:
     import public_tokenizers
@@ -144,6 +144,4 @@ class Encoder:
 def encoder(path: str, end_id: int, spaced: bool) -> Encoder:
     """This process's encoder; tasks that follow in the worker find its caches filled."""
     key = (path, end_id, spaced)
-    if key not in _encoders:
-        _encoders[key] = Encoder(*key)
-    return _encoders[key]
+    return kept(("encoder", *key), lambda: Encoder(*key))

@@ -43,6 +43,20 @@ def give_back() -> None:
         trim(0)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make):
+    """What this process keeps for the tasks that follow: one thing, as workers outlive a stage and
+    what an earlier stage kept is missing in the next one."""
+    if key not in _kept:
+        if _kept:
+            _kept.clear()
+            give_back()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Lower-cased words (runs of letters, marks and digits) of each text.
 
