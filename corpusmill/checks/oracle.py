@@ -40,13 +40,13 @@ def truncated(s: str, m: int) -> str:
             f"ELSE {s} END")
 
 
-def pages(rows: str, keys: str, order: str, text: str, sep: str) -> str:
+def pages(rows: str, keys: str, order: str, text: str, sep: str, chars: int = PAGE_CHARS) -> str:
     """Pages of ``rows``; ``keys`` is empty or ends with a comma."""
     part = f"PARTITION BY {keys.rstrip(', ')}" if keys else ""
     n = len(sep)
     return f"""SELECT {keys} page, string_agg({text}, {lit(sep)} ORDER BY {order}) AS {text}
         FROM (SELECT *, CAST((sum(length({text}) + {n}) OVER ({part} ORDER BY {order}
-                ROWS UNBOUNDED PRECEDING) - length({text}) - {n}) // {PAGE_CHARS} AS BIGINT) AS page
+                ROWS UNBOUNDED PRECEDING) - length({text}) - {n}) // {chars} AS BIGINT) AS page
               FROM ({rows})) GROUP BY {keys} page"""
 
 
@@ -336,6 +336,8 @@ sql("media_section", SECTION, MEDIA)
 # --- order, limit, sets ----------------------------------------------------
 
 on_corpus("path_order", pages("SELECT k, path AS paths FROM docs", "", "k", "paths", "\n"))
+on_corpus("path_order_pages", pages("SELECT k[1] AS folder, k, path AS paths FROM docs", "folder, ",
+                                    "k", "paths", "\n", 2000))
 N = (f"(SELECT *, length({lint_prompt('path', truncated('text', 6000))}) AS n FROM docs)")
 on_corpus("limit_success", f"""SELECT path AS file_id, {answer('n')} AS response,
     {refusal('n')} AS error FROM (SELECT path, n, coalesce(sum(CASE WHEN n % 11 = 0 THEN 0 ELSE 1 END)

@@ -411,6 +411,15 @@ def path_order(spark, sf):
     return pages.ordered_pages(docs, ["doc"], "k", "paths", "\n").select("page", "paths")
 
 
+@query
+def path_order_pages(spark, sf):
+    """Pages of 2,000 characters of path lists, a list for each first folder."""
+    docs = t.corpus(spark, sf).select(
+        F.element_at(p.components(c.path), 1).alias("folder"), p.components(c.path).alias("k"),
+        c.path.alias("paths"))
+    return pages.ordered_pages(docs, ["folder"], "k", "paths", "\n", 2000)
+
+
 def _lint_prompts(spark, sf):
     return t.corpus(spark, sf).select(
         c.path.alias("file_id"),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.ordering import with_start
-from corpusmill.storage import broadcast_if_small, materialise
+from corpusmill.storage import broadcast_if_small, materialise, observed
 
 PAGE_CHARS = 1_000_000
+MAX_BORDERS = 65_536  # stretches a table is cut into at most; their number never changes a result
 
 
 def _join_page(rows: DataFrame, keys: list[str], order: str, text: str, sep: str) -> DataFrame:
@@ -18,8 +19,27 @@ def _join_page(rows: DataFrame, keys: list[str], order: str, text: str, sep: str
         F.array_join(F.transform(items, lambda i: i["t"]), sep).alias(text))
 
 
+def _last_border(borders: Column, order: Column, most: int) -> Column:
+    """How many of the sorted ``borders`` are not behind ``order``, by binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(borders, at + step - 1)["k"] <= order, at + step).otherwise(at))
+
+
+def _borders(keys: DataFrame, large: DataFrame, group: list[str], order: str, stretch: int,
+             total: int) -> DataFrame:
+    """Where the stretches of ``large`` groups begin: (group..., _borders), sorted (order value,
+    start) of the first row of each stretch but a group's first. Every border has a stretch
+    before it, so there are no more than ``total / stretch``."""
+    spread = keys.join(broadcast_if_small(large), group, "left_semi")
+    first = with_start(spread, group, order, F.col("_len"), total // (4 * stretch) + 1).withColumn(
+        "_stretch", F.floor(F.col("start") / stretch)).where("_stretch > 0").groupBy(
+        *group, "_stretch").agg(F.min(F.struct(F.col(order).alias("k"), "start")).alias("b"))
+    return first.groupBy(*group).agg(F.sort_array(F.collect_list("b")).alias("_borders"))
+
+
 def ordered_pages(rows: DataFrame, group: list[str], order: str, text: str, sep: str,
-                  page_chars: int = PAGE_CHARS) -> DataFrame:
+                  page_chars: int = PAGE_CHARS, max_borders: int = MAX_BORDERS) -> DataFrame:
     """Join each group's texts in order, in pages: (group..., page, text).
 
     A row is on page ``start // page_chars``, where ``start`` counts the characters of the
@@ -27,26 +47,38 @@ def ordered_pages(rows: DataFrame, group: list[str], order: str, text: str, sep:
     larger one, joined by ``sep`` in page order, are the whole string. ``order`` must be
     unique within a group, as page borders are otherwise a matter of luck.
 
-    Groups that fit are joined in one shuffle. The rows of the others are counted range by
-    range (``with_start``) and then grouped by page; no task sees more than a range or a page.
+    Texts are written once and shuffled once. Keys and lengths alone are ranked, which gives the
+    borders of stretches of whole pages, ``max_borders`` of them at most. A text finds its stretch
+    among the borders of its group and moves there; a running total inside the stretch gives its
+    page. No task sees more than a range of keys or a stretch.
     """
     rows = materialise(
         rows.select(*group, order, text,
-                    (F.length(text) + F.lit(len(sep))).cast("long").alias("_len")), "pages")
-    totals = rows.groupBy(*group).agg(F.sum("_len").alias("_total"))
-    total = totals.agg(F.sum(F.when(F.col("_total") > page_chars, F.col("_total")))).first()[0]
+                    (F.length(text) + F.lit(len(sep))).cast("long").alias("_len")), "pages",
+        {"total": F.sum("_len")})
     columns = [*group, "page", text]
-    if total is None:
+    total = observed(rows)["total"] or 0
+    stretch = page_chars * max(1, -(-total // (page_chars * max_borders)))
+    keys, most = rows.select(*group, order, "_len"), 0
+    if total > page_chars:
+        large = materialise(keys.groupBy(*group).agg(F.sum("_len").alias("_total")).where(
+            F.col("_total") > stretch).select(*group), "large-groups", measured=True)
+        if observed(large)["rows"]:
+            borders = materialise(_borders(keys, large, group, order, stretch, total), "borders",
+                                  {"most": F.max(F.size("_borders"))}, measured=True)
+            most = observed(borders)["most"] or 0
+    if not most and (stretch == page_chars or total <= page_chars):
         return _join_page(rows, group, order, text, sep).withColumn(
             "page", F.lit(0).cast("long")).select(columns)
 
-    large = broadcast_if_small(materialise(
-        totals.where(F.col("_total") > page_chars).select(*group), "large-groups"))
-    fits = rows.join(large, group, "left_anti")
-    whole = _join_page(fits, group, order, text, sep).withColumn("page", F.lit(0).cast("long"))
-    spread = rows.join(large, group, "left_semi")
-    numbered = with_start(spread, group, order, F.col("_len"), total // (4 * page_chars) + 1)
-    paged = _join_page(
-        numbered.withColumn("page", F.floor(F.col("start") / page_chars)),
-        [*group, "page"], order, text, sep)
-    return whole.select(columns).unionByName(paged.select(columns))
+    placed = rows.withColumns({"_at": F.lit(0), "_base": F.lit(0).cast("long")})
+    if most:
+        placed = rows.join(broadcast_if_small(borders), group, "left").withColumn(
+            "_at", _last_border(F.col("_borders"), F.col(order), most)).withColumn(
+            "_base", F.coalesce(F.get("_borders", F.col("_at") - 1)["start"], F.lit(0))).drop(
+            "_borders")
+    earlier = Window.partitionBy(*group, "_at").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, -1)
+    paged = placed.withColumn("page", F.floor((F.col("_base") + F.coalesce(
+        F.sum("_len").over(earlier), F.lit(0))) / page_chars))
+    return _join_page(paged, [*group, "_at", "page"], order, text, sep).select(columns)

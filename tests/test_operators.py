@@ -6,9 +6,10 @@ from pathlib import PurePosixPath
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill import storage
 from corpusmill.functions.text import truncate_text
 from corpusmill.operators import fingerprints as fp
-from corpusmill.operators import media, rollup
+from corpusmill.operators import media, ordering, pages, rollup
 from corpusmill.operators.changes import changed_only, split_outcomes, state_of
 from corpusmill.operators.model import call_model, until_successes
 from corpusmill.operators.ordering import first_rows
@@ -76,8 +77,9 @@ def python_pages(items, sep, size):
     return {n: sep.join(texts) for n, texts in pages.items()}
 
 
-@pytest.mark.parametrize("size,sep", [(10, "\n"), (60, "\n\n"), (10_000, ""), (3, "")])
-def test_pages_split_only_what_does_not_fit(spark, size, sep):
+@pytest.mark.parametrize("size,sep,borders", [
+    (10, "\n", 1000), (60, "\n\n", 1000), (10_000, "", 1000), (3, "", 1000), (10, "", 7), (60, "", 1)])
+def test_pages_split_only_what_does_not_fit(spark, size, sep, borders):
     rng = random.Random(size)
     groups = {"hot": 400, "warm": 30, "one": 1}  # the hot group holds most rows
     rows = [(g, [f"{i // 10:03d}", f"{i % 10}"], "x" * rng.randint(0, 9) + f"é{i}")
@@ -86,7 +88,7 @@ def test_pages_split_only_what_does_not_fit(spark, size, sep):
     rng.shuffle(shuffled)
     df = spark.createDataFrame(shuffled, "g string, k array<string>, t string").repartition(5)
     got = {(r["g"], r["page"]): r["t"] for r in
-           ordered_pages(df, ["g"], "k", "t", sep, size).collect()}
+           ordered_pages(df, ["g"], "k", "t", sep, size, borders).collect()}
     want = {}
     for g in groups:
         texts = [t for h, _, t in sorted(rows, key=lambda r: r[:2]) if h == g]
@@ -94,6 +96,25 @@ def test_pages_split_only_what_does_not_fit(spark, size, sep):
     assert got == want
 
 
+def test_texts_of_pages_are_written_once_and_shuffled_once(spark, monkeypatch):
+    written = []
+
+    def recorded(df, label, *more, **named):
+        written.append((label, df.columns))
+        return storage.materialise(df, label, *more, **named)
+
+    monkeypatch.setattr(pages, "materialise", recorded)
+    monkeypatch.setattr(ordering, "materialise", recorded)
+    rows = spark.range(500).select(F.lit("g").alias("g"), F.format_string("%05d", "id").alias("k"),
+                                   F.lit("some text").alias("t"))
+    found = pages.ordered_pages(rows, ["g"], "k", "t", "\n", 100)
+    assert found.count() == 50
+    assert [label for label, columns in written if "t" in columns] == ["pages"]
+    assert "ranges" in [label for label, _ in written]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange range" not in plan
+
+
 def test_members_and_sections(spark):
     tree = [("roles/r/tasks/a/m.yml", b"first: 1\n# no\n"), ("roles/r/tasks/b/m.yml", b"last: 2"),
             ("roles/r/defaults/z.yaml", b"z: 1"), ("roles/r/defaults/y.yml", b"y: 1"),
