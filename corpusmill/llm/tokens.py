@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import array
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from corpusmill.llm.words import kept
 
 CACHE_ENTRIES = 500_000
 SLICE_BYTES = 8 << 20
+JOINED_WORDS = 4096
 
 # How the public word-level tokenizer splits lower-cased text.
 WORD_PATTERN = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
@@ -30,6 +32,13 @@ PLAIN = rf"^{SEEN}(\n{SEEN})*$"
 BLANK_END = r"(^|[\s\x0b\x1c-\x1f\x{85}\p{Z}])$"
 
 NOTHING = pa.scalar(b"", pa.large_binary())
+LINE_END = 3
+KINDS = np.array([LINE_END if c == "\n" else 2 * c.isdigit() + c.isalpha()
+                  for c in map(chr, range(128))], np.int8)
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 def default_path(name: str) -> str:
@@ -49,19 +58,50 @@ class Encoder:
         self.end = pa.scalar(int(end_id).to_bytes(4, "little"), pa.large_binary())
         self.spaced = spaced  # chunks keep the space before them, and case counts
         self.pattern = BYTE_PATTERN if spaced else WORD_PATTERN
-        self.pieces: dict[str, bytes] = {}
+        self.places: dict[str, int] = {}  # pieces seen, and where their ids are in ``stored``
+        self.stored = pa.array([], pa.large_binary())
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("I", x.ids).tobytes() for x in found]
 
-    def _cached(self, pieces: list[str]) -> list[bytes]:
-        known = self.pieces
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known = self.pieces = {p: known[p] for p in pieces if p in known}
-        known.update(zip(new, self._direct(new)))
-        return list(map(known.__getitem__, pieces))
+    def _joined(self, words: list[str]) -> pa.Array:
+        """Ids of words of letters, encoded as one text: the tokenizer cuts it into these words,
+        numbers them, and merges inside a word only. Otherwise they are encoded one by one."""
+        out = []
+        for k in range(0, len(words), JOINED_WORDS):
+            some = words[k:k + JOINED_WORDS]
+            found = self.tokenizer.encode(("" if self.spaced else " ").join(some),
+                                          add_special_tokens=False)
+            number = np.array(found.word_ids, np.int64)
+            starts = np.flatnonzero(np.diff(number, prepend=-1))
+            if len(starts) != len(some):
+                out.append(pa.array(self._direct(some), pa.large_binary()))
+                continue
+            ids = np.array(found.ids, "<u4")
+            out.append(pa.Array.from_buffers(pa.large_binary(), len(some), [
+                None, pa.py_buffer(4 * np.append(starts, len(ids)).astype(np.int64)),
+                pa.py_buffer(ids)]))
+        return pa.concat_arrays(out)
+
+    def _cached(self, pieces: list[str], words: bool) -> pa.Array:
+        """Ids of the pieces, which are all words of letters or not; new ones are encoded."""
+        at = np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(pieces[i] for i in missing))
+            emptied = len(self.places) + len(new) > CACHE_ENTRIES
+            if emptied:
+                used = {p: k for p, k in zip(pieces, at.tolist()) if k >= 0}
+                self.stored = self.stored.take(pa.array(list(used.values()), pa.int64()))
+                self.places = dict(zip(used, range(len(used))))
+            self.places.update(zip(new, range(len(self.stored), len(self.stored) + len(new))))
+            ids = self._joined(new) if words else pa.array(self._direct(new), pa.large_binary())
+            self.stored = pa.concat_arrays([self.stored, ids])
+            if emptied:
+                missing = range(len(pieces))
+            at[missing] = [self.places[pieces[i]] for i in missing]
+        return self.stored.take(pa.array(at))
 
     def _chunk_ids(self, chunks: pa.Array, plain: np.ndarray) -> pa.Array:
         """Ids of distinct chunks, for plain ones from those of the pieces they split into."""
@@ -78,21 +118,53 @@ class Encoder:
 
     def _words(self, chunks: pa.Array) -> pa.Array:
         lowered = chunks if self.spaced else pc.utf8_lower(chunks)
-        return pa.array(self._cached(self._ahead(lowered).to_pylist()), pa.large_binary())
+        return self._cached(_strings(self._ahead(lowered)), True)
 
     def _whole(self, chunks: pa.Array) -> pa.Array:
         return pa.array(self._direct(self._ahead(chunks).to_pylist()), pa.large_binary())
 
     def _split(self, chunks: pa.Array) -> pa.Array:
         text = self._ahead(chunks if self.spaced else pc.utf8_lower(chunks))
+        # Only apostrophes and other alphabets need the pattern: runs of a kind are pieces.
+        simple = pc.and_not(pc.string_is_ascii(text), pc.match_substring(text, "'")).to_numpy(
+            zero_copy_only=False)
+        out = np.empty(len(text), np.int64)
+        at, groups = np.argsort(~simple, kind="stable"), []
+        out[at] = np.arange(len(text))
+        most = int(simple.sum())
+        for part, cut in ((at[:most], self._runs), (at[most:], self._matches)):
+            if len(part):
+                offsets, pieces = cut(text.take(pa.array(part)))
+                coded = pieces.dictionary_encode()
+                ids = self._cached(_strings(coded.dictionary), False)
+                groups.append(pc.binary_join(
+                    pa.LargeListArray.from_arrays(offsets, ids.take(coded.indices)), NOTHING))
+        return pa.concat_arrays(groups).take(pa.array(out))
+
+    def _runs(self, text: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Texts of ASCII cut where letters, digits and other characters meet, and around each
+        line end; a text's first space goes with what follows."""
+        text = text.cast(pa.large_string())
+        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
+        data = np.frombuffer(text.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+        ends = ends - ends[0]
+        kind = KINDS[data]
+        if self.spaced:
+            kind[ends[:-1]] = kind[ends[:-1] + 1]
+        new = np.ones(len(data) + 1, bool)
+        new[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == LINE_END)
+        new[ends] = True
+        cuts = np.flatnonzero(new)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [
+            None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)])
+        return pa.array(np.searchsorted(cuts, ends)), pieces
+
+    def _matches(self, text: pa.Array) -> tuple[pa.Array, pa.Array]:
         marked = pc.replace_substring_regex(text, pattern=self.pattern, replacement="\\1\0")
         if not self.spaced:
             marked = pc.replace_substring(marked, pattern="\n", replacement="")
         parts = pc.split_pattern(marked, "\0")
-        coded = parts.flatten().dictionary_encode()
-        ids = pa.array(self._cached(coded.dictionary.to_pylist()), pa.large_binary())
-        return pc.binary_join(pa.LargeListArray.from_arrays(
-            parts.offsets.cast(pa.int64()), ids.take(coded.indices)), NOTHING)
+        return parts.offsets.cast(pa.int64()), parts.flatten()
 
     def _ahead(self, chunks: pa.Array) -> pa.Array:
         """Chunks with the space before them; a text's first one is looked up without."""

@@ -44,6 +44,21 @@ def test_ids_are_the_tokenizers_own(spark, name, end, spaced):
         assert np.frombuffer(ids, "<u4").tolist() == w.ids + [end], text[:50]
 
 
+@pytest.mark.parametrize("name,end,spaced", [
+    ("word_bpe_49k.json", 2, False), ("byte_bpe_50k.json", 0, True)])
+def test_ids_with_a_small_cache_and_random_ascii(monkeypatch, name, end, spaced):
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 40)
+    monkeypatch.setattr(tokens, "JOINED_WORDS", 3)
+    path, rng = tokens.default_path(name), np.random.default_rng(5)
+    letters = list("aAzZ09.,'-!_|<>\n  é") + ["ß", "the", "I'll", "don't", "x1y2", "\t", "日"]
+    texts = ["".join(rng.choice(letters, rng.integers(1, 60))) for _ in range(1500)]
+    encode = tokens.Encoder(path, end, spaced).encode
+    got = [x for k in range(0, len(texts), 100) for x in encode(pa.array(texts[k:k + 100])).to_pylist()]
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    for text, ids, w in zip(texts, got, want):
+        assert np.frombuffer(ids, "<u4").tolist() == w.ids + [end], repr(text)
+
+
 def fewest_bins(items, capacity):
     best = len(items)
 
