@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from corpusmill.llm.words import kept
 
-CACHE_ENTRIES = 500_000
-SLICE_BYTES = 8 << 20
+CACHE_ENTRIES = 200_000
+SLICE_BYTES = 2 << 20
 JOINED_WORDS = 4096
 
 # How the public word-level tokenizer splits lower-cased text.
