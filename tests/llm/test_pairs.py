@@ -197,6 +197,46 @@ def test_neighbours_recall_ties_and_odd_rows(spark):
     assert ann.nearest_neighbours(few.filter("false")).collect() == []
 
 
+def unlike_others(n):
+    """The rows that are asked lie in few directions, all others anywhere."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(n, 64))
+    x[::20] = (rng.normal(size=(50, 64))[rng.integers(0, 50, n)] + 0.3 * x)[::20]
+    return x
+
+
+def few_long(n):
+    """A few rows far longer than all others are everybody's neighbours."""
+    x = np.random.default_rng(2).normal(size=(n, 16))
+    x[7::n // 12] *= 100
+    return x
+
+
+def tight(n):
+    """Groups of fewer rows than are asked for, each nearly one point on the unit sphere."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n // 12, 16))[np.arange(n) % (n // 12)] + 1e-9 * rng.normal(size=(n, 16))
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+@pytest.mark.parametrize("make, sample", [(unlike_others, 16_384), (few_long, 400), (tight, 16_384)])
+def test_neighbours_recall_on_uneven_rows(spark, monkeypatch, make, sample):
+    monkeypatch.setattr(ann, "SAMPLE", sample)
+    x = make(4800)
+    table = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(table).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert len(got[q]) == 20
+        hit += sum(score[list(got[q])] >= np.sort(score)[-20] - 1e-12)
+    assert hit / (240 * 20) >= 0.95
+
+
 def test_graph_walk_reaches_the_nearest():
     x = vectors(2000, 8).astype(np.float64)
     centres = ann.balanced_centroids(x, 64)
