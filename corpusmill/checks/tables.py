@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,14 +97,18 @@ def stub_model():
 
 
 def flaky_model():
-    """Fails the first calls for a prompt: none to six of them, by the prompt's length."""
+    """Fails the first calls for a prompt: none to six of them, by the prompt's length.
+
+    Calls for a prompt follow each other in a thread, so each thread remembers its last one alone.
+    """
     def make():
-        seen = {}
+        last = threading.local()
 
         def answer(messages, **params):
             text = messages[0]["content"]
-            seen[text] = seen.get(text, 0) + 1
-            if seen[text] <= len(text) % 7:
+            last.calls = last.calls + 1 if getattr(last, "text", None) == text else 1
+            last.text = text
+            if last.calls <= len(text) % 7:
                 raise TimeoutError(f"busy {len(text)}")
             return f"done {len(text)}"
         return answer

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from corpusmill.storage import materialise, scratch_path, with_counts, write_obs
 MODEL_PARAMS = {"temperature": 0.25, "max_tokens": 4096, "timeout": 900}
 RETRY_ATTEMPTS = 5
 RETRY_DELAY_SECONDS = 10.0
+CALL_ROWS = 512  # prompts a task holds as Python strings
 
 # Builds the callable once per task; the callable takes messages and generation
 # parameters and returns the response text, or raises.
@@ -51,11 +52,11 @@ def call_model(prompts: DataFrame, make_model: ModelFactory, params: dict | None
     """
     settings = {**MODEL_PARAMS, **(params or {})}
     kept = [f for f in prompts.schema if f.name != "prompt"]
-    names = [f.name for f in kept]
+    names, kinds = [f.name for f in kept], [pa.string(), pa.string(), pa.int64()]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
                        + [RESPONSE_SCHEMA])
 
-    def respond(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def respond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_model()
 
         def one(prompt):
@@ -71,14 +72,19 @@ def call_model(prompts: DataFrame, make_model: ModelFactory, params: dict | None
             return None, error, attempts
 
         with ThreadPoolExecutor(in_flight) as pool:
-            for batch in batches:
-                answers = pd.DataFrame(list(pool.map(one, batch["prompt"])),
-                                       columns=["response", "error", "attempts"])
-                yield pd.concat([batch[names].reset_index(drop=True), answers], axis=1)
+            for rows in batches:
+                for start in range(0, rows.num_rows, CALL_ROWS):
+                    some = rows.slice(start, CALL_ROWS)
+                    answers = list(pool.map(one, some.column("prompt").to_numpy(
+                        zero_copy_only=False)))
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column(n) for n in names]
+                        + [pa.array(values, kind) for values, kind in zip(zip(*answers), kinds)],
+                        names=[*names, "response", "error", "attempts"])
 
     if parallelism:
         prompts = prompts.repartition(parallelism)
-    return prompts.mapInPandas(respond, schema)
+    return prompts.mapInArrow(respond, schema)
 
 
 def in_chunks(rows: DataFrame, total: int, chunk_rows: int, files: int,

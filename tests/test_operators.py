@@ -1,12 +1,14 @@
 import hashlib
 import random
 import time
+import tracemalloc
 from pathlib import PurePosixPath
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill import storage
+from corpusmill.checks.tables import flaky_model
 from corpusmill.functions.text import truncate_text
 from corpusmill.operators import fingerprints as fp
 from corpusmill.operators import media, ordering, pages, rollup
@@ -243,6 +245,40 @@ def test_calls_in_flight_keep_their_rows(spark):
     assert {r["file_id"]: r["response"] for r in got} == {f"f{i}": f"P{i}" for i in range(16)}
 
 
+def test_calls_keep_all_columns_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr("corpusmill.operators.model.CALL_ROWS", 7)
+    rows = spark.range(100, numPartitions=2).select(
+        F.expr("if(id % 3 = 0, null, id)").alias("a b"), F.array("id").alias("list"),
+        F.expr("named_struct('x', id, 'day', date'2024-01-01')").alias("pair"),
+        F.expr("if(id % 10 = 0, null, 'p' || id)").alias("prompt"))
+    got = call_model(rows, lambda: lambda messages, **params: messages[0]["content"] + "!")
+    assert got.schema.fieldNames() == ["a b", "list", "pair", "response", "error", "attempts"]
+    for r in got.collect():
+        i = r["pair"]["x"]
+        assert r["a b"] == (None if i % 3 == 0 else i) and r["list"] == [i]
+        assert r["response"] == (None if i % 10 == 0 else f"p{i}!") and r["attempts"] == 1
+        assert (r["error"] or "").startswith("TypeError") == (i % 10 == 0)
+    assert got.count() == 100
+
+
+def test_the_flaky_model_keeps_no_prompts():
+    answer = flaky_model()()
+    tracemalloc.start()
+    for i in range(2000):
+        prompt = f"{i:06d}" + "x" * (4000 + i % 7)
+        calls = 0
+        while True:
+            calls += 1
+            try:
+                text = answer([{"role": "user", "content": prompt}])
+                break
+            except TimeoutError:
+                pass
+        assert (text, calls) == (f"done {len(prompt)}", len(prompt) % 7 + 1)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
+
+
 @pytest.mark.parametrize("limit,failing,top", [
     (None, "some", 100), (0, "all", 100), (1, "some", 100), (5, "none", 100), (5, "some", 100),
     (17, "some", 100), (5, "all", 100), (100, "some", 100), (5, "some", 2), (17, "none", 2),
