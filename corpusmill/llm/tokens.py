@@ -3,14 +3,14 @@
 Both tokenizers used here split a text before merging, and never across a space that follows
 a non-space. So a text's ids are the ids of its space-separated chunks, one after the other;
 distinct chunks of a batch are looked up once, and pieces never seen before are encoded by the
-tokenizers library. Caches live in the worker process and are emptied when full.
+tokenizers library. Caches live in the worker process; a full one keeps what was met again.
 """
 
 from __future__ import annotations
 
 import array
 import os
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from corpusmill.llm.words import kept
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 SLICE_BYTES = 2 << 20
 JOINED_WORDS = 4096
 
@@ -60,15 +60,16 @@ class Encoder:
         self.pattern = BYTE_PATTERN if spaced else WORD_PATTERN
         self.places: dict[str, int] = {}  # pieces seen, and where their ids are in ``stored``
         self.stored = pa.array([], pa.large_binary())
+        self.met = np.zeros(0, bool)  # which of them were looked up again
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("I", x.ids).tobytes() for x in found]
 
     def _joined(self, words: list[str]) -> pa.Array:
-        """Ids of words of letters, encoded as one text: the tokenizer cuts it into these words,
-        numbers them, and merges inside a word only. Otherwise they are encoded one by one."""
-        out = []
+        """Ids of words, encoded as one text: the tokenizer cuts it into these words, numbers
+        them, and merges inside a word only. Otherwise they are encoded one by one."""
+        out = [pa.array([], pa.large_binary())]
         for k in range(0, len(words), JOINED_WORDS):
             some = words[k:k + JOINED_WORDS]
             found = self.tokenizer.encode(("" if self.spaced else " ").join(some),
@@ -84,23 +85,39 @@ class Encoder:
                 pa.py_buffer(ids)]))
         return pa.concat_arrays(out)
 
+    def _new(self, pieces: list[str], words: bool) -> tuple[list[str], pa.Array]:
+        """Distinct pieces and their ids. Those of ASCII are words too, whatever they consist of,
+        if a space sets them apart."""
+        pieces = list(dict.fromkeys(pieces))
+        if words:
+            return pieces, self._joined(pieces)
+        ahead = " " if self.spaced else ""
+        apart = [p.isascii() and p.startswith(ahead) and not p.isspace() for p in pieces]
+        joined = list(compress(pieces, apart))
+        alone = [p for p, a in zip(pieces, apart) if not a]
+        return joined + alone, pa.concat_arrays(
+            [self._joined(joined), pa.array(self._direct(alone), pa.large_binary())])
+
     def _cached(self, pieces: list[str], words: bool) -> pa.Array:
         """Ids of the pieces, which are all words of letters or not; new ones are encoded."""
         at = np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            new = list(dict.fromkeys(pieces[i] for i in missing))
-            emptied = len(self.places) + len(new) > CACHE_ENTRIES
-            if emptied:
-                used = {p: k for p, k in zip(pieces, at.tolist()) if k >= 0}
-                self.stored = self.stored.take(pa.array(list(used.values()), pa.int64()))
-                self.places = dict(zip(used, range(len(used))))
+        missing = np.flatnonzero(at < 0)
+        self.met[at[at >= 0]] = True
+        if len(missing):
+            new, ids = self._new([pieces[i] for i in missing.tolist()], words)
+            if len(self.places) + len(new) > CACHE_ENTRIES:
+                stay = np.flatnonzero(self.met)
+                if len(stay) > CACHE_ENTRIES // 2:
+                    stay = np.unique(at[at >= 0])
+                names, moved = list(self.places), np.full(len(self.met) + 1, -1)
+                moved[stay] = np.arange(len(stay))
+                at = moved[at]
+                self.stored, self.met = self.stored.take(pa.array(stay)), np.zeros(len(stay), bool)
+                self.places = {names[k]: n for n, k in enumerate(stay.tolist())}
             self.places.update(zip(new, range(len(self.stored), len(self.stored) + len(new))))
-            ids = self._joined(new) if words else pa.array(self._direct(new), pa.large_binary())
             self.stored = pa.concat_arrays([self.stored, ids])
-            if emptied:
-                missing = range(len(pieces))
-            at[missing] = [self.places[pieces[i]] for i in missing]
+            self.met = np.concatenate((self.met, np.zeros(len(new), bool)))
+            at[missing] = [self.places[pieces[i]] for i in missing.tolist()]
         return self.stored.take(pa.array(at))
 
     def _chunk_ids(self, chunks: pa.Array, plain: np.ndarray) -> pa.Array:

@@ -80,6 +80,32 @@ def fewest_bins(items, capacity):
     return best
 
 
+@pytest.mark.parametrize("name, end, spaced", [("byte_bpe_50k.json", 0, True), ("word_bpe_49k.json", 2, False)])
+def test_a_full_cache_keeps_what_was_met_again(monkeypatch, name, end, spaced):
+    """Frequent words outlive a cache that rare ones fill, and are encoded once."""
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 120)
+    path = tokens.default_path(name)
+    encoder, own = tokens.Encoder(path, end, spaced), Tokenizer.from_file(path)
+    encoded, joined, direct = Counter(), encoder._joined, encoder._direct
+    encoder._joined = lambda words: encoded.update(words) or joined(words)
+    encoder._direct = lambda words: encoded.update(words) or direct(words)
+    rng = random.Random(3)
+
+    def word():
+        return "".join(rng.choice("abcdeghi") for _ in range(9))
+
+    often = [word() for _ in range(24)]
+    for i in range(60):
+        # A third of the frequent words at a time, marked off in all ways that are looked up.
+        some = often[i % 3::3]
+        texts = ["x " + " ".join(some[:4] + [w + "," for w in some[4:]] + [word() for _ in range(20)]),
+                 "é\n", "", "(7) 'tis it's\nso 42"]
+        want = [np.array([*own.encode(t, add_special_tokens=False).ids, end], "<u4").tobytes() for t in texts]
+        assert encoder.encode(pa.array(texts)).to_pylist() == want
+        assert len(encoder.places) == len(encoder.stored) == len(encoder.met) <= 120
+    assert max(encoded[(" " if spaced else "") + w] for w in often) <= 3
+
+
 def test_plans_are_whole_and_optimal_on_small_instances():
     rnd = random.Random(5)
     for _ in range(120):
