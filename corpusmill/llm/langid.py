@@ -25,6 +25,7 @@ SAMPLE_BYTES = 2 << 20
 MIN_COUNT = 3
 UNKNOWN = "und"
 BOUNDARY = "\0\0\0"
+COST_BYTES = 4 << 20  # of a slice: what each of its bytes costs in each language
 
 
 
@@ -125,7 +126,7 @@ def code_lengths(texts: pa.Array, model: dict) -> np.ndarray:
     size, n_lang = model["size"], len(model["languages"])
     out = np.zeros((len(texts), n_lang))
     symbols = model["symbols"].astype(np.int32)
-    for a, b in slices(texts, (8 << 20) // max(4, n_lang)):
+    for a, b in slices(texts, COST_BYTES // (4 * max(4, n_lang))):
         data, offsets = _lowered(texts.slice(a, b - a))
         r = symbols[data]
         context = (r[:-3] * size + r[1:-2]) * size + r[2:-1]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.words import (bounded_sample, held_out, mixed, per_text, slices, strings,
+from corpusmill.llm.words import (bounded_sample, held_out, mixed, per_text, runs, slices, strings,
                                   uniform, word_codes, word_hashes)
 
 BUCKETS = 1 << 16
@@ -32,6 +32,7 @@ FILTERS = 8
 SAMPLE_PER_LABEL = 4000
 EPOCHS = 3
 BATCH = 64
+POSITIONS = 1 << 15  # words of a slice that are convolved together
 CALIBRATION_SHARE = 0.2
 BINS = 64  # of a logit's unit, when thresholds are chosen
 FAR = 64.0  # logits beyond are counted as this
@@ -88,15 +89,21 @@ def _guess(languages: np.ndarray, features, codes, offsets) -> np.ndarray:
 def _logits(weights, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets, codes, vocab = word_codes(texts)
     features = feature_ids(vocab)
-    values = pooled(taps(weights, features), codes, offsets)
-    return values @ weights["out"] + weights["bias"], _guess(
-        weights["languages"], features, codes, offsets)
+    table = taps(weights, features)
+    values = np.zeros((len(texts), FILTERS * len(WIDTHS)), table.dtype)
+    language = np.zeros(len(texts), np.int64)
+    # What a position takes is many times its text: only the table is made for all at once.
+    for a, b in runs(offsets[1:], POSITIONS):
+        own, at = codes[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+        values[a:b] = pooled(table, own, at)
+        language[a:b] = _guess(weights["languages"], features, own, at)
+    return values @ weights["out"] + weights["bias"], language
 
 
 def score(texts: pa.Array, weights: dict) -> np.ndarray:
     """Score of each whole text, 0 to 1; 0.5 and more is predicted toxic."""
     out = np.zeros(len(texts))
-    for a, b in slices(texts, 4 << 20):
+    for a, b in slices(texts, 1 << 20):
         logit, language = _logits(weights, texts.slice(a, b - a))
         shifted = np.clip(logit - weights["thresholds"][language], -30, 30)
         out[a:b] = 1 / (1 + np.exp(-shifted))
@@ -323,7 +330,7 @@ def _rater(shared):
     def rate(text: pa.Array) -> pa.Array:
         texts = strings(text)
         logit, language = np.zeros(len(texts)), np.zeros(len(texts), np.int32)
-        for a, b in slices(texts, 4 << 20):
+        for a, b in slices(texts, 1 << 20):
             logit[a:b], language[a:b] = _logits(shared.value, texts.slice(a, b - a))
         return pa.StructArray.from_arrays([pa.array(logit), pa.array(language)],
                                           names=["logit", "language"])

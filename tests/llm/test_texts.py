@@ -1,6 +1,7 @@
 """Tokens, packing, Huffman files, languages, toxicity and importance on small inputs."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -312,6 +313,25 @@ def test_toxicity_of_odd_texts(spark, docs):
     assert clean < 0.5 <= foul
 
 
+def test_scoring_takes_memory_by_the_slice():
+    # What a position costs, by filter or language, is held for part of a batch at a time.
+    rows, labels = toxic_rows()
+    texts = [t for _, t, _ in rows]
+    weights = toxicity.train(texts, np.array([y for _, y in labels]), [x for _, _, x in rows])
+    many = pa.array((texts + ["", None, "?!"]) * 100, pa.string()).fill_null("")
+    model = langid.learn({"a": texts[:200], "b": texts[200:], "c": texts[:100], "d": texts}) | {
+        "key": "memory"}
+    langid.code_lengths(many[:9], model)  # the unfolded tables stay
+    for run in (lambda t: toxicity.score(t, weights), lambda t: langid.code_lengths(t, model)):
+        tracemalloc.start()
+        got = run(many)
+        peak = tracemalloc.get_traced_memory()[1] - got.nbytes
+        tracemalloc.stop()
+        assert many.nbytes > 6 << 20 and peak < 24 << 20
+        alone = np.concatenate([run(many[i:i + 1]) for i in range(403)])
+        assert np.allclose(got, np.concatenate([alone] * 100), atol=1e-5)
+
+
 def test_importance_against_counts(spark):
     rows = [(i, "good fine nice words here" if i % 2 else "junk spam junk noise") for i in range(60)]
     docs = spark.createDataFrame([*rows, (98, None), (99, "")], "doc_id long, text string")
